@@ -32,7 +32,83 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.a = w.doc_id GROUP BY 1, 2
 """
 
-_BY_NAME = [op2_ngram_jaccard_join]
+
+def op1_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shuffle_to_shards
+
+    rows = shuffle_to_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import BASE, host_quality
+
+    return host_quality(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept", "n_failed")
+
+
+SQL["op3_host_quality"] = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM w WHERE len(w) > 8),
+d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, least(8, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100)) AS n FROM d),
+r AS (SELECT doc_id, sum(n)::BIGINT AS n FROM c GROUP BY 1),
+f AS (SELECT w.doc_id, host, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines
+  FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT * REPLACE (coalesce(word_chars, 0) AS word_chars), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+k AS (SELECT *, base_failed::INT + (n_symbols * 100 > n_words * 10)::INT + (n_dup_lines * 100 > n_lines * 30)::INT + (word_chars * 2 < n_words * 5 OR word_chars > n_words * 12)::INT AS n_failed FROM b),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (n_failed > 0) AS k FROM k GROUP BY 1),
+m AS (SELECT avg(k / n) AS mean, greatest(coalesce(var_samp(k / n), 0) - avg(k / n * (1 - k / n) / n), 0) AS v FROM h),
+s AS (SELECT mean, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 1), 1000) ELSE 1000 END AS strength FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ((h.k + mean * strength) / (h.n + strength) <= 0.5 OR n_failed = 0) AS kept, n_failed
+FROM k JOIN h USING (host), s
+"""
+
+
+def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find
+
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array("items")), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+SQL["op6_suffix_automaton"] = r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM t),
+size AS (SELECT DISTINCT least(10, len(w))::BIGINT AS n FROM w WHERE kind = 'b' AND len(w) > 0),
+b AS (SELECT DISTINCT id, least(10, len(w))::BIGINT AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS g FROM w WHERE kind = 'b' AND len(w) > 0),
+d AS (SELECT id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM w, size WHERE kind = 'd' AND len(w) >= n),
+h AS (SELECT d.id, d.i, d.n, b.id AS item FROM d JOIN b ON d.g = b.g AND d.n = b.n),
+p AS (SELECT id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
+x AS (SELECT id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM h) GROUP BY 1)
+SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM w LEFT JOIN p USING (id) LEFT JOIN x USING (id) WHERE kind = 'd'
+"""
+
+
+def op9_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sstable import token_digests
+    from .tokens import vocabulary
+
+    return token_digests(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+#: Target weights of the domains (quality, toxic): mostly high and clean.
+TARGETS = {"low_clean": 0.1, "low_toxic": 0.02, "high_clean": 0.85, "high_toxic": 0.03}
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import DOMAINS, mix
+
+    out = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS, carry=["doc_id"])
+    return out.select("doc_id", "n_tokens", *(F.round(F.get("posterior", F.lit(d)), 6).alias(f"p_{name}") for d, name in enumerate(DOMAINS)), F.round("rate", 6).alias("rate"), "copies")
+
+
+_BY_NAME = [op1_hypergeometric_sharding, op2_ngram_jaccard_join, op3_host_quality, op6_suffix_automaton, op9_sorted_string_tables, op10_soft_mixing]
 
 
 def queries() -> dict:
