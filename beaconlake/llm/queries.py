@@ -108,7 +108,42 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", *(F.round(F.get("posterior", F.lit(d)), 6).alias(f"p_{name}") for d, name in enumerate(DOMAINS)), F.round("rate", 6).alias("rate"), "copies")
 
 
-_BY_NAME = [op1_hypergeometric_sharding, op2_ngram_jaccard_join, op3_host_quality, op6_suffix_automaton, op9_sorted_string_tables, op10_soft_mixing]
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    found = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.transform("base", lambda x: x["word"])
+    base, own = F.transform("base", lambda x: x["label"]), F.transform("found", lambda x: x["label"])
+    joined = lambda labels: F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
+    best = F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"), joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"), F.greatest(best, F.when(F.size("base") > 0, 0.7).otherwise(0.0)).alias("score"))
+
+
+def op5_dom_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_content import extract
+
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op7_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op8_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import section_counts
+    from .tokens import vocabulary
+
+    found = section_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_tokens", "crossing", F.posexplode("sections").alias("section", "s")).select("doc_id", "section", F.col("s.first").alias("first_char"), F.col("s.chars").alias("n_chars"), F.col("s.tokens").alias("section_tokens"), "n_tokens", "crossing")
+
+
+_BY_NAME = [op1_hypergeometric_sharding, op2_ngram_jaccard_join, op3_host_quality, op4_license_rules, op5_dom_marginals, op6_suffix_automaton, op7_nearest_toxic, op8_offset_token_counts, op9_sorted_string_tables, op10_soft_mixing]
 
 
 def queries() -> dict:
