@@ -8,7 +8,7 @@ shares a token in its prefixes (the first ``n - ceil(n * percent / 100) + 1`` to
 2. three orders place much-shared tokens last and deal the others by three hashes; a document's prefix under each is
    kept without tokens that occur nowhere else, and a document for which one of them is empty has no partner;
 3. documents with equal sets collapse into one representative;
-4. a pair shares no token that only one of the two has, which bounds its similarity without looking at it;
+4. tokens that only one document has are shared with nobody, which bounds a document's best similarity and a pair's;
 5. representatives that share a prefix token under the first order are compared with one centre for each token; links
    become components; then only pairs of different components that share a token are compared. All candidates must
    share prefix tokens under the other two orders too before their sets are intersected.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, space_words, written
+from .common import ship, written
 
 ORDERS = 3
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -56,25 +57,43 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, k: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of the text, A-Z lower-cased."""
-    words = space_words(text)
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    lower = [w.lower() for w in words]
-    w = np.fromiter(map(_hash.__getitem__, lower), np.uint64, n)
-    if n < k:
-        return np.array([xxhash.xxh3_64_intdigest(w.tobytes(), seed=n)], np.uint64)
-    at = w[: n - k + 1] * _C[0]
-    for j in range(1, k):
-        at = mixed(at, 3) + w[j : n - k + 1 + j] * _C[j % 8]
-    return np.unique(mixed(at, 5))
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[str | None]:
+def shingle_sets(texts: list[bytes | None], k: int = 5) -> list[np.ndarray]:
+    """For each UTF-8 text the sorted distinct 64-bit hashes of its k-word shingles, A-Z lower-cased."""
+    words = [t.lower().split() if t else [] for t in texts]
+    flat = list(chain.from_iterable(words))
+    w = np.fromiter(map(_hash.__getitem__, flat), np.uint64, len(flat))
+    n = max(0, len(w) - k + 1)
+    at = np.zeros(n, np.uint64)
+    for j in range(k):
+        at += w[j : n + j] * (_C[j % 8] + np.uint64(2 * j))
+    at = mixed(at, 5)
+    out, start = [], 0
+    for x in words:
+        end = start + len(x)
+        if not x:
+            h = at[:0]
+        elif len(x) < k:
+            h = np.array([xxhash.xxh3_64_intdigest(w[start:end].tobytes(), seed=len(x))], np.uint64)
+        else:
+            h = np.sort(at[start : end - k + 1])
+            new = h[1:] != h[:-1]
+            if not new.all():
+                h = h[np.r_[True, new]]
+        out.append(h)
+        start = end
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of the batches whose values are about ``size`` bytes together."""
     for b in batches:
-        yield from b.column(column).to_pylist()
+        values = b.column(column).to_pylist()
+        start = held = 0
+        for i, v in enumerate(values):
+            held += len(v or b"") + 64
+            if held >= size or i + 1 == len(values):
+                yield b.slice(start, i + 1 - start), values[start : i + 1]
+                start, held = i + 1, 0
 
 
 def count_blobs(bits: int, k: int, flush: int = 4_000_000):
@@ -90,9 +109,10 @@ def count_blobs(bits: int, k: int, flush: int = 4_000_000):
             rows = [(i, encode(x)) for i, x in enumerate(np.split(key, cuts)) if len(x)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "keys"])
 
-        for text in _texts(batches, "text"):
-            held.append(shingles(text, k))
-            size += len(held[-1])
+        for _, texts in grouped(batches, "text"):
+            sets = shingle_sets(texts, k)
+            held += sets
+            size += sum(map(len, sets))
             if size >= flush:
                 yield out()
                 held, size = [], 0
@@ -149,20 +169,26 @@ def _on(bitmap: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def prefixes(h: np.ndarray, twice: np.ndarray, often: np.ndarray, size: int, percent: int) -> tuple[int, float, list[np.ndarray]]:
-    """Of a document: how many tokens recur, the share of its first prefix that few others have, the recurring tokens of its prefixes."""
-    n = len(h)
-    p = n - -(-n * percent // 100) + 1
-    late = _on(often, h, size - 3)
-    again = _on(twice, h, size)
-    found, own = [], 1.0
-    for k in range(ORDERS):
-        key = h if k == 0 else mixed(h, k)
-        first = np.lexsort((key, late))[:p]
-        if k == 0:
-            own = float(1 - late[first].mean())
-        found.append(h[first][again[first]])
-    return int(again.sum()), own, found
+def prefixes(sets: list[np.ndarray], twice: np.ndarray, often: np.ndarray, size: int, percent: int) -> Iterator[tuple[int, float, list[np.ndarray]]]:
+    """Of each document: how many tokens recur, the share of its first prefix that few others have, the recurring tokens of its prefixes."""
+    every = np.concatenate(sets)
+    late, again = _on(often, every, size - 3), _on(twice, every, size)
+    top = late.astype(np.uint64) << np.uint64(63)
+    keys = [(every if k == 0 else mixed(every, k)) >> np.uint64(1) | top for k in range(ORDERS)]
+    start = 0
+    for h in sets:
+        part, start = slice(start, start + len(h)), start + len(h)
+        n, recur = len(h), int(again[part].sum())
+        if not n or recur * 100 < percent * n:  # shares too little with all others together
+            yield recur, 1.0, [h[:0]] * ORDERS
+            continue
+        p, found, own = n - -(-n * percent // 100) + 1, [], 1.0
+        for k in range(ORDERS):
+            first = np.argpartition(keys[k][part], p - 1)[:p] if p < n else slice(None)
+            if k == 0:
+                own = float(1 - late[part][first].mean())
+            found.append(h[first][again[part][first]])
+        yield recur, own, found
 
 
 SKETCH = [f"x{i}" for i in range(8)]
@@ -180,12 +206,11 @@ def sign(maps, k: int, percent: int):
     def signed(batches):
         a, b, size = maps.value
         twice, often = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        for batch in batches:
+        for batch, texts in grouped(batches, "text"):
             cols = {c: [] for c in ("low", "high", "n", "s", "own", "sketch", "pa", "pb", "pc", "tokens")}
-            for text in batch.column("text").to_pylist():
-                h = shingles(text, k)
+            sets = shingle_sets(texts, k)
+            for h, (recur, own, found) in zip(sets, prefixes(sets, twice, often, size, percent), strict=True):
                 d = xxhash.xxh3_128_digest(h.tobytes())
-                recur, own, found = prefixes(h, twice, often, size, percent) if len(h) else (0, 1.0, [h] * ORDERS)
                 alone = any(len(x) == 0 for x in found)
                 row = (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(h), recur, own, dict(zip(SKETCH, sketch(h).tolist(), strict=True)), *([] if alone else x.view(np.int64) for x in found), None if alone else h.view(np.int64))
                 for c, v in zip(cols.values(), row, strict=True):
@@ -233,7 +258,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles and component_id of every document. map_bits: size of the filters (2 ** map_bits bits, 16 MB)."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     maps = spark.sparkContext.broadcast(recurring(docs, k, map_bits, heavy))
     signed = written(docs.mapInArrow(sign(maps, k, percent), SIGNED), "signed")
     whole = F.struct("n", "s", "own", "sketch", "pa", "pb", "pc", "tokens")
