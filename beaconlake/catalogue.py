@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import logs, series, surveys
+
+FAMILIES = [logs, surveys, series]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for family in FAMILIES for name, text in family.SQL.items()}

@@ -1,0 +1,77 @@
+"""Visibility in AI answers: rates with intervals, voice, sources, the gap where a brand is left out."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import stats, web
+
+
+def rates(obs: DataFrame) -> DataFrame:
+    """Answers, those that cite the brand, rate and interval: overall, by engine and by family, in one pass."""
+    sets = obs.groupingSets([["engine"], ["family"], []], "engine", "family").agg(F.count("*").alias("n"), F.count_if("cited").alias("k"), F.grouping("engine").alias("ge"), F.grouping("family").alias("gf"))
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    kind = F.when(F.col("ge") == 0, "engine").when(F.col("gf") == 0, "family").otherwise("overall")
+    return sets.select(kind.alias("kind"), F.coalesce("engine", "family", F.lit("all")).alias("name"), "n", "k", F.try_divide("k", "n").alias("rate"), low.alias("low"), high.alias("high"))
+
+
+def compare(obs: DataFrame, by: str, wave: str = "wave") -> DataFrame:
+    """Two waves by a column (only values that both have): shares, difference with its interval, z, noise floor, signal."""
+    w = obs.groupBy(by).agg(*(F.count_if(F.col(wave) == i).alias(f"n{i}") for i in (1, 2)), *(F.count_if((F.col(wave) == i) & F.col("cited")).alias(f"k{i}") for i in (1, 2))).where("n1 > 0 and n2 > 0")
+    k1, n1, k2, n2 = (F.col(c) for c in ("k1", "n1", "k2", "n2"))
+    low, high = stats.newcombe(k1, n1, k2, n2)
+    return w.select(by, "n1", "k1", "n2", "k2", (k2 / n2 - k1 / n1).alias("diff"), low.alias("low"), high.alias("high"), ((low > 0) | (high < 0)).alias("signal"), stats.pooled_z(k1, n1, k2, n2).alias("z"), stats.noise_floor(n1, n2).alias("floor"))
+
+
+def repetitions(obs: DataFrame) -> DataFrame:
+    """How often each prompt was put to each engine: least, most and upper median over all pairs."""
+    return obs.groupBy("prompt_id", "engine").agg(F.count("*").alias("n")).agg(F.count("*").alias("pairs"), F.min("n").alias("least"), F.max("n").alias("most"), stats.upper_median(F.collect_list("n")).alias("median"))
+
+
+def share_of_voice(obs: DataFrame, brands: Column) -> DataFrame:
+    """Mentions (a brand once in an answer) and their share of all."""
+    n = obs.select(F.explode(F.array_distinct(brands)).alias("brand")).groupBy("brand").agg(F.count("*").alias("mentions"))
+    return n.join(n.agg(F.sum("mentions").alias("all")).withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).select("brand", "mentions", (F.col("mentions") / F.col("all")).alias("share"))
+
+
+def domains(obs: DataFrame, urls: Column) -> DataFrame:
+    """(event, prompt_id, engine, cited, domain), a domain once in an answer."""
+    hosts = F.array_distinct(F.filter(F.transform(urls, web.host_of), lambda h: h != ""))
+    return obs.select("*", F.explode(hosts).alias("domain"))
+
+
+def domain_reach(obs: DataFrame, urls: Column, own: str) -> DataFrame:
+    """Answers that use a domain, their share of the answers with sources, and the domain's kind."""
+    total = obs.where(F.size(urls) > 0).agg(F.count("*").alias("all")).withColumn("one", F.lit(1))
+    n = domains(obs, urls).groupBy("domain").agg(F.count("*").alias("answers"))
+    return n.join(total, F.lit(1) == F.col("one")).select("domain", "answers", (F.col("answers") / F.col("all")).alias("share"), web.source_type(F.col("domain"), own).alias("type"))
+
+
+def source_gap(obs: DataFrame, urls: Column, own: str, core_min: int = 4, core_share: float = 0.75) -> DataFrame:
+    """Domains of the answers that leave the brand out. Core on a prompt and engine: in core_share of core_min absent answers or more; core altogether: on two prompts or more."""
+    absent = obs.where(~F.col("cited"))
+    size = absent.groupBy("prompt_id", "engine").agg(F.count("*").alias("absent"))
+    per = domains(absent, urls).where(~((F.col("domain") == own) | F.col("domain").endswith("." + own))).groupBy("prompt_id", "engine", "domain").agg(F.count("*").alias("n"))
+    core = (F.col("absent") >= core_min) & (F.col("n") / F.col("absent") >= core_share)
+    out = per.join(size, ["prompt_id", "engine"]).groupBy("domain").agg(F.count_distinct(F.when(core, F.col("prompt_id"))).alias("core_in"), F.sum("n").alias("absent_answers"), F.count_distinct("prompt_id").alias("prompts"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"))
+    return out.withColumn("type", web.source_type(F.col("domain"), own)).withColumn("stability", F.when(F.col("core_in") >= 2, "core").otherwise("rotating"))
+
+
+def never_cited(obs: DataFrame) -> DataFrame:
+    return obs.groupBy("prompt_id").agg(F.bool_or("cited").alias("any")).where("not any").select("prompt_id")
+
+
+def answer_brands(answers: DataFrame, text: Column, names: list[str]) -> DataFrame:
+    """Adds brands (in order of appearance, whole words only) and position of the first name: first, passing or none."""
+    at = F.array_compact(F.array(*(F.when(F.regexp_instr(text, F.lit(rf"(?i)(?<![\w-]){n}(?![\w-])")) > 0, F.struct(F.regexp_instr(text, F.lit(rf"(?i)(?<![\w-]){n}(?![\w-])")).alias("at"), F.lit(n).alias("name"))) for n in names)))
+    found = F.transform(F.array_sort(at), lambda x: x["name"])
+    return answers.withColumn("brands", found).withColumn("position", F.when(F.get(found, F.lit(0)) == names[0], "first").when(F.array_contains(found, names[0]), "passing").otherwise("none"))
+
+
+def quadrants(obs: DataFrame, by: str) -> DataFrame:
+    """Families by their presence and size against the medians of both."""
+    r = obs.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.col("cited").cast("double")).alias("rate"))
+    m = r.agg(F.percentile("n", 0.5).alias("mn"), F.percentile("rate", 0.5).alias("mr")).withColumn("one", F.lit(1))
+    side = F.concat_ws("-", F.when(F.col("n") >= F.col("mn"), "large").otherwise("small"), F.when(F.col("rate") >= F.col("mr"), "present").otherwise("absent"))
+    return r.join(m, F.lit(1) == F.col("one")).select(by, "n", "rate", side.alias("quadrant"))
