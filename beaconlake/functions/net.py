@@ -5,6 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
+
+#: Types are objects, not text: text would need a session when the module is imported.
+_KEY = StructType().add("version", IntegerType()).add("key", StringType())
+_BOUNDS = StructType().add("version", IntegerType()).add("lo", StringType()).add("hi", StringType())
 
 
 def first_address(raw: Column) -> Column:
@@ -19,7 +24,7 @@ def ipv4_number(ip: Column) -> Column:
     return F.get(o, F.lit(0)) * 16777216 + F.get(o, F.lit(1)) * 65536 + F.get(o, F.lit(2)) * 256 + F.get(o, F.lit(3))
 
 
-@F.pandas_udf("version int, key string")
+@F.pandas_udf(_KEY)
 def ip_key(ip: pd.Series) -> pd.DataFrame:
     """Version and 32 hexadecimal digits that order like the addresses; null if it is none."""
     from ipaddress import ip_address
@@ -34,7 +39,7 @@ def ip_key(ip: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in ip], columns=["version", "key"])
 
 
-@F.pandas_udf("version int, lo string, hi string")
+@F.pandas_udf(_BOUNDS)
 def cidr_bounds(cidr: pd.Series) -> pd.DataFrame:
     """First and last address of a block, as ip_key's digits; null for what is no block."""
     from ipaddress import ip_network

@@ -33,7 +33,8 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 OBS = f"WITH o AS ({A.sql(A.OBSERVATION, 'events')})"
-URLS = F.split("sources", " ")
+def urls():
+    return F.split("sources", " ")
 _LOW = f"greatest(0, (k / n + {Z} * {Z} / (2 * n)) / (1 + {Z} * {Z} / n) - {Z} / (1 + {Z} * {Z} / n) * sqrt(k / n * (1 - k / n) / n + {Z} * {Z} / (4.0 * n * n)))"
 _HIGH = _LOW.replace("greatest(0, ", "least(1, ").replace(f") - {Z} /", f") + {Z} /")
 _HOST = "regexp_replace(lower(regexp_extract(u, '^https?://([^/:?#]*)', 1)), '^www[.]', '')"
@@ -77,14 +78,14 @@ def vis_share_of_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(OBS + _DOMAIN + f" SELECT domain, count(*) AS answers, round(count(*) / (SELECT count(*) FROM o), 6) AS share, {_TYPE} AS type FROM d GROUP BY domain")
 def vis_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.domain_reach(observations(spark, sf_dir), URLS, OWN), "share")
+    return rounded(S.domain_reach(observations(spark, sf_dir), urls(), OWN), "share")
 
 
 @query(OBS + _DOMAIN + f""", a AS (SELECT prompt_id, engine, count(*) AS absent FROM o WHERE NOT cited GROUP BY ALL), p AS (SELECT prompt_id, engine, domain, count(*) AS n FROM d WHERE NOT cited AND domain <> 'me.com' GROUP BY ALL)
 SELECT domain, count(DISTINCT CASE WHEN absent >= 4 AND n / absent >= 0.75 THEN prompt_id END) AS core_in, CAST(sum(n) AS BIGINT) AS absent_answers, count(DISTINCT prompt_id) AS prompts, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engines, {_TYPE} AS type,
 CASE WHEN count(DISTINCT CASE WHEN absent >= 4 AND n / absent >= 0.75 THEN prompt_id END) >= 2 THEN 'core' ELSE 'rotating' END AS stability FROM p JOIN a USING (prompt_id, engine) GROUP BY domain""")
 def vis_source_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.source_gap(observations(spark, sf_dir), URLS, OWN)
+    return S.source_gap(observations(spark, sf_dir), urls(), OWN)
 
 
 @query(OBS + " SELECT prompt_id FROM o WHERE engine = 'purchase' GROUP BY prompt_id HAVING NOT bool_or(cited AND event_id % 5 = 0)")
@@ -101,7 +102,7 @@ def vis_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vis_own_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.web import host_of
 
-    return observations(spark, sf_dir).select("prompt_id", F.explode(URLS).alias("url")).where(host_of(F.col("url")) == OWN).groupBy("url").agg(F.array_join(F.array_sort(F.collect_set("prompt_id")), ",").alias("prompts"))
+    return observations(spark, sf_dir).select("prompt_id", F.explode(urls()).alias("url")).where(host_of(F.col("url")) == OWN).groupBy("url").agg(F.array_join(F.array_sort(F.collect_set("prompt_id")), ",").alias("prompts"))
 
 
 @query(OBS + ", r AS (SELECT family, count(*) AS n, avg(CASE WHEN cited THEN 1.0 ELSE 0.0 END) AS rate FROM o GROUP BY family), m AS (SELECT quantile_cont(n, 0.5) AS mn, quantile_cont(rate, 0.5) AS mr FROM r) SELECT family, n, round(rate, 6) AS rate, CASE WHEN n >= mn THEN 'large' ELSE 'small' END || '-' || CASE WHEN rate >= mr THEN 'present' ELSE 'absent' END AS quadrant FROM r, m")
