@@ -291,7 +291,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that a linked document with a smaller id stands for. Ids must be unique."""
+    """The documents without those that a linked document with a smaller id stands for.
+
+    Ids should be unique: rows that share one go together when any of them is linked with a smaller id, and stay together
+    else. Rows without id and rows without words stay."""
     found = jaccard_components(docs, **options)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs[options.get("id_col", "doc_id")].cast("long") == F.col("_gone"), "left_anti")

@@ -1,0 +1,181 @@
+"""The corpus queries against their SQL, brute force or the library that they must agree with."""
+
+import re
+import sys
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import oracle
+import pytest
+
+from beaconlake.llm import queries as Q
+from beaconlake.llm.common import table
+from beaconlake.llm.tokens import vocabulary
+
+DATA = oracle.DATA
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return {r.doc_id: r.text for r in table(spark, DATA, "documents").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_sql(spark, name):
+    oracle.same(spark, Q.queries()[name], Q.oracle_sql()[name])
+
+
+def test_op1_is_a_permutation_with_exact_sizes(spark, docs):
+    rows = Q.op1_hypergeometric_sharding(spark, DATA).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+        raw = (docs[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
+    assert len(by) == 40 and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_op4_base_places(spark, docs):
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    for r in Q.op4_license_rules(spark, DATA).collect():
+        w = ALNUM.findall(lower(docs[r.doc_id]))
+        found = sorted((i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        assert (r.n_words, r.n_base) == (len(w), len(found))
+        assert (r.first_word, r.last_word) == ((found[0][0], found[-1][0]) if found else (None, None))
+        base = {x[1] for x in found}
+        assert r.base_labels == ",".join(sorted(base)) and base <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_op5_every_page_has_a_row(spark):
+    rows = Q.op5_dom_marginals(spark, DATA).collect()
+    assert len(rows) == table(spark, DATA, "pages").count()
+    for r in rows:
+        assert r.n_chars == len(r.text) and r.text == r.text.strip() and "<p" not in r.text
+        assert all(line == " ".join(line.split()) and line for line in r.text.split("\n")) or not r.text
+
+
+def test_op7_ranks_held_out_documents(spark):
+    data = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.toxic for r in table(spark, data, "labels").collect()}
+    rows = Q.op7_nearest_toxic(spark, data).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    held = [(r.score, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    yes, no = [s for s, t in held if t], [s for s, t in held if not t]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in yes for b in no])
+    assert auc > 0.85
+
+
+def test_op8_counts_sum_to_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    got = defaultdict(dict)
+    for r in Q.op8_offset_token_counts(spark, DATA).collect():
+        got[r.doc_id][r.section] = r
+    assert sorted(got) == sorted(docs)
+    for doc, sections in got.items():
+        text = docs[doc] or ""
+        e = tok.encode(text, add_special_tokens=False)
+        starts = [0] + [m.end() for m in re.finditer("\n", text) if m.end() < len(text)]
+        want = Counter(int(np.searchsorted(starts, a, "right")) - 1 for a, _ in e.offsets)
+        assert [sections[i].section_tokens for i in range(len(starts))] == [want.get(i, 0) for i in range(len(starts))]
+        assert {s.n_tokens for s in sections.values()} == {len(e.ids)}
+
+
+def test_op9_is_what_the_library_encodes(spark, docs):
+    from tokenizers import Tokenizer
+
+    tok, at = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), 0
+    rows = {r.doc_id: r for r in Q.op9_sorted_string_tables(spark, DATA).collect()}
+    assert sorted(rows) == sorted(docs)
+    for doc in sorted(docs):
+        ids = [*tok.encode(docs[doc] or "", add_special_tokens=False).ids, 2]
+        assert tuple(rows[doc])[1:4] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_op10_meets_its_targets(spark):
+    from beaconlake.llm.mixing import DOMAINS
+
+    rows = Q.op10_soft_mixing(spark, DATA).collect()
+    t, r = np.array([x.n_tokens for x in rows], float), np.array([x.rate for x in rows])
+    p = np.array([[x[f"p_{d}"] for d in DOMAINS] for x in rows])
+    goal = np.array([Q.TARGETS[d] for d in DOMAINS])
+    assert (r >= 0).all() and np.allclose(p.sum(1), 1, atol=1e-5)
+    # The same problem by many plain gradient steps.
+    x = np.ones(len(rows))
+    for _ in range(2000):
+        x = np.maximum(0, x - 0.9 * (p @ ((x * t) @ p / t.sum() - goal) + 0.02 * (x - 1)))
+    assert np.allclose((r * t) @ p / t.sum(), (x * t) @ p / t.sum(), atol=2e-3)
+    before, after = np.abs(t @ p / t.sum() - goal).sum(), np.abs((r * t) @ p / t.sum() - goal).sum()
+    assert after < before
+    assert all(np.floor(a) <= c.copies <= np.ceil(a) for a, c in zip(r, rows, strict=True))
+
+
+def test_pipeline_against_the_stages_by_brute_force(spark, docs):
+    import corpus_pipeline as P
+    import duckdb
+    from tokenizers import Tokenizer
+
+    assert [n for n, _ in P.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "mixing", "token_files"]
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{DATA}/{name}.parquet')")
+    kept = [x[0] for x in db.execute(f"SELECT doc_id FROM ({Q.SQL['op3_host_quality']}) WHERE kept").fetchall()]
+    db.execute("CREATE TABLE good AS SELECT * FROM documents WHERE list_contains(?, doc_id)", [kept])
+    one = [x[0] for x in db.execute(f"SELECT doc_id FROM ({re.sub(r'FROM documents', 'FROM good', Q.SQL['op2_ngram_jaccard_join'])}) WHERE doc_id = component_id").fetchall()]
+    items = [ALNUM.findall(lower(x[0])) for x in db.execute("SELECT text FROM benchmark").fetchall()]
+    windows = {tuple(w[i : i + 10]) for w in items if w for i in range(max(1, len(w) - 9))}
+
+    def cut(text):
+        """Without hit words, until no window is left; None beyond half of the words."""
+        total = gone = 0
+        while True:
+            at = list(ALNUM.finditer(lower(text or "")))
+            w, hit = [m.group() for m in at], set()
+            total = total or len(w)
+            for n in {len(x) for x in windows}:
+                for i in range(len(w) - n + 1):
+                    if tuple(w[i : i + n]) in windows:
+                        hit.update(range(i, i + n))
+            if not hit:
+                return text
+            gone += len(hit)
+            if gone > 0.5 * total:
+                return None
+            runs, out, last = [], [], 0
+            for i in sorted(hit):
+                if runs and runs[-1][1] == i:
+                    runs[-1][1] = i + 1
+                else:
+                    runs.append([i, i + 1])
+            for a, b in runs:
+                out.append(text[last : at[a].start()])
+                last = at[b - 1].end()
+            text = "".join([*out, text[last:]])
+
+    clean = {d: cut(docs[d]) for d in one}
+    clean = {d: t for d, t in clean.items() if t is not None}
+    tok, at = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), 0
+    got = sorted(P.run(spark, DATA).collect(), key=lambda r: r.start)
+    assert set(clean) == {r.doc_id for r in got}  # rates are 1 at least
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+    for r in got:
+        ids = [*tok.encode(clean[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_entry_lists_all_of_them():
+    sys.modules.pop("__spark_entry__", None)
+    import __spark_entry__ as e
+
+    assert len([n for n in e.queries() if re.match(r"op\d+_", n)]) == 10 and "pipeline" in e.queries()
