@@ -7,9 +7,9 @@ r minimise
 
     sum_d ((sum_i r_i t_i p_id - T_d) / T)^2 / 2  +  ridge * sum_i t_i / T * (r_i - 1)^2 / 2
 
-(t: words, T_d: target words of a domain, T: all words) by projected gradient steps in the metric t_i / T. A step needs
-four sums over all documents; a document's rate is a fold over the steps' four residuals, so nothing but these numbers
-is ever gathered.
+(t: words, T_d: target words of a domain, T: all words) by accelerated projected gradient steps in the metric t_i / T (the momentum is
+that of a problem whose curvature lies between ridge and 1 + ridge). A step needs four sums over all documents; a
+document's rate is a fold over the steps' four residuals, so nothing but these numbers is ever gathered.
 
 Null and empty texts have no words; their rate is the fold's too, and they carry no weight. Documents with several labels
 count with their largest; labels that are null are left out. With no labels all posteriors are equal. An empty table
@@ -61,20 +61,26 @@ def posteriors(docs: DataFrame, model: DataFrame, text_col: str, tokens: str, po
     return rows.withColumn("both_", both).select(*docs.columns, F.col("both_.n").alias(tokens), F.col("both_.p").alias(post))
 
 
-def rate_of(post: str, steps: list[list[float]], rate: float, ridge: float, floor: float) -> Column:
-    """A document's rate after the steps, each given by the residuals of the domains."""
+def rate_of(post: str, steps: list[list[float]], ridge: float, floor: float, ahead: bool = False) -> Column:
+    """A document's rate after the steps, each given by the residuals of the domains; ahead: the point that the next step starts from."""
+    size, root = 1 / (1 + ridge), ((1 + ridge) / ridge) ** 0.5 if ridge else 0.0
+    push = (root - 1) / (root + 1) if root else 0.0
+    start = F.lit(max(1.0, floor))
     if not steps:
-        return F.lit(max(1.0, floor))
+        return start
     residuals = F.array(*(F.array(*map(F.lit, s)) for s in steps))
+    beyond = lambda a: a["r"] + F.lit(push) * (a["r"] - a["was"])
 
-    def step(r: Column, e: Column) -> Column:
+    def step(a: Column, e: Column) -> Column:
         pull = sum((F.get(F.col(post), F.lit(d)) * F.get(e, F.lit(d)) for d in range(1, len(DOMAINS))), F.get(F.col(post), F.lit(0)) * F.get(e, F.lit(0)))
-        return F.greatest(F.lit(float(floor)), r - F.lit(rate) * (pull + F.lit(ridge) * (r - 1)))
+        y = beyond(a)
+        r = F.greatest(F.lit(float(floor)), F.lit(1 - size * ridge) * y + F.lit(size * ridge) - F.lit(size) * pull)
+        return F.struct(r.alias("r"), a["r"].alias("was"))
 
-    return F.aggregate(residuals, F.lit(max(1.0, floor)), step)
+    return F.aggregate(residuals, F.struct(start.alias("r"), start.alias("was")), step, beyond if ahead else lambda a: a["r"])
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0, floor: float = 0.0, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", ridge: float = 0.02, steps: int = 40, tolerance: float = 1e-5, buckets: int = 4096, max_labelled: int = 20_000, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0, floor: float = 0.0, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", ridge: float = 0.02, steps: int = 30, tolerance: float = 1e-5, buckets: int = 4096, max_labelled: int = 20_000, seed: int = 0) -> DataFrame:
     """The columns in ``carry`` (all if None) with n_tokens, posterior, rate and copies (rate rounded up or down by a hash of the id, so its mean is the rate).
 
     targets: weights by domain; growth: expected words after mixing over words now; floor: least rate."""
@@ -89,16 +95,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: f
     goal = [targets.get(d, 0.0) / share * growth for d in DOMAINS]
     total = rows.agg(F.sum(tokens)).first()[0] or 0
     done: list[list[float]] = []
-    size = 1 / (1 + ridge)
     narrow = rows.select(tokens, post)
     for _ in range(steps if total else 0):
-        r = rate_of(post, done, size, ridge, floor)
+        r = rate_of(post, done, ridge, floor, ahead=True)
         sums = narrow.select(tokens, post, r.alias("r_")).agg(*(F.sum(F.col("r_") * F.col(tokens) * F.get(F.col(post), F.lit(d))) for d in range(len(DOMAINS)))).first()
         e = [round(s / total - g, 12) for s, g in zip(sums, goal, strict=True)]
         if done and max(abs(a - b) for a, b in zip(e, done[-1], strict=True)) < tolerance:
             break
         done.append(e)
-    out = rows.withColumn(rate, rate_of(post, done, size, ridge, floor))
+    out = rows.withColumn(rate, rate_of(post, done, ridge, floor))
     chance = F.pmod(F.xxhash64(F.lit(seed), number, tokens), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return out.withColumn(copies, (F.floor(rate) + (chance < F.col(rate) - F.floor(rate)).cast("long")).cast("long")).drop(number)
 
