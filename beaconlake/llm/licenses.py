@@ -12,7 +12,9 @@ Null texts are empty. Ties (same interval and priority) keep the label that sort
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import cache
+from itertools import accumulate, groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -128,11 +130,12 @@ _NAMING = re.compile(r" (?:licen[cs]ed?|spdx|under) ")
 
 
 def places(padded: str, phrase: str) -> list[int]:
-    """Where the phrase stands, as places of its first word."""
-    found, at = [], padded.find(f" {phrase} ")
+    """Words before each place where the phrase stands."""
+    found, words, seen, at = [], 0, 0, padded.find(f" {phrase} ")
     while at >= 0:
-        found.append(at)
-        at = padded.find(f" {phrase} ", at + 1)
+        words += padded.count(" ", seen, at)
+        found.append(words)
+        seen, at = at, padded.find(f" {phrase} ", at + 1)
     return found
 
 
@@ -141,20 +144,34 @@ def detections(padded: str) -> list[tuple[int, int, int, float, str]]:
     automaton, by = gate()
     awake = {w for _, w in automaton.iter(padded)}
     naming = bool(_NAMING.search(padded))
-    found = []
+    found = set()
     text = padded[1:-1]
+    spaces = None
     for i in sorted({i for w in awake for i in by[w]}):
         expression, _, label, score, prio = rules()[i]
         if not naming and prio != 95 and "licen" in expression.pattern:
             continue
         for m in expression.finditer(text):
-            first = text.count(" ", 0, m.start())
-            found.append((first, first + m[0].count(" "), prio, score, label))
+            if spaces is None:
+                spaces = [at for at, c in enumerate(text) if c == " "]
+            first = bisect_left(spaces, m.start())
+            found.add((first, first + m[0].count(" "), prio, score, label))
+    return sorted(uncontained(found))
+
+
+def uncontained(found: set[tuple[int, int, int, float, str]]) -> list[tuple[int, int, int, float, str]]:
+    """The detections that lie in no other of a higher priority, or of the same priority and longer; of equal ones, the first label."""
     kept: list[tuple[int, int, int, float, str]] = []
-    for d in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d[0], d[4])):
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
-    return sorted(kept)
+    for _, level in groupby(sorted(found, key=lambda d: (-d[2], d[0], -d[1], d[4])), key=lambda d: d[2]):
+        higher = sorted(d[:2] for d in kept)
+        starts, reach = [d[0] for d in higher], list(accumulate((d[1] for d in higher), max))
+        last = -1
+        for d in level:
+            before = bisect_right(starts, d[0])
+            if d[1] > last and not (before and reach[before - 1] >= d[1]):
+                kept.append(d)
+                last = d[1]
+    return kept
 
 
 def scan(text: str | bytes | None) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, int, float, str]]]:
@@ -163,7 +180,7 @@ def scan(text: str | bytes | None) -> tuple[int, list[tuple[int, str]], list[tup
     if not words:
         return 0, [], []
     padded = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    base = sorted((padded.count(" ", 0, at), label) for phrase, label in PHRASES.items() if phrase in padded for at in places(padded, phrase))
+    base = sorted((word, label) for phrase, label in PHRASES.items() for word in places(padded, phrase))
     return len(words), base, detections(padded)
 
 
