@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import logs, series, surveys
+from .plans import logs, redirects, series, sites, surveys
 
-FAMILIES = [logs, surveys, series]
+FAMILIES = [logs, surveys, series, redirects, sites]
 
 
 def queries() -> dict:
