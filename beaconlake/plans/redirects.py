@@ -107,3 +107,6 @@ def red_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = R.inventory(spark.createDataFrame([("/",), ("/final/0",), ("/final/1",)], "url string"))
     issues = R.lint(A.derived(A.load(spark, sf_dir, "pages"), MAP), there)
     return issues.groupBy("type", "severity").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+# Not in the catalogue yet: their plans took over 100 s on the smallest tables (see the README).
+UNFINISHED = {name: (QUERIES.pop(name), SQL.pop(name)) for name in ("red_match", "red_decisions", "red_chains", "red_lint")}
