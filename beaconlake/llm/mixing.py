@@ -2,22 +2,27 @@
 
 Domains are the four cells (quality, toxic) of the labelled table. Two naive Bayes classifiers on hashed words, fitted
 to at most ``max_labelled`` labelled documents (those with the smallest hash of their id), give each document posteriors
-of the cells; log odds are divided by the square root of the length, so long documents stay soft. Then nonnegative rates
-r minimise
+of the cells; log odds are divided by the square root of the length, so long documents stay soft. Then rates r, ``floor`` at
+least, minimise
 
     sum_d ((sum_i r_i t_i p_id - T_d) / T)^2 / 2  +  ridge * sum_i t_i / T * (r_i - 1)^2 / 2
 
-(t: words, T_d: target words of a domain, T: all words) by accelerated projected gradient steps in the metric t_i / T (the momentum is
-that of a problem whose curvature lies between ridge and 1 + ridge). A step needs four sums over all documents; a
-document's rate is a fold over the steps' four residuals, so nothing but these numbers is ever gathered.
+(t: words, T_d: target words of a domain, T: all words). The ridge only settles which of the rates that reach the targets
+are taken (those nearest to 1, by words), and how far rates go for targets that can't be reached. At the optimum a rate is
+max(floor, 1 - sum_d y_d p_id) with one dual number y_d for each domain, found by Newton steps on the concave dual. A step
+needs sums over all documents (totals, Gram matrix, value), so nothing but these numbers is ever gathered.
 
-Null and empty texts have no words; their rate is the fold's too, and they carry no weight. Documents with several labels
+With ``growth`` None only the shares of the domains are set and all words may grow (or shrink) as the least change needs:
+then (p_id - target share of d) takes the place of p_id, and T_d is 0.
+
+Null and empty texts have no words; their rate is got in the same way, and they carry no weight. Documents with several labels
 count with their largest; labels that are null are left out. With no labels all posteriors are equal. An empty table
 gives an empty result. Extra columns stay.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,29 +66,61 @@ def posteriors(docs: DataFrame, model: DataFrame, text_col: str, tokens: str, po
     return rows.withColumn("both_", both).select(*docs.columns, F.col("both_.n").alias(tokens), F.col("both_.p").alias(post))
 
 
-def rate_of(post: str, steps: list[list[float]], ridge: float, floor: float, ahead: bool = False) -> Column:
-    """A document's rate after the steps, each given by the residuals of the domains; ahead: the point that the next step starts from."""
-    size, root = 1 / (1 + ridge), ((1 + ridge) / ridge) ** 0.5 if ridge else 0.0
-    push = (root - 1) / (root + 1) if root else 0.0
-    start = F.lit(max(1.0, floor))
-    if not steps:
-        return start
-    residuals = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-    beyond = lambda a: a["r"] + F.lit(push) * (a["r"] - a["was"])
+def rate_of(post: str, duals: list[float], shift: list[float], floor: float) -> Column:
+    """A document's rate by the dual numbers of the domains; shift: what is taken off the posteriors."""
+    return F.greatest(F.lit(float(floor)), 1 - _pull(post, duals, shift))
 
-    def step(a: Column, e: Column) -> Column:
-        pull = sum((F.get(F.col(post), F.lit(d)) * F.get(e, F.lit(d)) for d in range(1, len(DOMAINS))), F.get(F.col(post), F.lit(0)) * F.get(e, F.lit(0)))
-        y = beyond(a)
-        r = F.greatest(F.lit(float(floor)), F.lit(1 - size * ridge) * y + F.lit(size * ridge) - F.lit(size) * pull)
-        return F.struct(r.alias("r"), a["r"].alias("was"))
 
-    return F.aggregate(residuals, F.struct(start.alias("r"), start.alias("was")), step, beyond if ahead else lambda a: a["r"])
+def _pull(post: str, duals: list[float], shift: list[float]) -> Column:
+    return sum((F.lit(float(y)) * F.get(F.col(post), F.lit(d)) for d, y in enumerate(duals)), F.lit(-float(np.dot(duals, shift))))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0, floor: float = 0.0, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", ridge: float = 0.02, steps: int = 30, tolerance: float = 1e-5, buckets: int = 4096, max_labelled: int = 20_000, seed: int = 0) -> DataFrame:
+def solve(rows: DataFrame, tokens: str, post: str, goal: list[float], shift: list[float], floor: float, ridge: float, steps: int, tolerance: float) -> list[float]:
+    """The dual numbers, to a tolerance of the domains' shares of all words."""
+    n, goal = len(DOMAINS), np.array(goal)
+    pairs = [(a, b) for a in range(n) for b in range(a, n)]
+    total = rows.agg(F.sum(tokens)).first()[0] or 0
+    if not total:
+        return [0.0] * n
+    base = rows.select((F.col(tokens) / F.lit(float(total))).alias("w"), F.col(post).alias("p"))
+    q = [F.get(F.col("p"), F.lit(d)) - F.lit(float(shift[d])) for d in range(n)]
+
+    def value(y: np.ndarray) -> Column:
+        u, r = _pull("p", y, shift), rate_of("p", y, shift, floor)
+        return F.sum(F.col("w") * ((r - 1) * (r - 1) / 2 + u * r))
+
+    def at(y: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[float]]:
+        """Gradient and curvature of the dual at y, and its value there and at others, in one pass."""
+        r = rate_of("p", y, shift, floor)
+        free = F.when(1 - _pull("p", y, shift) > floor, F.col("w")).otherwise(0.0)
+        got = base.agg(*(F.sum(F.col("w") * r * c) for c in q), *(F.sum(free * q[a] * q[b]) for a, b in pairs), *map(value, [y, *others])).first()
+        gram = np.zeros((n, n))
+        for (a, b), v in zip(pairs, got[n : n + len(pairs)], strict=True):
+            gram[a, b] = gram[b, a] = v
+        values = [v - z @ goal - ridge / 2 * (z @ z) for z, v in zip([y, *others], got[n + len(pairs) :], strict=True)]
+        return np.array(got[:n]) - goal - ridge * y, gram + ridge * np.eye(n), values
+
+    y = np.zeros(n)
+    gradient, curve, (best,) = at(y, [])
+    for _ in range(steps):
+        if np.abs(gradient).max() < tolerance:
+            break
+        step = np.linalg.solve(curve, gradient)
+        tries = [y + step / 2**k for k in range(8)]
+        gradient, curve, values = at(tries[0], tries[1:])
+        k = 0
+        if values[0] < max(best, *values[1:]) - 1e-15:  # too far: the best of the shorter steps
+            k = int(np.argmax(values))
+            if k:
+                gradient, curve, _ = at(tries[k], [])
+        y, best = tries[k], values[k]
+    return [round(float(v), 9) for v in y]
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float | None = 1.0, floor: float = 0.0, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", ridge: float = 1e-7, steps: int = 60, tolerance: float = 1e-7, buckets: int = 4096, max_labelled: int = 20_000, seed: int = 0) -> DataFrame:
     """The columns in ``carry`` (all if None) with n_tokens, posterior, rate and copies (rate rounded up or down by a hash of the id, so its mean is the rate).
 
-    targets: weights by domain; growth: expected words after mixing over words now; floor: least rate."""
+    targets: weights by domain; growth: expected words after mixing over words now, or None if only shares count; floor: least rate."""
     carry = docs.columns if carry is None else carry
     kept = docs.select(*carry)
     tokens, post, rate, copies = (free_name(kept, c) for c in ("n_tokens", "posterior", "rate", "copies"))
@@ -92,18 +129,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: f
     rows = posteriors(docs.select(*carry, F.col(text_col).alias(text), F.col(id_col).cast("string").alias(number)), model, text, tokens, post, buckets).drop(text)
     rows = written(rows, "posteriors")
     share = sum(targets.values())
-    goal = [targets.get(d, 0.0) / share * growth for d in DOMAINS]
-    total = rows.agg(F.sum(tokens)).first()[0] or 0
-    done: list[list[float]] = []
-    narrow = rows.select(tokens, post)
-    for _ in range(steps if total else 0):
-        r = rate_of(post, done, ridge, floor, ahead=True)
-        sums = narrow.select(tokens, post, r.alias("r_")).agg(*(F.sum(F.col("r_") * F.col(tokens) * F.get(F.col(post), F.lit(d))) for d in range(len(DOMAINS)))).first()
-        e = [round(s / total - g, 12) for s, g in zip(sums, goal, strict=True)]
-        if done and max(abs(a - b) for a, b in zip(e, done[-1], strict=True)) < tolerance:
-            break
-        done.append(e)
-    out = rows.withColumn(rate, rate_of(post, done, ridge, floor))
+    shares = [targets.get(d, 0.0) / share for d in DOMAINS]
+    goal, shift = ([0.0] * len(DOMAINS), shares) if growth is None else ([s * growth for s in shares], [0.0] * len(DOMAINS))
+    duals = solve(rows.select(tokens, post), tokens, post, goal, shift, floor, ridge, steps, tolerance)
+    out = rows.withColumn(rate, rate_of(post, duals, shift, floor))
     chance = F.pmod(F.xxhash64(F.lit(seed), number, tokens), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return out.withColumn(copies, (F.floor(rate) + (chance < F.col(rate) - F.floor(rate)).cast("long")).cast("long")).drop(number)
 
