@@ -18,6 +18,9 @@ from beaconlake.llm.sstable import token_digests
 from beaconlake.llm.tokens import vocabulary
 
 
+MIX = {"growth": None, "floor": 1.0}
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     release(spark)
@@ -37,9 +40,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and again where its domain is short of its target: the least rate is 1, so none is dropped."""
+    """Every document once, and again as often as the target shares need: the least rate is 1, so none is dropped, and the words grow until the domains that are over are down to their share."""
     release(spark)
-    return mixed_documents(docs, table(spark, sf_dir, "labels"), TARGETS, growth=1.1, floor=1.0)
+    return mixed_documents(docs, table(spark, sf_dir, "labels"), TARGETS, **MIX)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
