@@ -48,5 +48,10 @@ def at_rank(values: Column, share: float) -> Column:
     return F.get(v, F.least(F.floor(F.size(v) * share), F.size(v) - 1).cast("int"))
 
 
+def at_rank_of_counts(value: Column, upto: Column, n: Column, share: float) -> Column:
+    """An aggregate: at_rank of values that are counted (upto: how many there are up to each value, n: of all)."""
+    return F.min(F.when(upto > F.least(F.floor(n * share), n - 1), value))
+
+
 def upper_median(values: Column) -> Column:
     return at_rank(values, 0.5)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -74,10 +74,11 @@ def ai_hits(verified: DataFrame) -> DataFrame:
 
 
 def response_times(hits: DataFrame, by: str) -> DataFrame:
-    """Exact ranks of the response times: the value at floor(share * n) of the sorted ones."""
-    v = F.collect_list(F.round("rt_ms", 1))
-    out = hits.where("rt_ms is not null").groupBy(by).agg(F.count("*").alias("n"), F.avg("rt_ms").alias("mean_ms"), v.alias("v"))
-    return out.select(by, "n", F.round("mean_ms", 3).alias("mean_ms"), *(stats.at_rank(F.col("v"), s).alias(f"p{int(s * 100)}") for s in (0.5, 0.9, 0.99)))
+    """Exact ranks of the response times: the value at floor(share * n) of the sorted ones. Equal times (to 0.1 ms) are counted first, so a group is as large as its different times."""
+    v = hits.where("rt_ms is not null").groupBy(by, F.round("rt_ms", 1).alias("v")).agg(F.count("*").alias("c"), F.sum("rt_ms").alias("s"))
+    group = Window.partitionBy(by)
+    v = v.withColumns({"upto": F.sum("c").over(group.orderBy("v")), "n": F.sum("c").over(group)})
+    return v.groupBy(by, "n").agg(F.round(F.sum("s") / F.sum("c"), 3).alias("mean_ms"), *(stats.at_rank_of_counts(F.col("v"), F.col("upto"), F.col("n"), s).alias(f"p{int(s * 100)}") for s in (0.5, 0.9, 0.99)))
 
 
 def approximate_response_times(hits: DataFrame, by: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, web
@@ -25,8 +25,10 @@ def compare(obs: DataFrame, by: str, wave: str = "wave") -> DataFrame:
 
 
 def repetitions(obs: DataFrame) -> DataFrame:
-    """How often each prompt was put to each engine: least, most and upper median over all pairs."""
-    return obs.groupBy("prompt_id", "engine").agg(F.count("*").alias("n")).agg(F.count("*").alias("pairs"), F.min("n").alias("least"), F.max("n").alias("most"), stats.upper_median(F.collect_list("n")).alias("median"))
+    """How often each prompt was put to each engine: least, most and upper median over all pairs. Pairs are counted by n first, so one task sees each n once."""
+    by_n = obs.groupBy("prompt_id", "engine").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("c"))
+    both = by_n.withColumns({"upto": F.sum("c").over(Window.orderBy("n")), "all": F.sum("c").over(Window.partitionBy())})
+    return both.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("pairs"), F.min("n").alias("least"), F.max("n").alias("most"), stats.at_rank_of_counts(F.col("n"), F.col("upto"), F.col("all"), 0.5).alias("median"))
 
 
 def share_of_voice(obs: DataFrame, brands: Column) -> DataFrame:
