@@ -9,15 +9,19 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_owner: ContextVar[str | None] = ContextVar("owner of the scratch tables", default=None)
+
 #: Bytes after lower-casing A-Z; every byte below 0x80 that is no ASCII letter or digit becomes a space.
 _ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def utf8(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def utf8(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
 
 
 def space_words(text: str | None) -> list[bytes]:
@@ -40,12 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder all executors share, from spark.checkpoint.dir. Where it is unset, a folder of our own in local mode (tests); on a cluster that is an error."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="beaconlake-")
         atexit.register(shutil.rmtree, path, True)
         sc.setCheckpointDir(path)
@@ -53,8 +59,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, deleted when the application ends, or when its owner is released (see owned)."""
     path = f"{shared_dir(spark)}/beaconlake-{name}-{uuid.uuid4().hex}"
-    _written(spark).append(path)
+    _written(spark).append((_owner.get(), path))
     return path
 
 
@@ -67,19 +74,35 @@ def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _written(spark: SparkSession) -> list[str]:
-    if not hasattr(spark.sparkContext, "_beaconlake_written"):
-        spark.sparkContext._beaconlake_written = []
-    return spark.sparkContext._beaconlake_written
+def _written(spark: SparkSession) -> list[tuple[str | None, str]]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_beaconlake_written"):
+        sc._beaconlake_written = []
+        atexit.register(_delete, sc._jvm, sc._jsc.hadoopConfiguration(), sc._beaconlake_written, None, True)
+    return sc._beaconlake_written
+
+
+@contextlib.contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Scratch tables that are written inside belong to the owner, who may release them together."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the scratch tables of an owner who has stored every result that was read from them. Those of others stay."""
+    sc = spark.sparkContext
+    _delete(sc._jvm, sc._jsc.hadoopConfiguration(), _written(spark), owner)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables so far. For callers who have stored every result that was read from them."""
-    paths = _written(spark)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while paths:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
-        with contextlib.suppress(Exception):  # already gone
+def _delete(jvm, conf, paths: list[tuple[str | None, str]], owner: str | None, every: bool = False) -> None:
+    for x in [x for x in paths if every or x[0] == owner]:
+        paths.remove(x)
+        with contextlib.suppress(Exception):  # already gone, or the JVM is
+            path = jvm.org.apache.hadoop.fs.Path(x[1])
             path.getFileSystem(conf).delete(path, True)
 
 
@@ -89,7 +112,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_beaconlake_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp()
+    folder = tempfile.mkdtemp(prefix="beaconlake-")  # Spark serves the file from there as long as the application runs
+    atexit.register(shutil.rmtree, folder, True)
     path = f"{folder}/beaconlake.zip"
     with zipfile.ZipFile(path, "w") as z:
         for at, _, names in os.walk(root):

@@ -1,12 +1,15 @@
 """License scan: ordered signature rules, gated by a keyword prefilter, with priorities and containment.
 
 A rule is a regular expression over the normalised words of a text (A-Z lower-cased, one space between words) with a
-label, a priority and a score. Most are made from the table of licenses below by the templates of how licenses are named
-(hundreds of expressions). A rule only runs where one of its keywords occurs: one pass of an Aho-Corasick automaton over
-the text finds them. Detections are intervals of words; one that lies inside another of a higher priority, or of the same
-priority and longer, is suppressed. The phrases of ``PHRASES`` are detections of their own that nothing suppresses.
-
-Null texts are empty. Ties (same interval and priority) keep the label that sorts first. Whole texts are scanned.
+label, a priority and a score. Over two hundred are written by hand (``license_rules``); identifiers and names of licenses
+add hundreds by the templates of how they are written. A rule only runs where its keyword occurs: one pass of an
+Aho-Corasick automaton over the text finds them. Detections are intervals of words; one that lies inside another of a higher
+priority, or of the same priority and longer, is suppressed. The phrases of ``PHRASES`` are detections of their own that
+nothing suppresses.
+
+Null and empty texts have no words and no detections. Ties (same interval and priority) keep the label that sorts first.
+Whole texts are scanned, however long; equal texts are scanned alike. Extra columns stay; names that are taken get leading
+underscores. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ import re
 from bisect import bisect_left, bisect_right
 from functools import cache
 from itertools import accumulate, groupby
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import alnum_words, free_name, ship
+from .license_rules import SIGNATURES, SPDX
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -71,62 +76,83 @@ LICENSES = {
 
 #: How a license is named, with its score and priority; N stands for the name, V for a version that may follow.
 TEMPLATES = [
-    (r"spdx license identifier N(?: (?:only|or later))?V", 1.0, 90),
     (r"(?:licensed|released|distributed|available|published|provided|redistributed?) (?:it )?under (?:the )?(?:terms of (?:the )?)?NV(?: licen[cs]e)?V", 0.95, 80),
-    (r"terms (?:and conditions )?of (?:the )?N licen[cs]eV", 0.9, 70),
+    (r"terms (?:and conditions )?of (?:the )?NV licen[cs]eV", 0.9, 70),
     (r"(?:subject to|governed by|covered by|as per) (?:the )?NV licen[cs]eV", 0.85, 65),
-    (r"NV licen[cs]e(?: (?:agreement|header|text))?(?: as published by [^ ]+(?: [^ ]+){0,4})?(?: version| v)?V", 0.7, 50),
+    (r"NV licen[cs]e(?: (?:agreement|header|text))?(?: as published by the free software foundation)?(?: version| v)?V", 0.7, 50),
+    (r"NV licen[cs]ed", 0.7, 45),
     (r"licen[cs]e (?:is )?NV", 0.6, 40),
 ]
-_VERSION = r"(?: (?:version )?v?\d+(?: \d+)*\+?)?"
-
-#: Signatures of license texts, written out: expression, keyword, label, score, priority.
-SIGNATURES = [
-    (r"permission is hereby granted free of charge to any person obtaining a copy", "hereby", "mit", 1.0, 95),
-    (r"the software is provided as is without warranty of any kind express or implied", "warranty", "mit", 0.8, 60),
-    (r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution", "bsd", 1.0, 95),
-    (r"neither the name of .{1,80}? nor the names of its contributors", "contributors", "bsd", 0.9, 85),
-    (r"this software is provided by the copyright holders and contributors as is", "contributors", "bsd", 0.8, 60),
-    (r"permission to use copy modify and or distribute this software for any purpose with or without fee", "permission", "isc", 1.0, 95),
-    (r"this program is free software you can redistribute it and or modify it", "redistribute", "gpl", 0.9, 85),
-    (r"this library is free software you can redistribute it and or modify it", "redistribute", "lgpl", 0.9, 85),
-    (r"everyone is permitted to copy and distribute verbatim copies", "verbatim", "gpl", 0.8, 60),
-    (r"this is free and unencumbered software released into the public domain", "unencumbered", "unlicense", 1.0, 95),
-    (r"boost software license version 1 0", "boost", "boost", 1.0, 95),
-    (r"this source code form is subject to the terms of the mozilla public license", "mozilla", "mpl", 1.0, 95),
-    (r"you may not use this file except in compliance with the license", "compliance", "apache", 0.9, 85),
-    (r"all rights reserved", "reserved", "all-rights-reserved", 0.3, 10),
-    (r"(?:dedicated to|released into|placed in|in) the public domain", "domain", "public-domain", 0.6, 30),
-    (r"proprietary and confidential", "proprietary", "proprietary", 0.7, 30),
-]
+_VERSION = r"(?: (?:version )?v?\d+(?: \d+)*)?"
+#: Names of one short word may have their version glued to them (gplv3, lgpl2).
+_GLUED = r"(?:v?\d+)?"
+
+
+class Rule(NamedTuple):
+    expression: re.Pattern
+    key: str  # what must stand in the text for the rule to run: a word with its spaces, or the beginning of one
+    label: str
+    score: float
+    priority: int
+    named: bool  # made by a template, all of which have one of the words of _NAMING
+
+
+def keyword(expression: str) -> str:
+    """The longest word that every match of the expression has, with a space on both sides; brackets and what follows them are passed over."""
+    plain, depth = [], 0
+    for i, c in enumerate(expression):
+        if c in "([":
+            depth += 1
+            plain.append("\0")
+        elif c in ")]":
+            depth -= 1
+            plain.append("\0")
+        elif not depth:
+            plain.append("\0" if c in "?*+|^$\\." else c)
+    words = [w for w in "".join(plain).split(" ") if w and "\0" not in w]
+    if not words:
+        raise ValueError(f"no word that all matches have: {expression}")
+    return f" {max(words, key=len)} "
 
 
 @cache
-def rules() -> list[tuple[re.Pattern, str, str, float, int]]:
-    """(expression, keyword, label, score, priority), by priority."""
-    found = [(re.compile(rf"\b{s}\b"), key, label, score, prio) for s, key, label, score, prio in SIGNATURES]
+def rules() -> list[Rule]:
+    """All rules, by priority: signatures written out, identifiers, and names in their templates."""
+    found = []
+
+    def add(expression: str, label: str, score: float, priority: int, key: str | None = None, named: bool = False) -> None:
+        found.append(Rule(re.compile(rf"(?<![^ ])(?:{expression})(?![^ ])"), key or keyword(expression), label, score, priority, named))
+
+    for label, kinds in SIGNATURES.items():
+        for score, priority, expressions in kinds:
+            for x in expressions:
+                add(x, label, score, priority)
+    for label, ids in SPDX.items():
+        for x in ids:
+            add(rf"spdx license identifier {x}(?: only| or later)?", label, 1.0, 91, " spdx ")
     for label, names in LICENSES.items():
         for name in names:
-            key = max(name.split(), key=len)
-            for template, score, prio in TEMPLATES:
-                found.append((re.compile(rf"(?<![^ ])(?:{template.replace('N', name).replace('V', _VERSION)})(?![^ ])"), key, label, score, prio))
-    return sorted(found, key=lambda r: (-r[4], r[2], r[0].pattern))
+            short = " " not in name and len(name) <= 5
+            key = f" {name}" if short else f" {max(name.split(), key=len)} "
+            for template, score, priority in TEMPLATES:
+                add(template.replace("N", name + _GLUED * short).replace("V", _VERSION), label, score, priority, key, True)
+    return sorted(found, key=lambda r: (-r.priority, r.label, r.expression.pattern))
 
 
 @cache
 def gate() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
-    """The automaton of keywords, and the rules that each wakes. Every rule also needs a word that all templates have."""
+    """The automaton of keys, and the rules that each wakes."""
     by: dict[str, list[int]] = {}
     for i, r in enumerate(rules()):
-        by.setdefault(r[1], []).append(i)
+        by.setdefault(r.key, []).append(i)
     a = ahocorasick.Automaton()
-    for word in by:
-        a.add_word(f" {word} ", word)
+    for key in by:
+        a.add_word(key, key)
     a.make_automaton()
     return a, by
 
 
-_NAMING = re.compile(r" (?:licen[cs]ed?|spdx|under) ")
+_NAMING = re.compile(r" (?:licen[cs]ed?|under) ")
 
 
 def places(padded: str, phrase: str) -> list[int]:
@@ -148,8 +174,8 @@ def detections(padded: str) -> list[tuple[int, int, int, float, str]]:
     text = padded[1:-1]
     spaces = None
     for i in sorted({i for w in awake for i in by[w]}):
-        expression, _, label, score, prio = rules()[i]
-        if not naming and prio != 95 and "licen" in expression.pattern:
+        expression, _, label, score, prio, named = rules()[i]
+        if named and not naming:
             continue
         for m in expression.finditer(text):
             if spaces is None:
@@ -191,7 +217,7 @@ def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     columns = list(docs.columns)
     base_type = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
     found_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("priority", pa.int32()), ("score", pa.float64()), ("label", pa.string())]))
-    kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{names[0]} long", f"{names[1]} array<struct<word:bigint,label:string>>", f"{names[2]} array<struct<first:bigint,last:bigint,priority:int,score:double,label:string>>"]
+    kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{names[0]}` long", f"`{names[1]}` array<struct<word:bigint,label:string>>", f"`{names[2]}` array<struct<first:bigint,last:bigint,priority:int,score:double,label:string>>"]
 
     def scanned(batches):
         for b in batches:

@@ -8,16 +8,22 @@ least, minimise
     sum_d ((sum_i r_i t_i p_id - T_d) / T)^2 / 2  +  ridge * sum_i t_i / T * (r_i - 1)^2 / 2
 
 (t: words, T_d: target words of a domain, T: all words). The ridge only settles which of the rates that reach the targets
-are taken (those nearest to 1, by words), and how far rates go for targets that can't be reached. At the optimum a rate is
-max(floor, 1 - sum_d y_d p_id) with one dual number y_d for each domain, found by Newton steps on the concave dual. A step
-needs sums over all documents (totals, Gram matrix, value), so nothing but these numbers is ever gathered.
+are taken (those nearest to 1, by words), and how far rates go for targets that can't be reached. The least squares are
+solved by projected gradient steps: the gradient of a document's rate is the sum over the domains of residual times
+posterior, so the gradients of all steps add up to one number y_d for each domain, and a rate is the projection
+max(floor, 1 - sum_d y_d p_id) of what they lead to. Steps of plain size need thousands of rounds where domains overlap, so
+a step is scaled by the inverse of the domains' Gram matrix over the documents that aren't at the floor (which makes it a
+Newton step on the dual) and halved until the dual rises. A round needs sums over all documents (totals, Gram matrix,
+value), so nothing but these numbers is ever gathered. ``residual`` says how far the totals are from the targets.
 
 With ``growth`` None only the shares of the domains are set and all words may grow (or shrink) as the least change needs:
 then (p_id - target share of d) takes the place of p_id, and T_d is 0.
 
-Null and empty texts have no words; their rate is got in the same way, and they carry no weight. Documents with several labels
-count with their largest; labels that are null are left out. With no labels all posteriors are equal. An empty table
-gives an empty result. Extra columns stay.
+Null and empty texts have no words; their rate is got in the same way, and they carry no weight. Very long texts are
+counted whole. Equal texts have equal rates; copies of rows with equal ids are rounded alike. Documents with several labels
+count with their largest; labels that are null, or whose id is, are left out, as are other columns of the labels. With no
+labels all posteriors are equal. An empty table gives an empty result. Extra columns stay; names that are taken get leading
+underscores.
 """
 
 from __future__ import annotations
@@ -61,9 +67,9 @@ def posteriors(docs: DataFrame, model: DataFrame, text_col: str, tokens: str, po
         p = let(odds, lambda o: F.struct((1 / (1 + F.exp(-o["q"]))).alias("q"), (1 / (1 + F.exp(-o["t"]))).alias("t")))
         return let(p, lambda x: F.array((1 - x["q"]) * (1 - x["t"]), (1 - x["q"]) * x["t"], x["q"] * (1 - x["t"]), x["q"] * x["t"]))
 
-    rows = docs.withColumn("model_", m)
-    both = let(_buckets(F.col(text_col), buckets), lambda b: F.struct(F.size(b).cast("long").alias("n"), let(F.col("model_"), lambda x: scored(b, x)).alias("p")))
-    return rows.withColumn("both_", both).select(*docs.columns, F.col("both_.n").alias(tokens), F.col("both_.p").alias(post))
+    held, found = free_name(docs, "model_"), free_name(docs, "found_")
+    both = let(_buckets(F.col(text_col), buckets), lambda b: F.struct(F.size(b).cast("long").alias("n"), let(F.col(held), lambda x: scored(b, x)).alias("p")))
+    return docs.withColumn(held, m).withColumn(found, both).select(*docs.columns, F.col(f"{found}.n").alias(tokens), F.col(f"{found}.p").alias(post))
 
 
 def rate_of(post: str, duals: list[float], shift: list[float], floor: float) -> Column:
@@ -140,4 +146,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: f
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options) -> DataFrame:
     """The documents, each as often as its copies say, same columns."""
     n = free_name(docs, "copies")
-    return mix(docs, labels, targets, **options).where(F.col(n) > 0).withColumn("again_", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+    rows = mix(docs, labels, targets, **options).where(F.col(n) > 0)
+    return rows.withColumn(free_name(rows, "again_"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+
+
+def residual(mixed: DataFrame, targets: dict[str, float], by: str = "rate", tokens: str = "n_tokens", post: str = "posterior") -> DataFrame:
+    """domain, target share, share and difference of the words that a result of ``mix`` leads to, by its rates or its copies."""
+    sums = mixed.agg(*(F.sum(F.col(tokens) * F.col(by) * F.get(post, F.lit(d))).alias(x) for d, x in enumerate(DOMAINS)))
+    every, goal = sum(F.col(x) for x in DOMAINS), sum(targets.values())
+    rows = F.array(*(F.struct(F.lit(x).alias("domain"), F.lit(targets.get(x, 0.0) / goal).alias("target"), F.try_divide(F.col(x), every).alias("share")) for x in DOMAINS))
+    return sums.select(F.explode(rows).alias("r")).select("r.*", (F.col("r.share") - F.col("r.target")).alias("difference"))

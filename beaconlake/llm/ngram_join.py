@@ -4,25 +4,33 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
 shares a token in its prefixes (the first ``n - ceil(n * percent / 100) + 1`` tokens) under *every* global order, so
 
 1. all shingles are counted (sorted key blobs are the map-side combine; a reducer owns a range of keys), which gives
-   two bitmaps of fixed size: keys that occur in two documents or more, and keys that many documents share;
-2. three orders place much-shared tokens last and deal the others by three hashes; a document's prefix under each is
-   kept without tokens that occur nowhere else, and a document for which one of them is empty has no partner;
+   bitmaps: keys that occur in two documents or more, and those that many documents share, in four steps of 8 times as
+   many. Their size follows the bytes of the texts, up to ``max_bits``;
+2. three orders place much-shared tokens last (the most shared ones last of all) and deal those of a step by three hashes;
+   a document's prefix under each is kept without tokens that occur nowhere else, and a document for which one of them is
+   empty has no partner;
 3. documents with equal sets collapse into one representative;
 4. tokens that only one document has are shared with nobody, which bounds a document's best similarity and a pair's;
 5. representatives that share a prefix token under the first order are compared with one centre for each token; links
    become components; then only pairs of different components that share a token are compared. All candidates must
-   share prefix tokens under the other two orders too before their sets are intersected.
+   share prefix tokens under the other two orders too before their sets are intersected;
+6. of what is left, a token's representative only stays if its tokens that nobody shares and the fewest such of any
+   other of that token leave room for a link; tokens that still have many representatives are split further, by the
+   tokens of the second order and by set size (sizes of a pair that links are at most a class apart).
 
-The bitmaps only decide the order and which tokens can't matter; a false positive never loses a link. Nothing is
-capped. Pairs inside a component are never emitted, so a group of n near copies costs about n comparisons.
+The bitmaps only decide the order and which tokens can't matter; a false positive never loses a link, so texts beyond
+what ``max_bits`` can tell apart cost more but lose nothing. Nothing is capped. Pairs inside a component are never emitted,
+so a group of n near copies costs about n comparisons.
 
 Null, empty and blank texts have the empty set, link with nothing and are their own component. Null ids stay: each row
 has its component, and a row without id joins the component of its text's set. Repeated ids are one document with
-several texts: its rows share a component only if their sets link. Input columns other than the two named are ignored.
+several texts: its rows share a component only if their sets link. Input columns other than the two named are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -33,9 +41,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import free_name, ship, written
 
-ORDERS = 3
+ORDERS, STEPS = 3, 4
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -140,12 +148,15 @@ def _bits(values: np.ndarray, size: int) -> bytes:
     return np.packbits(on, bitorder="little").tobytes()
 
 
-def recurring(docs: DataFrame, k: int, map_bits: int, heavy: int) -> tuple[bytes, bytes, int]:
-    """Bitmaps (of fixed size) of the shingles that two documents or more have, and of those that ``heavy`` or more have."""
+def recurring(docs: DataFrame, k: int, map_bits: int, heavy: int, shingles: int) -> tuple[bytes, list[bytes], int]:
+    """Bitmaps of the shingles that two documents or more have, and of those that ``heavy``, 8 * heavy, ... or more have.
+
+    A reducer owns a range of keys: as many as the shuffle has partitions times four, or more, so that a range has about eight million keys."""
     spark = docs.sparkSession
-    bits = max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (shingles >> 23).bit_length())
     bits = min(bits, map_bits - 6)
     few = map_bits - 3
+    steps = [f"often{i}" for i in range(STEPS)]
 
     def count(t: pa.Table) -> pa.Table:
         keys = np.concatenate([decode(x) for x in t.column("keys").to_pylist()])
@@ -153,15 +164,16 @@ def recurring(docs: DataFrame, k: int, map_bits: int, heavy: int) -> tuple[bytes
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         n = np.diff(np.r_[starts, len(keys)])
         values = keys[starts]
-        return pa.table({"part": t.column("part")[:1], "twice": pa.array([_bits(values[n > 1], map_bits - bits)], pa.binary()), "often": pa.array([_bits(values[n >= heavy], few - bits)], pa.binary())})
+        many = {x: pa.array([_bits(values[n >= heavy * 8**i], few - bits)], pa.binary()) for i, x in enumerate(steps)}
+        return pa.table({"part": t.column("part")[:1], "twice": pa.array([_bits(values[n > 1], map_bits - bits)], pa.binary())} | many)
 
     blobs = docs.select("text").mapInArrow(count_blobs(bits, k), "part int, keys binary")
-    rows = blobs.groupBy("part").applyInArrow(count, "part int, twice binary, often binary")
-    twice, often = np.zeros(1 << (map_bits - 3), np.uint8), np.zeros(1 << (few - 3), np.uint8)
-    for r in rows.toLocalIterator():
-        for whole, slice_, size in ((twice, r.twice, map_bits - bits - 3), (often, r.often, few - bits - 3)):
-            whole[r.part << size : (r.part + 1) << size] = np.frombuffer(slice_, np.uint8)
-    return twice.tobytes(), often.tobytes(), map_bits
+    rows = blobs.groupBy("part").applyInArrow(count, "part int, twice binary, " + ", ".join(f"{x} binary" for x in steps))
+    twice, often = np.zeros(1 << (map_bits - 3), np.uint8), [np.zeros(1 << (few - 3), np.uint8) for _ in steps]
+    for r in rows.toLocalIterator():  # bitmaps of bounded size, a range at a time
+        for whole, name, size in ((twice, "twice", map_bits - bits - 3), *((o, x, few - bits - 3) for o, x in zip(often, steps, strict=True))):
+            whole[r.part << size : (r.part + 1) << size] = np.frombuffer(r[name], np.uint8)
+    return twice.tobytes(), [o.tobytes() for o in often], map_bits
 
 
 def _on(bitmap: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
@@ -169,12 +181,17 @@ def _on(bitmap: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def prefixes(sets: list[np.ndarray], twice: np.ndarray, often: np.ndarray, size: int, percent: int) -> Iterator[tuple[int, float, list[np.ndarray]]]:
+def prefixes(sets: list[np.ndarray], twice: np.ndarray, often: list[np.ndarray], size: int, percent: int) -> Iterator[tuple[int, float, list[np.ndarray]]]:
     """Of each document: how many tokens recur, the share of its first prefix that few others have, the recurring tokens of its prefixes."""
     every = np.concatenate(sets)
-    late, again = _on(often, every, size - 3), _on(twice, every, size)
-    top = late.astype(np.uint64) << np.uint64(63)
-    keys = [(every if k == 0 else mixed(every, k)) >> np.uint64(1) | top for k in range(ORDERS)]
+    late, again = _on(often[0], every, size - 3), _on(twice, every, size)
+    step = np.zeros(len(every), np.uint64)
+    shared = np.flatnonzero(late)
+    for o in often:
+        shared = shared[_on(o, every[shared], size - 3)]
+        step[shared] += np.uint64(1)
+    top = step << np.uint64(61)
+    keys = [(every if k == 0 else mixed(every, k)) >> np.uint64(3) | top for k in range(ORDERS)]
     start = 0
     for h in sets:
         part, start = slice(start, start + len(h)), start + len(h)
@@ -205,7 +222,7 @@ def sign(maps, k: int, percent: int):
 
     def signed(batches):
         a, b, size = maps.value
-        twice, often = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+        twice, often = np.frombuffer(a, np.uint8), [np.frombuffer(x, np.uint8) for x in b]
         for batch, texts in grouped(batches, "text"):
             cols = {c: [] for c in ("low", "high", "n", "s", "own", "sketch", "pa", "pb", "pc", "tokens")}
             sets = shingle_sets(texts, k)
@@ -254,17 +271,42 @@ def _linked(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return near.where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, map_bits: int = 27, heavy: int = 64) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document. map_bits: size of the filters (2 ** map_bits bits, 16 MB)."""
+def _split(rows: DataFrame, other: DataFrame, reps: DataFrame, percent: int, hot: int) -> DataFrame:
+    """Pairs (a, b) of rows and other that share a token and may link. Both: token, rep, x (see jaccard_components), component.
+
+    Where more than ``hot`` pairs share a token, both sides are keyed by the tokens of their prefix under the second order
+    as well, and by the class of their set size; a pair that links meets under such a key."""
+    n = other.groupBy("token").agg(F.count("*").alias("n")).join(rows.groupBy("token").agg(F.count("*").alias("m")), "token")
+    busy = written(n.where(F.col("n") * F.col("m") > hot).select("token"), "busy")
+    second = reps.select("rep", F.col("pb").alias("second"))
+    size = F.floor(F.log(F.col("x.n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("long")
+
+    def keyed(df: DataFrame, near: list[int]) -> DataFrame:
+        far = df.join(busy, "token", "left_semi").join(second, "rep").withColumn("second", F.explode("second"))
+        far = far.withColumn("class", F.explode(F.array(*(size + i for i in near))))
+        plain = df.join(busy, "token", "left_anti").withColumns({"second": F.lit(0).cast("long"), "class": F.lit(0).cast("long")})
+        return plain.select("token", "second", "class", "rep", "x", "component").unionByName(far.select("token", "second", "class", "rep", "x", "component"))
+
+    left = keyed(rows, [0]).select("token", "second", "class", F.col("rep").alias("other"), F.col("x").alias("y"), F.col("component").alias("cy"))
+    pairs = left.join(keyed(other, [-1, 0, 1]), ["token", "second", "class"]).where((F.col("cy") != F.col("component")) & _fits("x", "y", percent))
+    return pairs.select(F.least("other", "rep").alias("a"), F.greatest("other", "rep").alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, max_bits: int = 29, heavy: int = 64, hot: int = 1_000_000) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document.
+
+    max_bits: the bitmaps have 2 ** max_bits and STEPS times an eighth of that many bits at most (96 MB), and about two bits for each shingle below that."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    maps = spark.sparkContext.broadcast(recurring(docs, k, map_bits, heavy))
+    shingles = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    map_bits = min(max_bits, max(16, shingles.bit_length() + 1))
+    maps = spark.sparkContext.broadcast(recurring(docs, k, map_bits, heavy, shingles))
     signed = written(docs.mapInArrow(sign(maps, k, percent), SIGNED), "signed")
     whole = F.struct("n", "s", "own", "sketch", "pa", "pb", "pc", "tokens")
-    # A row without id still stands for its set; ids that repeat get apart by their digests.
+    # A row without id still stands for its set; ids that repeat get apart by their digests. A representative is numbered as it is written.
     reps = signed.where("size(pa) > 0").groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.first(whole).alias("x"))
-    reps = written(reps.select(F.xxhash64("low", "high").alias("rep"), "low", "high", "least", "x.*"), "reps")
+    reps = written(reps.select(F.monotonically_increasing_id().alias("rep"), "low", "high", "least", "x.*"), "reps")
     tokens = reps.select("rep", F.struct("own", "rep", "n", "s", "sketch").alias("x"), F.explode("pa").alias("token"))
     centre = tokens.groupBy("token").agg(F.count("*").alias("in"), F.min("x").alias("c")).where("in > 1").select("token", "c")
     shared = tokens.join(centre, "token").select("token", "rep", "x", F.col("c.rep").alias("a"), ((F.col("rep") != F.col("c.rep")) & _fits("x", "c", percent)).alias("near"))
@@ -276,25 +318,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = shared.select("token", "rep", "x", "a").join(part.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     main = part.select(F.col("id").alias("a"), F.col("component").alias("main"))
     own = written(own.join(main, "a", "left").withColumn("main", F.coalesce("main", "a")).drop("a"), "own")
-    minor = own.where("component <> main").select("token", F.col("rep").alias("other"), F.col("x").alias("y"), F.col("component").alias("cy"))
-    rest = minor.join(own, "token").where((F.col("cy") != F.col("component")) & _fits("x", "y", percent))
-    rest = rest.select(F.least("other", "rep").alias("a"), F.greatest("other", "rep").alias("b")).distinct()
+    # A pair shares min(s) tokens at most, and the tokens that nobody shares with either are all in the union.
+    alone = F.col("x.n") - F.col("x.s")
+    fewest = own.groupBy("token").agg(F.min(F.struct(alone.alias("u"), F.col("rep").alias("rep"))).alias("f"), F.count_if(F.col("component") != F.col("main")).alias("minor")).where("minor > 0")
+    second = own.join(fewest.select("token", "f"), "token").where(F.col("rep") != F.col("f.rep")).groupBy("token").agg(F.min(alone).alias("u2"))
+    room = fewest.join(second, "token").select("token", "f", "u2")
+    least = F.when(F.col("rep") == F.col("f.rep"), F.col("u2")).otherwise(F.col("f.u"))
+    own = own.join(room, "token").where((alone + least) * percent <= F.col("x.s") * (100 - percent)).drop("f", "u2")
+    own = written(own, "left")
+    rest = _split(own.where("component <> main"), own, reps, percent, hot)
     seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(rest.join(seen, ["a", "b"], "left_anti"), "rest")
     links = written(links.union(_linked(rest, reps, percent)), "links")
     part = components(links).withColumnRenamed("id", "rep")
     # Labels of the components are the smallest ids of their documents.
     named = reps.select("rep", "low", "high", "least").join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    to = named.join(least, "component").select("low", "high", "component_id")
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    to = named.join(smallest, "component").select("low", "high", "component_id")
     return signed.select("doc_id", "low", "high", "n").join(to, ["low", "high"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that a linked document with a smaller id stands for.
+    """The documents without those that a linked document with a smaller id stands for, same columns.
 
     Ids should be unique: rows that share one go together when any of them is linked with a smaller id, and stay together
-    else. Rows without id and rows without words stay."""
+    else. Rows without id and rows without words stay. Very long texts are compared whole; columns of any name are fine."""
     found = jaccard_components(docs, **options)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[options.get("id_col", "doc_id")].cast("long") == F.col("_gone"), "left_anti")
+    key = free_name(docs, "gone_")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, docs[options.get("id_col", "doc_id")].cast("long") == F.col(key), "left_anti")

@@ -3,16 +3,20 @@
 Rules of a document: the base rule (too few words, or too many words inside repeated windows) and three soft rules
 (symbols, repeated lines, mean word length). The share of a host's documents that fail any rule is shrunk towards an
 empirical beta prior, fitted to all hosts by the method of moments, so a host with a handful of documents isn't judged by them
-alone. On a host whose shrunk rate passes ``host_limit`` a document must pass every rule; elsewhere soft failures are
-forgiven. A document that fails the base rule is never kept.
-
-Null texts have no words (and fail the base rule). A null host counts as the empty name. Extra columns stay; names that
-are taken get a leading underscore. An empty table gives an empty result. The features are computed once, over whole texts,
-and written with the rows; hosts are counted by partial sums, so one large host is no hot spot.
+alone. A host is strict if its rate is above the mean of all hosts with a probability of ``sure`` or more, by its posterior
+(in the normal approximation). On a strict host a document must pass every rule; elsewhere soft failures are forgiven. A
+document that fails the base rule is never kept, one that passes all rules always is.
+
+Null and empty texts have no words (and fail the base rule). Very long texts are measured whole. Equal rows are judged
+alike. A null host counts as the empty name. Extra columns stay; names that are taken get leading underscores. An empty
+table gives an empty result. The features are computed once and written with the rows; hosts are counted by partial sums,
+so one large host is no hot spot, and their rates join back by host (a small table that Spark broadcasts by its size).
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,45 +54,57 @@ def repeat_words(words: Column, window: int = 8) -> Column:
 
 
 def base_features(text: Column) -> list[Column]:
+    """by_words (n_words, n_repeat_words), word_chars, n_symbols, by_lines (n_lines, n_dup_lines)."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     by_words = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
+    by_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     return [
         by_words.alias("by_words"),
         F.char_length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("by_lines"),
+        by_lines.alias("by_lines"),
     ]
 
 
-def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
-    """host, n, k (documents that fail) and rate, shrunk by the empirical beta prior."""
-    hosts = written(rows.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(F.col(failed)).alias("k")), "hosts")
+def host_rates(rows: DataFrame, host: str, failed: Column, sure: float) -> DataFrame:
+    """host, rate (shrunk by the empirical beta prior) and strict. rows: anything with a host and a failure."""
+    hosts = written(rows.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(failed).alias("k")), "hosts")
     rate = F.col("k") / F.col("n")
     m = hosts.agg(F.avg(rate).alias("mean"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("var"), F.avg(rate * (1 - rate) / F.col("n")).alias("noise")).first()
     mean, between = m["mean"] or 0.0, max((m["var"] or 0.0) - (m["noise"] or 0.0), 0.0)
     strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1000.0) if between > 0 else 1000.0
-    return hosts.withColumn("rate", (F.col("k") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
-
-
-def host_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", carry: list[str] | None = None, host_limit: float = 0.5) -> DataFrame:
-    """The columns in ``carry`` (all if None) with the base features, n_failed (rules), base_failed, host_rate and kept."""
-    carry = docs.columns if carry is None else carry
-    own = {c: free_name(docs.select(*carry), c) for c in [*BASE, "n_failed", "base_failed", "host_rate", "kept", "host_"]}
-    n, chars, symbols, dup, repeat = (F.col(own[c]) for c in BASE)
-    rows = docs.select(*carry, F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias(own["host_"]), *base_features(F.col(text_col)))
-    rows = rows.select(*carry, own["host_"], F.col("by_words.n_words").alias(own["n_words"]), F.col("word_chars").alias(own["word_chars"]), F.col("n_symbols").alias(own["n_symbols"]), F.col("by_lines.n_dup_lines").alias(own["n_dup_lines"]), F.col("by_words.n_repeat_words").alias(own["n_repeat_words"]), F.col("by_lines.n_lines").alias("n_lines_"))
-    base = (n < 20) | (repeat * 100 > n * 30)
-    rules = [base, symbols * 100 > n * 10, dup * 100 > F.col("n_lines_") * 30, (chars * 2 < n * 5) | (chars > n * 12)]
-    rows = rows.withColumn(own["base_failed"], base).withColumn(own["n_failed"], sum((r.cast("int") for r in rules[1:]), rules[0].cast("int"))).drop("n_lines_")
+    shrunk = hosts.withColumn("rate", (F.col("k") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
+    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(strength + 1)))
+    return shrunk.select("host", "rate", (F.col("rate") - F.lit(mean) > F.lit(NormalDist().inv_cdf(sure)) * spread).alias("strict"))
+
+
+def host_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", carry: list[str] | None = None, sure: float = 0.6) -> DataFrame:
+    """The columns in ``carry`` (all if None) with the base features, n_failed (rules), base_failed, host_rate, host_strict and kept."""
+    kept_columns = docs.columns if carry is None else carry
+    # Features are fields of one struct, so no column of the input can clash with them; let() keeps the optimiser from
+    # computing the struct again for each of its fields.
+    made = docs.select(*(F.col(f"`{c}`") for c in kept_columns))
+    feature, host = free_name(made, "feature_"), free_name(made, "host_")
+    rows = docs.select(*made.columns, F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias(host), let(F.struct(*base_features(F.col(text_col))), lambda x: x).alias(feature))
+    f = {name: F.col(f"{feature}.{at}") for name, at in [("n_words", "by_words.n_words"), ("word_chars", "word_chars"), ("n_symbols", "n_symbols"), ("n_dup_lines", "by_lines.n_dup_lines"), ("n_repeat_words", "by_words.n_repeat_words"), ("n_lines", "by_lines.n_lines")]}
+    base = (f["n_words"] < 20) | (f["n_repeat_words"] * 100 > f["n_words"] * 30)
+    soft = [
+        f["n_symbols"] * 100 > f["n_words"] * 10,
+        f["n_dup_lines"] * 100 > f["n_lines"] * 30,
+        (f["word_chars"] * 2 < f["n_words"] * 5) | (f["word_chars"] > f["n_words"] * 12),
+    ]
+    own = {c: free_name(made, c) for c in [*BASE, "n_failed", "base_failed", "host_rate", "host_strict", "kept"]}
+    failed = sum((r.cast("int") for r in soft), base.cast("int"))
+    rows = rows.select(*made.columns, host, *(f[c].alias(own[c]) for c in BASE), failed.alias(own["n_failed"]), base.alias(own["base_failed"]))
     rows = written(rows, "quality")
-    rates = host_rates(rows.withColumn("any_", F.col(own["n_failed"]) > 0), own["host_"], "any_")
-    bad = rates.select(F.col("host").alias("bad_host_"), F.col("rate").alias(own["host_rate"]))
-    out = rows.join(bad, F.col(own["host_"]) == F.col("bad_host_")).drop("bad_host_", own["host_"])
-    return out.withColumn(own["kept"], ~F.col(own["base_failed"]) & ((F.col(own["host_rate"]) <= host_limit) | (F.col(own["n_failed"]) == 0)))
+    rates = host_rates(rows.select(host, own["n_failed"]), host, F.col(own["n_failed"]) > 0, sure)
+    rates = rates.select(F.col("host").alias(host), F.col("rate").alias(own["host_rate"]), F.col("strict").alias(own["host_strict"]))
+    kept = ~F.col(own["base_failed"]) & (~F.col(own["host_strict"]) | (F.col(own["n_failed"]) == 0))
+    return rows.join(rates, host).drop(host).withColumn(own["kept"], kept)
 
 
-def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.5) -> DataFrame:
+def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", sure: float = 0.6) -> DataFrame:
     """The documents the rules keep, same columns."""
     flag = free_name(docs, "kept")
-    return host_quality(docs, text_col, host_col, host_limit=host_limit).where(F.col(flag)).select(*docs.columns)
+    return host_quality(docs, text_col, host_col, sure=sure).where(F.col(flag)).select(*docs.columns)

@@ -44,7 +44,7 @@ def op1_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import BASE, host_quality
 
-    return host_quality(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept", "n_failed")
+    return host_quality(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept", "n_failed", F.round("host_rate", 6).alias("host_rate"), "host_strict")
 
 
 SQL["op3_host_quality"] = r"""
@@ -54,17 +54,19 @@ WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS te
 g AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM w WHERE len(w) > 8),
 d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 c AS (SELECT doc_id, least(8, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100)) AS n FROM d),
-r AS (SELECT doc_id, sum(n)::BIGINT AS n FROM c GROUP BY 1),
+rep AS (SELECT doc_id, sum(n)::BIGINT AS n FROM c GROUP BY 1),
 f AS (SELECT w.doc_id, host, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS word_chars,
-    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines
-  FROM w LEFT JOIN r USING (doc_id)),
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines
+  FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT * REPLACE (coalesce(word_chars, 0) AS word_chars), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 k AS (SELECT *, base_failed::INT + (n_symbols * 100 > n_words * 10)::INT + (n_dup_lines * 100 > n_lines * 30)::INT + (word_chars * 2 < n_words * 5 OR word_chars > n_words * 12)::INT AS n_failed FROM b),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (n_failed > 0) AS k FROM k GROUP BY 1),
 m AS (SELECT avg(k / n) AS mean, greatest(coalesce(var_samp(k / n), 0) - avg(k / n * (1 - k / n) / n), 0) AS v FROM h),
-s AS (SELECT mean, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 1), 1000) ELSE 1000 END AS strength FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ((h.k + mean * strength) / (h.n + strength) <= 0.5 OR n_failed = 0) AS kept, n_failed
-FROM k JOIN h USING (host), s
+s AS (SELECT mean, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 1), 1000) ELSE 1000 END AS strength FROM m),
+r AS (SELECT host, n, (k + mean * strength) / (n + strength) AS rate, mean, strength FROM h, s),
+j AS (SELECT host, rate, rate - mean > 0.2533471031357998 * sqrt(rate * (1 - rate) / (n + strength + 1)) AS strict FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (NOT strict OR n_failed = 0) AS kept, n_failed, round(rate, 6) AS host_rate, strict AS host_strict
+FROM k JOIN j USING (host)
 """
 
 

@@ -11,8 +11,9 @@ index and one block.
     footer  "<QQQQQQB7x8s": index at, bloom at, footer at, entries, ids, Bloom bits, hashes, magic
 
 Keys are a byte 0 for a null id (they come first) or 1 and the id as 8 big-endian bytes with the sign flipped. Repeated
-ids keep all their rows, in input order. Null texts are encoded as empty ones. A task writes to a name of its own and
-renames at its end, so a repeated task replaces the same file.
+ids keep all their rows, in input order. Null and empty texts have the end id only. Very long texts are one value, encoded
+whole. Columns other than the two named are left out. An empty table gives no shards and an empty result. A task writes to a
+name of its own and renames at its end, so a repeated task replaces the same file.
 """
 
 from __future__ import annotations

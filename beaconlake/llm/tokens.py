@@ -1,13 +1,14 @@
-"""Encoding of whole texts with a public tokenizer, a chunk between white space at a time.
+"""Encoding of whole texts with public tokenizers.
 
-Both tokenizers never join characters across white space, so the ids of a text are those of its chunks in order; each
-distinct chunk goes through the tokenizers library once in a worker. Long chunks aren't kept.
+``SpanEncoder`` encodes a text as a whole, for the places of its tokens. ``WordEncoder`` only needs the ids of a tokenizer
+that drops white space and never joins characters across it, so the ids of a text are those of its chunks between white
+space, in order; each distinct chunk goes through the tokenizers library once in a worker. Long chunks aren't kept.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from itertools import chain
 
 import numpy as np
 
@@ -48,42 +49,18 @@ class WordEncoder:
         return out
 
 
-#: A text's pieces that a byte-level tokenizer with the pattern ` ?\w+`-like words encodes apart from each other.
-_PIECE = re.compile(r" ?[^\s]+|\s+(?!\S)|\s")
-_ODD = re.compile(r"[\x1c-\x1f\x85᠎]|<\|endoftext\|>")
-
-
 class SpanEncoder:
-    """For a byte-level tokenizer: first character of each token of a text, its end, and the ids, as arrays."""
+    """First character of each token of a whole text, its end, and its id, as arrays."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _load(path), {}
-
-    def _whole(self, text: str) -> np.ndarray:
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        return np.array([(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)], np.int64).reshape(-1, 3)
+        self.tokenizer = _load(path)
 
     def encode(self, text: str) -> np.ndarray:
-        """[token, (id, first character, last character plus one)]"""
-        if _ODD.search(text):  # regular expressions disagree on these
-            return self._whole(text)
-        pieces = _PIECE.findall(text)
-        known = self.known
-        if len(known) > MOST:
-            known = self.known = {}
-        found = []
-        for p in pieces:
-            e = known.get(p)
-            if e is None:
-                e = self._whole(p)
-                if len(p) <= LONGEST:
-                    known[p] = e
-            found.append(e)
-        if not found:
-            return np.empty((0, 3), np.int64)
-        out = np.concatenate(found)
-        starts = np.cumsum([0, *map(len, pieces[:-1])])
-        out[:, 1:] += np.repeat(starts, [len(e) for e in found])[:, None]
+        """[token, (id, first character, last character plus one)], of the text encoded once, as a whole."""
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        out = np.empty((len(e.ids), 3), np.int64)
+        out[:, 0] = e.ids
+        out[:, 1:] = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(out)).reshape(-1, 2)
         return out
 
 

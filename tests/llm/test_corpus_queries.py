@@ -1,5 +1,6 @@
 """The corpus queries against their SQL, brute force or the library that they must agree with."""
 
+import html
 import re
 import sys
 import zlib
@@ -26,6 +27,15 @@ def docs(spark):
     return {r.doc_id: r.text for r in table(spark, DATA, "documents").collect()}
 
 
+def test_op3_verdicts_differ_between_hosts(spark):
+    """Soft failures are kept on some hosts and not on others, by the hosts' shrunk rates."""
+    rows = Q.op3_host_quality(spark, "/root/testdata/sf0.01").collect()
+    assert all(r.kept == (not r.base_failed and (r.n_failed == 0 or not r.host_strict)) for r in rows)
+    soft = [r for r in rows if r.n_failed and not r.base_failed]
+    assert {r.kept for r in soft} == {True, False}
+    assert min(r.host_rate for r in rows if r.host_strict) > max(r.host_rate for r in rows if not r.host_strict)
+
+
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_sql(spark, name):
     oracle.same(spark, Q.queries()[name], Q.oracle_sql()[name])
@@ -54,12 +64,21 @@ def test_op4_base_places(spark, docs):
         assert r.base_labels == ",".join(sorted(base)) and base <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
-def test_op5_every_page_has_a_row(spark):
-    rows = Q.op5_dom_marginals(spark, DATA).collect()
-    assert len(rows) == table(spark, DATA, "pages").count()
-    for r in rows:
-        assert r.n_chars == len(r.text) and r.text == r.text.strip() and "<p" not in r.text
-        assert all(line == " ".join(line.split()) and line for line in r.text.split("\n")) or not r.text
+def main_text_of(page):
+    """Of the test pages, whose articles are one element with headings and paragraphs: by splitting the article at tags."""
+    if not page:
+        return ""
+    article = re.search(r"<article>(.*?)</article>", page, re.S)
+    blocks = re.split(r"</?(?:p|h1)>", article[1].replace("<br>", " ")) if article else []
+    lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
+    return "\n".join(x for x in lines if x)
+
+
+@pytest.mark.parametrize("data", [DATA, "/root/testdata/sf0.01"])
+def test_op5_gives_the_articles_of_all_pages(spark, data):
+    want = {r.page_id: (r.url, main_text_of(r.html)) for r in table(spark, data, "pages").collect()}
+    got = {r.page_id: (r.url, r.text) for r in Q.op5_dom_marginals(spark, data).collect()}
+    assert got == want and all(r.n_chars == len(r.text) for r in Q.op5_dom_marginals(spark, data).collect())
 
 
 def test_op7_ranks_held_out_documents(spark):
@@ -71,6 +90,13 @@ def test_op7_ranks_held_out_documents(spark):
     yes, no = [s for s, t in held if t], [s for s, t in held if not t]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in yes for b in no])
     assert auc > 0.85
+    # Neighbours by the whole vocabulary: every text with words has evidence, but for those of unknown words only.
+    texts = {r.doc_id: r.text for r in table(spark, data, "documents").collect()}
+    bare = [r for r in rows if not r.evidence]
+    assert len(bare) < len(rows) / 50 and len({r.score for r in bare}) <= 1
+    # An exact copy of an example has it, or a copy of it, as a neighbour.
+    some = [r for r in rows if r.doc_id in truth and not r.held_out and len((texts[r.doc_id] or "").split()) > 20]
+    assert len(some) > 100 and all(r.doc_id in r.evidence or any(texts[e] == texts[r.doc_id] for e in r.evidence) for r in some)
 
 
 def test_op8_counts_sum_to_the_library(spark, docs):
@@ -110,13 +136,16 @@ def test_op10_meets_its_targets(spark):
     p = np.array([[x[f"p_{d}"] for d in DOMAINS] for x in rows])
     goal = np.array([Q.TARGETS[d] for d in DOMAINS])
     assert (r >= 0).all() and np.allclose(p.sum(1), 1, atol=1e-5)
-    # The same problem by many plain gradient steps.
-    x = np.ones(len(rows))
-    for _ in range(2000):
-        x = np.maximum(0, x - 0.9 * (p @ ((x * t) @ p / t.sum() - goal) + 0.02 * (x - 1)))
-    assert np.allclose((r * t) @ p / t.sum(), (x * t) @ p / t.sum(), atol=2e-3)
-    before, after = np.abs(t @ p / t.sum() - goal).sum(), np.abs((r * t) @ p / t.sum() - goal).sum()
-    assert after < before
+    # The totals are the targets, to a thousandth of each.
+    assert np.allclose((r * t) @ p / t.sum(), goal, rtol=1e-3)
+    # Plain projected gradient steps lead to the same totals, only slower: what they still miss shrinks towards these.
+    x, missed = np.ones(len(rows)), []
+    for k in range(4000):
+        left = (x * t) @ p / t.sum() - goal
+        if k in (0, 3999):
+            missed.append(np.abs(left).sum())
+        x = np.maximum(0, x - 0.9 * (p @ left))
+    assert missed[1] < missed[0] / 3 and np.abs((r * t) @ p / t.sum() - goal).sum() < missed[1]
     assert all(np.floor(a) <= c.copies <= np.ceil(a) for a, c in zip(r, rows, strict=True))
 
 
