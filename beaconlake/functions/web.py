@@ -78,45 +78,62 @@ def last_slug(path: Column) -> Column:
     return F.regexp_replace(F.coalesce(F.try_element_at(segments(path), F.lit(-1)), F.lit("")), r"\.(?:html?|php|aspx?)$", "")
 
 
-def starts_like(path: Column, prefixes: list[str]) -> Column:
-    """Whether the path is one of the prefixes, or goes on after one with a slash or a dot."""
-    hits = [(path == p) | path.startswith(p.rstrip("/") + "/") | path.startswith(p + ".") for p in prefixes]
-    return reduce(lambda a, b: a | b, hits)
+def starts_like(path: str, prefixes: list[str]) -> str:
+    """SQL: whether the path (an expression) is one of the prefixes, or goes on after one with a slash or a dot."""
+    return "(" + " or ".join(f"{path} = '{p}' or startswith({path}, '{p.rstrip('/')}/') or startswith({path}, '{p}.')" for p in prefixes) + ")"
 
 
-def forged(url: Column, method: Column) -> Column:
-    """Whether the request itself proves that its agent is no crawler: it writes, or asks for what only scanners want."""
-    path = F.lower(F.substring_index(F.coalesce(url, F.lit("")), "?", 1))
-    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    return F.upper(F.trim(F.coalesce(method, F.lit("")))).isin(dims.WRITE_METHODS) | let(path, lambda p: starts_like(p, dims.FORGERY_PATHS))
+def forged(url: str = "url", method: str = "method") -> Column:
+    """Whether the request itself proves that its agent is no crawler: it writes, or asks for what only scanners want. Names of columns.
+
+    Long chains like this one are built as text: one call instead of one for each of their parts."""
+    path = f"concat('/', ltrim('/', lower(substring_index(coalesce({url}, ''), '?', 1))))"
+    methods = ", ".join(f"'{m}'" for m in dims.WRITE_METHODS)
+    return F.expr(f"upper(trim(coalesce({method}, ''))) in ({methods}) or exists(array({path}), p -> {starts_like('p', dims.FORGERY_PATHS)})")
+
+
+#: Endings of files that programs serve, and of those that pages show; what scanners look for, and what media libraries hold.
+_SERVED = "php php1 php2 php3 php4 php5 php6 php7 php8 php9 php0 asp aspx jsp cgi sql bak old zip tar gz ini log yml yaml".split()
+_SHOWN = "jpg jpeg png gif webp avif svg ico css js woff woff2 ttf eot mp4 webm pdf".split()
 
 
-def classify_missing(path: Column) -> Column:
-    """Kind of a path that answered 404."""
-    p, s = F.lower(path), segments(path)
+def ending(path: Column) -> Column:
+    """What follows the last dot of the path's last part, lower case; empty if there is no dot."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+
+
+def classify_missing(path: str) -> Column:
+    """Kind of a path (name of a column) that answered 404."""
+    s = segments(F.col(path))
     return _first(
         [
-            (starts_like(p, dims.PROBES), F.lit("probe")),
-            (p.rlike(dims.PROBE_ENDING) & ~p.startswith("/wp-content/uploads/"), F.lit("suspicious")),
+            (F.expr(f"exists(array(lower({path})), p -> {starts_like('p', dims.PROBES)})"), F.lit("probe")),
+            (ending(F.col(path)).isin(_SERVED) & ~F.lower(path).startswith("/wp-content/uploads/"), F.lit("suspicious")),
             ((F.size(s) >= 2) & (F.get(s, F.lit(0)) == F.get(s, F.lit(1))), F.lit("doubled_segment")),
-            (p.rlike(dims.ASSET_ENDING), F.lit("asset")),
+            (is_asset(F.col(path)), F.lit("asset")),
         ],
         F.lit("page"),
     )
 
 
-def bot_number(agent: Column) -> Column:
-    """Place in dims.BOTS of the crawler whose pattern, the longest of those found, is in the agent; null if there is none."""
+def is_asset(path: Column) -> Column:
+    return ending(path).isin(_SHOWN)
+
+
+def bot_number(agent: str = "agent") -> Column:
+    """Place in dims.BOTS of the crawler whose pattern, the longest of those found, is in the agent (name of a column); null if there is none."""
     ordered = sorted(range(len(dims.BOTS)), key=lambda i: -len(dims.BOTS[i][0]))
-    return let(F.lower(agent), lambda a: _first([(a.contains(dims.BOTS[i][0]), F.lit(i)) for i in ordered], F.lit(None).cast("int")))
+    arms = " ".join(f"when contains(a, '{dims.BOTS[i][0]}') then {i}" for i in ordered)
+    return F.expr(f"transform(array(lower({agent})), a -> case {arms} end)[0]")
 
 
-def bot_field(number: Column, field: int) -> Column:
-    return F.get(F.array(*(F.lit(b[field]) for b in dims.BOTS)), number)
+def bot_field(number: str, field: int) -> Column:
+    return F.expr("get(array(" + ", ".join("'" + b[field].replace("'", "''") + "'" for b in dims.BOTS) + f"), {number})")
 
 
-def looks_human(agent: Column) -> Column:
-    return let(F.lower(F.coalesce(agent, F.lit(""))), lambda a: a.contains("mozilla") & ~reduce(lambda x, y: x | y, [a.contains(h) for h in dims.GENERIC_BOT_HINTS]))
+def looks_human(agent: str = "agent") -> Column:
+    hints = " or ".join(f"contains(a, '{h}')" for h in dims.GENERIC_BOT_HINTS)
+    return F.expr(f"exists(array(lower(coalesce({agent}, ''))), a -> contains(a, 'mozilla') and not ({hints}))")
 
 
 def source_type(domain: Column, own: str = "", competitors: list[str] | None = None) -> Column:
@@ -126,7 +143,14 @@ def source_type(domain: Column, own: str = "", competitors: list[str] | None = N
 
     pairs = [(under(own), F.lit("own"))] if own else []
     pairs += [(under(c), F.lit("competitor")) for c in competitors or []]
-    pairs += [(domain.rlike(p), F.lit(kind)) for kind, p in dims.SOURCE_TYPES]
+    parts = F.split(domain, r"\.")
+    site, first = F.get(parts, F.greatest(F.size(parts) - 2, F.lit(0))), F.get(parts, F.lit(0))
+    # forum.example.org, forums.example.org, forum-x.org; gov.uk and the like have the kind in the last part but one.
+    talks = first.isin("forum", "forums") | (site.startswith("forum") & (F.size(parts) >= 2))
+    for kind, (whole, names) in dims.SOURCES.items():
+        hit = reduce(lambda a, b: a | b, [under(d) for d in whole])
+        hit = hit | (site.isin(names) if names else F.lit(False)) | (talks if kind == "ugc" else F.lit(False))
+        pairs.append((hit, F.lit(kind)))
     return _first(pairs, F.lit("editorial"))
 
 

@@ -60,9 +60,9 @@ def log_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.malformed(parsed(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
 
 
-@query(f"SELECT event_id, ip, ts, method, url, CAST(status AS INTEGER) AS status, bytes, agent, CAST(rt AS DOUBLE) AS rt_ms FROM ({A.sql(A.HIT, 'events')}) WHERE rt > 50")
+@query(f"SELECT event_id, ip, ts, method, url, CAST(status AS INTEGER) AS status, bytes, agent, CAST(CASE WHEN rt > 50 THEN rt ELSE rt * 1000 END AS DOUBLE) AS rt_ms FROM ({A.sql(A.HIT, 'events')})")
 def log_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = A.derived(A.load(spark, sf_dir, "events"), A.HIT).where("rt > 50")
+    h = A.derived(A.load(spark, sf_dir, "events"), A.HIT)
     record = F.to_json(F.struct(F.col("ip").alias("ClientIP"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), F.col("method").alias("ClientRequestMethod"), F.concat_ws(" ", "method", "url", F.lit("HTTP/1.1")).alias("request"), F.col("status").alias("status"), F.col("bytes").alias("size"), F.col("agent").alias("user_agent"), F.col("rt").alias("duration")))
     out = parse_json(h.select("event_id", record.alias("line"))).where("parsed")
     return out.select("event_id", "ip", "ts", "method", "url", "status", "bytes", "agent", F.round("rt_ms", 3).alias("rt_ms"))
@@ -108,7 +108,10 @@ def log_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.histogram(verified(spark, sf_dir), F.to_date("ts"), "day")
 
 
-@query(CTE + "SELECT bot, month, hits, before, coalesce(before > 50 AND hits < 0.1 * before, false) AS dropped FROM (SELECT *, lag(hits) OVER (PARTITION BY bot ORDER BY month) AS before FROM (SELECT bot, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS hits FROM r GROUP BY ALL))")
+@query(CTE + """, n AS (SELECT bot, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS hits FROM r GROUP BY ALL),
+e AS (SELECT bot, CAST(unnest(generate_series((SELECT min(month) FROM n), (SELECT max(month) FROM n), INTERVAL 1 MONTH)) AS DATE) AS month FROM (SELECT DISTINCT bot FROM n)),
+m AS (SELECT bot, month, coalesce(hits, 0) AS hits FROM e LEFT JOIN n USING (bot, month))
+SELECT bot, month, hits, before, coalesce(before > 50 AND hits < 0.1 * before, false) AS dropped FROM (SELECT *, lag(hits) OVER (PARTITION BY bot ORDER BY month) AS before FROM m)""")
 def log_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.months(verified(spark, sf_dir))
 
@@ -166,7 +169,7 @@ def log_sitemap_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, CASE WHEN lower(agent) LIKE '%mozilla%' AND NOT regexp_matches(lower(agent), '{'|'.join(h.replace('.', '[.]') for h in dims.GENERIC_BOT_HINTS)}') THEN true ELSE false END AS human FROM ({A.sql(A.HIT, 'events')})")
 def log_humans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.derived(A.load(spark, sf_dir, "events"), A.HIT).select("event_id", web.looks_human(F.col("agent")).alias("human"))
+    return A.derived(A.load(spark, sf_dir, "events"), A.HIT).select("event_id", web.looks_human("agent").alias("human"))
 
 
 @query(CTE + "SELECT window_start, bot, count(*) AS hits FROM (SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, bot FROM r) GROUP BY ALL")
@@ -180,3 +183,71 @@ def ext_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: sessions of a user with gaps of two hours."""
     e = A.load(spark, sf_dir, "events")
     return e.groupBy("user_id", F.session_window("ts", "2 hours")).agg(F.min("ts").alias("started"), F.count("*").alias("n")).select("user_id", "started", "n")
+
+
+@query(CTE + "SELECT count(*) AS claimed, count(*) FILTER (verdict = 'verified') AS verified, count(*) FILTER (verdict = 'spoofed') AS spoofed, count(*) FILTER (verdict = 'unverifiable') AS unverifiable, count(*) FILTER (verdict <> 'spoofed' AND purpose IN ('training', 'user_fetch', 'search')) AS counted FROM v")
+def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.totals(verified(spark, sf_dir))
+
+
+@query(_MATRIX + """, k AS (SELECT count(*) AS hits, count(*) FILTER (purpose = 'user_fetch') AS fetches, count(*) FILTER (status >= 400) / count(*) AS errors FROM ai),
+q AS (SELECT count(*) FILTER (verdict = 'verified') / count(*) AS rate FROM v WHERE purpose IN ('training', 'user_fetch', 'search')), cov AS (SELECT count(*) FILTER (listed AND crawled) / count(*) FILTER (listed) AS covered FROM m)
+SELECT 'verified_hits' AS kpi, CAST(hits AS DOUBLE) AS value, CASE WHEN hits > 0 THEN 'good' ELSE 'neutral' END AS tone FROM k
+UNION ALL SELECT 'verification_rate', round(rate, 6), CASE WHEN rate < 0.6 THEN 'bad' WHEN rate < 0.9 THEN 'warn' ELSE 'good' END FROM q
+UNION ALL SELECT 'real_time_fetches', fetches, CASE WHEN fetches > 0 THEN 'good' ELSE 'bad' END FROM k
+UNION ALL SELECT 'errors', round(errors, 6), CASE WHEN errors > 0.02 THEN 'bad' ELSE 'good' END FROM k
+UNION ALL SELECT 'sitemap_coverage', round(covered, 6), CASE WHEN covered < 0.4 THEN 'bad' ELSE 'good' END FROM cov""")
+def log_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.kpis(verified(spark, sf_dir), _coverage(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+_P50 = "list_sort(list(CAST(rt AS DOUBLE)))[CAST(least(floor(0.5 * count(*)), count(*) - 1) AS BIGINT) + 1]"
+
+
+@query(CTE + f", b AS (SELECT bot, {_P50} AS p50 FROM r GROUP BY bot), h AS (SELECT {_P50} AS human_p50 FROM c WHERE bot IS NULL AND lower(agent) LIKE '%mozilla%') SELECT bot, p50, human_p50 FROM b, h WHERE p50 > 1400 OR p50 > 2 * human_p50")
+def log_slow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a limit of 1400 ms, since the hits' medians are about 1500."""
+    hits = logs.classify(parsed(spark, sf_dir).where("parsed"))
+    humans = hits.where(F.col("bot").isNull() & web.looks_human("agent")).withColumn("who", F.lit("human"))
+    bots = logs.verify(hits, A.cidr(spark)).where("verdict <> 'spoofed'")
+    return logs.slow(logs.response_times(bots, "bot"), logs.response_times(humans, "who"), 1400.0)
+
+
+@query(CTE + ", l AS (SELECT bot, max(CAST(ts AS DATE)) AS last_seen FROM r WHERE event_id % 3 > 0 OR ts < TIMESTAMP '2024-01-05' GROUP BY bot) SELECT bot, last_seen, date_diff('day', last_seen, (SELECT max(CAST(ts AS DATE)) FROM v)) AS days FROM l WHERE date_diff('day', last_seen, (SELECT max(CAST(ts AS DATE)) FROM v)) > -1")
+def log_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days since each bot was seen (of any number), where a third of its later hits is spoofed."""
+    v = verified(spark, sf_dir)
+    late = (F.col("event_id") % 3 == 0) & (F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz"))
+    return logs.unseen(v.withColumn("verdict", F.when(late, "spoofed").otherwise(F.col("verdict"))), -1).withColumn("days", F.col("days").cast("long"))
+
+
+@query(CTE + ", n AS (SELECT parameter, count(*) AS hits FROM (SELECT DISTINCT event_id, split_part(unnest(string_split(split_part(url, '?', 2), '&')), '=', 1) AS parameter FROM ai WHERE contains(url, '?')) GROUP BY parameter) SELECT parameter, hits, round(hits / (SELECT count(*) FROM ai), 6) AS share FROM n WHERE hits / (SELECT count(*) FROM ai) > 0.1")
+def log_common_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.common_parameters(logs.ai_hits(verified(spark, sf_dir))).withColumn("share", F.round("share", 6))
+
+
+@query(CTE + "SELECT url, count(*) AS hits FROM ai WHERE status BETWEEN 300 AND 399 GROUP BY url HAVING count(*) > 1")
+def log_redirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.redirected_often(logs.ai_hits(verified(spark, sf_dir)), 1)
+
+
+@query(CTE + ", p AS (SELECT CASE WHEN p <> '/' AND ends_with(p, '/') THEN left(p, -1) ELSE p END AS path FROM (SELECT split_part(url, '?', 1) AS p FROM ai)) SELECT path, count(*) AS hits FROM p WHERE path NOT IN (SELECT '/' || event_type || '/' || CAST(event_id % 40 AS STRING) FROM events) GROUP BY path HAVING count(*) >= 2")
+def log_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = A.load(spark, sf_dir, "events").select(F.format_string("/%s/%d", "event_type", F.col("event_id") % 40).alias("path"))
+    return logs.orphans(logs.ai_hits(verified(spark, sf_dir)), listed)
+
+
+@query(CTE + ", p AS (SELECT split_part(url, '?', 1) AS path, CAST(ts AS DATE) AS d, DATE '2024-01-16' AS updated FROM ai WHERE starts_with(url, '/view/')) SELECT path, updated, count(*) FILTER (d < updated AND d >= updated - 14) AS before, count(*) FILTER (d >= updated AND d < updated + 14) AS after FROM p GROUP BY ALL")
+def log_around_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = A.load(spark, sf_dir, "events").select(F.format_string("/view/%d", F.col("event_id") % 120).alias("path")).distinct()
+    return logs.around(logs.ai_hits(verified(spark, sf_dir)), paths.withColumn("updated", F.lit("2024-01-16").cast("date")))
+
+
+@query("SELECT 'malformed' AS gate, 'ok' AS state UNION ALL SELECT 'ranges', 'ok' UNION ALL SELECT 'period', CASE WHEN min(CAST(ts AS DATE)) <= DATE '2024-01-01' AND max(CAST(ts AS DATE)) >= DATE '2024-02-15' THEN 'ok' ELSE 'warn' END FROM events")
+def log_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.gates(parsed(spark, sf_dir), A.cidr(spark), "2024-01-01", "2024-02-15")
+
+
+@query(f"SELECT count(*) AS hits FROM ({A.sql(A.HIT, 'events')}) WHERE NOT broken AND CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
+def log_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.within(parsed(spark, sf_dir).where("parsed"), "2024-01-05", "2024-01-09").agg(F.count("*").alias("hits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.net import first_address
+from ..functions.net import block_bounds, first_address
 from ..functions.web import _first
 
 FIELDS = ["ip", "ts", "method", "url", "status", "bytes", "agent", "rt_ms"]
@@ -51,30 +51,40 @@ def duration_ms(tail: Column) -> Column:
 
 
 #: A line: the last address before the time, time, request, status, size, referer, agent, what follows.
-_COMBINED = r'^(?:.*\s)?((?:\d{1,3}\.){3}\d{1,3})\s[^\[]*(\[\d{1,2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2})(?:\s*[+-]\d{4})?\]\s*"((?:[^"\\]|\\.)*)"\s+(\d{3})\s+(\d+|-)(?:\s+"((?:[^"\\]|\\.)*)"\s+"((?:[^"\\]|\\.)*)")?(.*)$'
+_COMBINED = r'^(?:.*\s)?((?:\d{1,3}\.){3}\d{1,3}|\[?[0-9a-fA-F]*:[0-9a-fA-F:.]+\]?)\s[^\[]*(\[\d{1,2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2})(?:\s*[+-]\d{4})?\]\s*"((?:[^"\\]|\\.)*)"\s+(\d{3})\s+(\d+|-)(?:\s+"((?:[^"\\]|\\.)*)"\s+"((?:[^"\\]|\\.)*)")?(.*)$'
+
+
+def once(name: str, value: Column) -> Column:
+    """A column that is computed once for each row: a generator, which the optimiser doesn't copy into what reads it."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def spread(lines: DataFrame) -> DataFrame:
+    """Lines dealt evenly over the cluster's cores, where the input has fewer splits (one file of a codec that can't be split)."""
+    n = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(n) if lines.rdd.getNumPartitions() < n else lines
 
 
 def parse_combined(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines of the combined format (host names before, durations after are fine). parsed is false where a line is malformed.
 
-    One expression cuts a line into its parts; everything else reads the parts."""
+    One expression cuts a line into its parts, once; everything else reads the parts."""
     marked = F.regexp_replace(line, _COMBINED, "$1\x01$2\x01$3\x01$4\x01$5\x01$6\x01$7\x01$8")
-    parts = F.col("parts_")
-    request = F.get(parts, F.lit(2))
-    found = lines.withColumn("parts_", F.split(marked, "\x01")).withColumns(
+    part = lambda i: F.get("parts_", F.lit(i))
+    found = lines.select("*", once("parts_", F.split(marked, "\x01")))
+    found = found.select("*", once("ip", first_address("get(parts_, 0)")))
+    return found.withColumns(
         {
-            "ip": first_address(F.get(parts, F.lit(0))),
-            "ts": apache_time(F.get(parts, F.lit(1))),
-            "method": F.nullif(F.regexp_extract(request, r"^([A-Z]+)\s", 1), F.lit("")),
-            "url": F.nullif(F.regexp_extract(request, r"^[A-Z]+\s+(\S+)", 1), F.lit("")),
-            "status": F.get(parts, F.lit(3)).try_cast("int"),
-            "bytes": F.coalesce(F.get(parts, F.lit(4)).try_cast("long"), F.lit(0).cast("long")),
-            "agent": F.get(parts, F.lit(6)),
-            "rt_ms": duration_ms(F.get(parts, F.lit(7))),
-            "parsed": F.coalesce((F.size(parts) == 8) & first_address(F.get(parts, F.lit(0))).isNotNull() & apache_time(F.get(parts, F.lit(1))).isNotNull(), F.lit(False)),
+            "ts": apache_time(part(1)),
+            "method": F.nullif(F.regexp_extract(part(2), r"^([A-Z]+)\s", 1), F.lit("")),
+            "url": F.nullif(F.regexp_extract(part(2), r"^[A-Z]+\s+(\S+)", 1), F.lit("")),
+            "status": part(3).try_cast("int"),
+            "bytes": F.coalesce(part(4).try_cast("long"), F.lit(0).cast("long")),
+            "agent": part(6),
+            "rt_ms": duration_ms(part(7)),
+            "parsed": F.coalesce((F.size("parts_") == 8) & F.col("ip").isNotNull() & apache_time(part(1)).isNotNull(), F.lit(False)),
         }
-    )
-    return found.drop("parts_")
+    ).drop("parts_")
 
 
 def parse_json(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -86,8 +96,8 @@ def parse_json(lines: DataFrame, line: str = "line") -> DataFrame:
 
     rt = pick("rt").try_cast("double")
     url = F.regexp_replace(pick("url"), r"^[A-Z]+ (\S+)( HTTP/.*)?$", "$1")
-    found = lines.withColumns({"ip": first_address(pick("ip")), "ts": any_time(pick("ts")), "method": pick("method"), "url": url, "status": pick("status").try_cast("int"), "bytes": F.coalesce(pick("bytes").try_cast("long"), F.lit(0).cast("long")), "agent": pick("agent"), "rt_ms": F.when(rt > 50, rt).otherwise(rt * 1000)})
-    return found.withColumn("parsed", F.col("ip").isNotNull() & F.col("ts").isNotNull() & F.col("url").isNotNull())
+    found = lines.withColumn("raw_ip_", pick("ip")).withColumns({"ip": first_address("raw_ip_"), "ts": any_time(pick("ts")), "method": pick("method"), "url": url, "status": pick("status").try_cast("int"), "bytes": F.coalesce(pick("bytes").try_cast("long"), F.lit(0).cast("long")), "agent": pick("agent"), "rt_ms": F.when(rt > 50, rt).otherwise(rt * 1000)})
+    return found.drop("raw_ip_").withColumn("parsed", F.col("ip").isNotNull() & F.col("ts").isNotNull() & F.col("url").isNotNull())
 
 
 def parse_delimited(lines: DataFrame, header: str, line: str = "line") -> DataFrame:
@@ -101,8 +111,13 @@ def parse_delimited(lines: DataFrame, header: str, line: str = "line") -> DataFr
         return F.coalesce(*(F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit("")) for i in at), F.lit(None).cast("string"))
 
     rt = pick("rt").try_cast("double")
-    found = lines.where(F.col(line) != header).withColumns({"ip": first_address(pick("ip")), "ts": any_time(pick("ts")), "method": pick("method"), "url": pick("url"), "status": pick("status").try_cast("int"), "bytes": F.coalesce(pick("bytes").try_cast("long"), F.lit(0).cast("long")), "agent": pick("agent"), "rt_ms": F.when(rt > 50, rt).otherwise(rt * 1000)})
-    return found.withColumn("parsed", F.col("ip").isNotNull() & F.col("ts").isNotNull() & F.col("url").isNotNull())
+    found = lines.where(F.col(line) != header).withColumn("raw_ip_", pick("ip")).withColumns({"ip": first_address("raw_ip_"), "ts": any_time(pick("ts")), "method": pick("method"), "url": pick("url"), "status": pick("status").try_cast("int"), "bytes": F.coalesce(pick("bytes").try_cast("long"), F.lit(0).cast("long")), "agent": pick("agent"), "rt_ms": F.when(rt > 50, rt).otherwise(rt * 1000)})
+    return found.drop("raw_ip_").withColumn("parsed", F.col("ip").isNotNull() & F.col("ts").isNotNull() & F.col("url").isNotNull())
+
+
+def read_blocks(ranges: DataFrame, name: str = "provider") -> DataFrame:
+    """(ranges, lo, hi) from rows of (name, cidr); what is no block is left out."""
+    return ranges.select(F.col(name).alias("ranges"), block_bounds("cidr").alias("b")).where("b is not null").select("ranges", "b.lo", "b.hi").distinct()
 
 
 def harvest_ranges(payload: DataFrame, column: str = "json", provider: str = "provider") -> DataFrame:

@@ -17,5 +17,5 @@ def windowed(lines: DataFrame, cidr: DataFrame, window: str = "1 day", late: str
     """Hits by window, bot and verdict; lines later than ``late`` are dropped by the watermark. cidr is static."""
     hits = logs.classify(parse_combined(lines).where("parsed")).where("bot is not null").withColumn("ts", F.col("ts").cast("timestamp"))
     joined = logs.with_blocks(hits, cidr)
-    verdict = F.when(F.col("inside"), "verified").when(logs.web.forged(F.col("url"), F.col("method")), "spoofed").otherwise("unverifiable")
+    verdict = F.when(F.col("inside"), "verified").when(logs.web.forged("url", "method"), "spoofed").otherwise("unverifiable")
     return joined.withColumn("verdict", verdict).withWatermark("ts", late).groupBy(F.window("ts", window), "bot", "verdict").agg(F.count("*").alias("hits"))
