@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sinks as S
 from ..operators import redirects as R
 from . import adapters as A
 
@@ -108,5 +111,54 @@ def red_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = R.lint(A.derived(A.load(spark, sf_dir, "pages"), MAP), there)
     return issues.groupBy("type", "severity").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
-# Not in the catalogue yet: their plans took over 100 s on the smallest tables (see the README).
-UNFINISHED = {name: (QUERIES.pop(name), SQL.pop(name)) for name in ("red_match", "red_decisions", "red_chains", "red_lint")}
+
+
+@query(f"""WITH k AS (SELECT page_id, {OLD} AS old, {NEW} AS new, {_METHOD} AS method FROM pages), m AS (SELECT *, page_id % 8 = 0 AS numbered FROM k)
+SELECT old || CASE WHEN numbered THEN '?p=' || {_N} ELSE '' END AS source, CASE WHEN numbered OR method IS NULL THEN '' ELSE 'https://new.org' || new END AS target,
+CASE WHEN NOT numbered AND method IS NULL AND page_id % 5 = 0 THEN '410' ELSE '301' END AS code, CASE WHEN numbered THEN 'none' ELSE coalesce(method, 'none') END AS method,
+CASE WHEN numbered THEN 'manual' WHEN method IS NULL THEN CASE WHEN page_id % 5 > 0 THEN 'manual' ELSE 'gone' END WHEN method IN ('parent', 'slug-close') THEN 'review' ELSE 'redirect' END AS decision, CAST(page_id % 5 AS DOUBLE) AS value FROM m""")
+def red_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A migration to another host; the pages that stay in place are named by a number in the old URLs. Value comes in two rows a URL."""
+    rows = A.load(spark, sf_dir, "pages").selectExpr("page_id", f"{OLD} AS old", f"{NEW} AS new", f"CASE WHEN page_id % 8 = 5 THEN 'Títle F' || {_N} END AS title")
+    old = F.concat(F.lit("https://www.old.org"), "old", F.when(F.col("page_id") % 8 == 0, F.concat(F.lit("?p="), "page_id")).otherwise(""))
+    halves = rows.select(old.alias("url"), "title", F.explode(F.array((F.col("page_id") % 5) * 0.25, (F.col("page_id") % 5) * 0.75)).alias("value"))
+    new = rows.where("new is not null").select(F.concat(F.lit("https://new.org"), "new").alias("url"), "title")
+    return R.build(halves, new).drop("confidence")
+
+
+@query(f"""WITH p AS (SELECT page_id % 6 AS k, page_id FROM pages), u AS (SELECT k, CASE k WHEN 0 THEN '/wp-admin/x' || {_N} WHEN 1 THEN '/en/en/a' || {_N} WHEN 2 THEN '/pics/' || {_N} || '.png' WHEN 3 THEN '/old/' || {_N} || '.php' WHEN 4 THEN '/moved/thing-' || {_N} ELSE '/void/q' || {_N} END AS path, page_id FROM p)
+SELECT CASE k WHEN 0 THEN 'probe' WHEN 1 THEN 'doubled_segment' WHEN 2 THEN 'asset' WHEN 3 THEN CASE WHEN page_id % 4 = 1 THEN 'covered_but_404' ELSE 'probe' END WHEN 4 THEN 'suggested' ELSE 'no_match' END AS status,
+CASE WHEN k = 1 THEN '/en/a' || {_N} WHEN k = 3 AND page_id % 4 = 1 THEN '/t/' || {_N} WHEN k = 4 THEN '/shop/thing-' || {_N} ELSE '' END AS target, path, CAST(page_id % 9 AS DOUBLE) AS hits FROM u""")
+def red_hunt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = A.load(spark, sf_dir, "pages")
+    rows = p.selectExpr("page_id", "page_id % 6 AS k", f"CASE page_id % 6 WHEN 0 THEN '/wp-admin/x' || {_N} WHEN 1 THEN '/en/en/a' || {_N} WHEN 2 THEN '/pics/' || {_N} || '.png' WHEN 3 THEN '/old/' || {_N} || '.php' WHEN 4 THEN '/moved/thing-' || {_N} ELSE '/void/q' || {_N} END AS url", "CAST(page_id % 9 AS DOUBLE) AS value")
+    there = rows.where("k in (1, 4)").selectExpr(f"CASE k WHEN 1 THEN '/en/a' || {_N} ELSE '/shop/thing-' || {_N} END AS url")
+    covered = rows.where("k = 3 and page_id % 4 = 1").selectExpr("url AS source", f"'/t/' || {_N} AS target")
+    return R.hunt(rows.select("url", "value"), R.inventory(there), covered).drop("method")
+
+
+_MAP_ROWS = A.sql(MAP, "pages")
+
+
+@query(f"WITH m AS ({_MAP_ROWS}) SELECT sum(value) AS value, coalesce(sum(value) FILTER (decision IN ('manual', 'review')), 0) AS unresolved FROM m")
+def red_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.value_at_risk(A.derived(A.load(spark, sf_dir, "pages"), MAP))
+
+
+_EXPORTED = f"(SELECT source, target, CASE WHEN page_id % 7 = 0 THEN '410' ELSE CAST(code AS VARCHAR) END AS code FROM (SELECT page_id, {', '.join(f'{e} AS {n}' for e, n in MAP)} FROM pages) WHERE decision = 'redirect')"
+_END = "(code = '410')"
+
+
+@query(f"""WITH m AS {_EXPORTED}
+SELECT 'redirection' AS format, source || ',' || CASE WHEN {_END} THEN '' ELSE target END || ',0,' || code || ',' || CASE WHEN {_END} THEN 'error' ELSE 'url' END AS line FROM m
+UNION ALL SELECT 'yoast', source || ',' || CASE WHEN {_END} THEN '' ELSE target END || ',' || code || ',plain' FROM m
+UNION ALL SELECT 'rankmath', ',' || trim(source, '/') || ',exact,' || target || ',' || code || ',,active,' FROM m
+UNION ALL SELECT 'seopress', ltrim(source, '/') || ',' || CASE WHEN {_END} THEN '' ELSE 'https://w.org' || target END || ',' || code || ',yes,exact_match,,,,both' FROM m
+UNION ALL SELECT 'generic', source || ',' || target || ',' || code FROM m
+UNION ALL SELECT 'htaccess', CASE WHEN {_END} THEN 'RedirectMatch 410 ^' || source || '/?$' ELSE 'RedirectMatch ' || code || ' ^' || source || '/?$ ' || target END FROM m
+UNION ALL SELECT 'nginx', source || ' ' || target || ';' FROM m WHERE NOT {_END} UNION ALL SELECT 'nginx', source || '/ ' || target || ';' FROM m WHERE NOT {_END} UNION ALL SELECT 'nginx', '#   ' || source FROM m WHERE {_END}
+UNION ALL SELECT f, l FROM (VALUES ('redirection', 'source,target,regex,code,type'), ('yoast', 'Origin,Target,Type,Format'), ('rankmath', 'id,source,matching,destination,type,category,status,ignore'), ('generic', 'source,target,code'), ('htaccess', '<IfModule mod_alias.c>'), ('htaccess', '</IfModule>'), ('nginx', '# 410 candidates (location = /path {{ return 410; }}):')) h(f, l)""")
+def exp_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.derived(A.load(spark, sf_dir, "pages"), [("page_id", "page_id"), *MAP]).withColumn("code", F.when(F.col("page_id") % 7 == 0, "410").otherwise(F.col("code").cast("string")))
+    out = [S.redirect_lines(rows, f, host="https://w.org").select(F.lit(f).alias("format"), "line") for f in S.FORMATS]
+    return reduce(DataFrame.unionByName, out)
