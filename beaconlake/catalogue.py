@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import logs, redirects, series, sites, surveys
+from .plans import files, logs, redirects, series, sites, surveys
 
-FAMILIES = [logs, surveys, series, redirects, sites]
+FAMILIES = [logs, surveys, series, redirects, sites, files]
 
 
 def queries() -> dict:

@@ -50,6 +50,22 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
 
+def host_path(url: Column) -> Column:
+    """Host (www. stays) and path without a slash at its end: what two URLs of a page share."""
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    path = F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), "/+$", "")
+    return F.concat(host, F.when(path == "", "/").otherwise(path))
+
+
+def transactional(url: Column) -> Column:
+    """Whether the URL is of a page to buy or to log in, which no answer cites."""
+    low = F.lower(url)
+    parts = F.split(F.regexp_extract(low, r"^(?:[a-z]+://[^/?#]*)?([^?#]*)", 1), "/")
+    words = F.array(*map(F.lit, dims.TRANSACTIONAL))
+    named = F.exists(parts, lambda p: F.exists(words, lambda w: (p == w) | (p.startswith(w) & F.substr(p, F.length(w) + 1, F.lit(1)).rlike("[^a-z0-9_]"))))
+    return low.contains(dims.ADD_TO_CART) | named
+
+
 def path_key(path: Column) -> Column:
     """Comparison key: lower case, no slashes at the end, the root stays."""
     p = F.regexp_replace(F.lower(path), r"(?<=.)/+$", "")
