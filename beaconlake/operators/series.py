@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -55,6 +56,40 @@ def split(series: DataFrame, action: str, lag: int) -> DataFrame:
     return series.withColumn("side", F.when(F.col("d") < a, 0).when(F.col("d") >= F.date_add(a, lag), 1))
 
 
+def gaps(treated: DataFrame, control: DataFrame) -> DataFrame:
+    """One row: how many days only one of the two series has."""
+    both = treated.select("d", F.lit(1).alias("t")).join(control.select("d", F.lit(1).alias("c")), "d", "full_outer")
+    return both.agg(F.count_if(F.col("t").isNull() | F.col("c").isNull()).alias("gaps"))
+
+
+def top_movers(moved: DataFrame, key: str, k: int) -> DataFrame:
+    """The k keys that fell most and the k that rose most, with direction and rank."""
+    ranked = lambda order, name: moved.orderBy(order, key).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(order, key))).withColumn("direction", F.lit(name))
+    return ranked(F.asc("change"), "down").unionByName(ranked(F.desc("change"), "up"))
+
+
+def window_before(start: str, end: str) -> tuple[str, str]:
+    """First and last day of the window of equal length that ends the day before start."""
+    a, b = date.fromisoformat(start), date.fromisoformat(end)
+    return (a - ((b - a) + timedelta(days=1))).isoformat(), (a - timedelta(days=1)).isoformat()
+
+
+def between(series: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """The days from start to end, both included; None is open."""
+    out = series if start is None else series.where(F.col("d") >= F.lit(start).cast("date"))
+    return out if end is None else out.where(F.col("d") <= F.lit(end).cast("date"))
+
+
+def describe(series: DataFrame, action: str, lag: int = 0) -> DataFrame:
+    """One row for each series: days, total and mean on both sides of an action, their change in percent, first and last day."""
+    side = lambda i, f, c="v": f(F.when(F.col("side") == i, F.col(c)))
+    m = split(series, action, lag).groupBy("series_id").agg(
+        F.count_if(F.col("side") == 0).alias("days_before"), F.count_if(F.col("side") == 1).alias("days_after"), side(0, F.sum).alias("total_before"), side(1, F.sum).alias("total_after"),
+        side(0, F.avg).alias("mean_before"), side(1, F.avg).alias("mean_after"), side(0, F.min, "d").alias("start"), side(1, F.max, "d").alias("end"),
+    )
+    return m.withColumn("pct_change", stats.pct_change(F.col("mean_after"), F.col("mean_before")))
+
+
 def difference(treated: DataFrame, control: DataFrame, action: str, lag: int = 0) -> DataFrame:
     """Difference in differences over the days that both series have: a row. The control is scaled to the treated mean before the action."""
     both = split(treated.select("d", F.col("v").alias("t")).join(control.select("d", F.col("v").alias("c")), "d"), action, lag)
@@ -89,6 +124,22 @@ def permutation_p(treated: DataFrame, control: DataFrame, action: str, lag: int
     return rows.groupBy("series_id").applyInPandas(shuffled, "series_id string, p double")
 
 
+def conclude(did: DataFrame, p: str, points: DataFrame, action: str, min_days: int = 28, noisy: float = 200) -> DataFrame:
+    """Adds verdict, confidence and coincides. points: change points (side: treated or control, d).
+
+    A change point of the treated series within 7 days of the action coincides with it; one that the control has within 3
+    days of it makes an effect a movement of the market."""
+    out = verdict(did, p)
+    one = lambda side: points.where(F.col("side") == side).agg(F.min("d")).scalar()
+    out = out.withColumns({"t_": one("treated"), "c_": one("control")})
+    near = F.coalesce(F.abs(F.date_diff("t_", F.lit(action).cast("date"))) <= 7, F.lit(False))
+    shared = F.coalesce(F.abs(F.date_diff("t_", "c_")) <= 3, F.lit(False))
+    effect = F.col("verdict") == "consistent_with_the_action"
+    sure = F.when(~effect, "none").when((F.col("days_after") >= min_days) & (F.col("total_after") >= noisy), "moderate").otherwise("low")
+    out = out.withColumns({"confidence": sure, "coincides": near, "s_": shared})
+    return out.withColumn("verdict", F.when(effect & F.col("s_"), "market_wide_movement").otherwise(F.col("verdict"))).drop("t_", "c_", "s_")
+
+
 def verdict(did: DataFrame, p: str | None = None, min_days: int = 14, min_total: float = 50, effect: float = 5.0, market: float = 20.0) -> DataFrame:
     """Adds verdict: refusals come before any statistic."""
     few = (F.col("days_before") < min_days) | (F.col("days_after") < min_days) | (F.least("total_before", "total_after") < min_total)

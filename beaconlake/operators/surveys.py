@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +18,14 @@ def rates(obs: DataFrame) -> DataFrame:
     return sets.select(kind.alias("kind"), F.coalesce("engine", "family", F.lit("all")).alias("name"), "n", "k", F.try_divide("k", "n").alias("rate"), low.alias("low"), high.alias("high"))
 
 
-def compare(obs: DataFrame, by: str, wave: str = "wave") -> DataFrame:
-    """Two waves by a column (only values that both have): shares, difference with its interval, z, noise floor, signal."""
-    w = obs.groupBy(by).agg(*(F.count_if(F.col(wave) == i).alias(f"n{i}") for i in (1, 2)), *(F.count_if((F.col(wave) == i) & F.col("cited")).alias(f"k{i}") for i in (1, 2))).where("n1 > 0 and n2 > 0")
+def compare(obs: DataFrame, by: str, wave: str = "wave", both: bool = True) -> DataFrame:
+    """Two waves by a column: shares, difference with its interval, z, noise floor, signal. both: only values that both waves have, else a wave without one counts as 0 of 0."""
+    w = obs.groupBy(by).agg(*(F.count_if(F.col(wave) == i).alias(f"n{i}") for i in (1, 2)), *(F.count_if((F.col(wave) == i) & F.col("cited")).alias(f"k{i}") for i in (1, 2)))
+    w = w.where("n1 > 0 and n2 > 0") if both else w
     k1, n1, k2, n2 = (F.col(c) for c in ("k1", "n1", "k2", "n2"))
     low, high = stats.newcombe(k1, n1, k2, n2)
-    return w.select(by, "n1", "k1", "n2", "k2", (k2 / n2 - k1 / n1).alias("diff"), low.alias("low"), high.alias("high"), ((low > 0) | (high < 0)).alias("signal"), stats.pooled_z(k1, n1, k2, n2).alias("z"), stats.noise_floor(n1, n2).alias("floor"))
+    share = lambda k, n: F.coalesce(F.try_divide(k, n), F.lit(0.0))
+    return w.select(by, "n1", "k1", "n2", "k2", (share(k2, n2) - share(k1, n1)).alias("diff"), low.alias("low"), high.alias("high"), ((low > 0) | (high < 0)).alias("signal"), stats.pooled_z(k1, n1, k2, n2).alias("z"), stats.noise_floor(n1, n2).alias("floor"))
 
 
 def repetitions(obs: DataFrame) -> DataFrame:
@@ -34,7 +38,7 @@ def repetitions(obs: DataFrame) -> DataFrame:
 def share_of_voice(obs: DataFrame, brands: Column) -> DataFrame:
     """Mentions (a brand once in an answer) and their share of all."""
     n = obs.select(F.explode(F.array_distinct(brands)).alias("brand")).groupBy("brand").agg(F.count("*").alias("mentions"))
-    return n.join(n.agg(F.sum("mentions").alias("all")).withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).select("brand", "mentions", (F.col("mentions") / F.col("all")).alias("share"))
+    return n.select("brand", "mentions", (F.col("mentions") / n.agg(F.sum("mentions")).scalar()).alias("share"))
 
 
 def domains(obs: DataFrame, urls: Column) -> DataFrame:
@@ -45,9 +49,9 @@ def domains(obs: DataFrame, urls: Column) -> DataFrame:
 
 def domain_reach(obs: DataFrame, urls: Column, own: str) -> DataFrame:
     """Answers that use a domain, their share of the answers with sources, and the domain's kind."""
-    total = obs.where(F.size(urls) > 0).agg(F.count("*").alias("all")).withColumn("one", F.lit(1))
+    total = obs.where(F.size(urls) > 0).agg(F.count("*")).scalar()
     n = domains(obs, urls).groupBy("domain").agg(F.count("*").alias("answers"))
-    return n.join(total, F.lit(1) == F.col("one")).select("domain", "answers", (F.col("answers") / F.col("all")).alias("share"), web.source_type(F.col("domain"), own).alias("type"))
+    return n.select("domain", "answers", (F.col("answers") / total).alias("share"), web.source_type(F.col("domain"), own).alias("type"))
 
 
 def source_gap(obs: DataFrame, urls: Column, own: str, core_min: int = 4, core_share: float = 0.75) -> DataFrame:
@@ -74,6 +78,81 @@ def answer_brands(answers: DataFrame, text: Column, names: list[str]) -> DataFra
 def quadrants(obs: DataFrame, by: str) -> DataFrame:
     """Families by their presence and size against the medians of both."""
     r = obs.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.col("cited").cast("double")).alias("rate"))
-    m = r.agg(F.percentile("n", 0.5).alias("mn"), F.percentile("rate", 0.5).alias("mr")).withColumn("one", F.lit(1))
+    r = r.withColumns({"mn": r.agg(F.percentile("n", 0.5)).scalar(), "mr": r.agg(F.percentile("rate", 0.5)).scalar()})
     side = F.concat_ws("-", F.when(F.col("n") >= F.col("mn"), "large").otherwise("small"), F.when(F.col("rate") >= F.col("mr"), "present").otherwise("absent"))
-    return r.join(m, F.lit(1) == F.col("one")).select(by, "n", "rate", side.alias("quadrant"))
+    return r.select(by, "n", "rate", side.alias("quadrant"))
+
+
+def overview(obs: DataFrame) -> DataFrame:
+    """One row: answers, prompts, families, engines."""
+    return obs.agg(F.count("*").alias("answers"), *(F.count_distinct(c).alias(n) for c, n in (("prompt_id", "prompts"), ("family", "families"), ("engine", "engines"))))
+
+
+def mix(obs: DataFrame, column: str) -> DataFrame:
+    """How often each position (or sentiment) is among the answers that cite the brand."""
+    return obs.where("cited").groupBy(column).agg(F.count("*").alias("answers"))
+
+
+def own_pages(obs: DataFrame, urls: Column, own: str) -> DataFrame:
+    """url, prompts (sorted) of the brand's pages, those of its subdomains too, among the sources."""
+    rows = obs.select("prompt_id", F.explode(F.array_distinct(urls)).alias("url"))
+    host = web.host_of(F.col("url"))
+    return rows.where((host == own) | host.endswith("." + own)).groupBy("url").agg(F.array_sort(F.collect_set("prompt_id")).alias("prompts"))
+
+
+def cited_urls(obs: DataFrame, own: str, k: int = 10) -> DataFrame:
+    """url, answers, own of the k URLs cited most; own is a matter of the domain's name standing in the URL. obs: cited, cited_url."""
+    n = obs.where("cited and cited_url <> ''").groupBy("cited_url").agg(F.count("*").alias("answers"))
+    return n.select(F.col("cited_url").alias("url"), "answers", F.lower("cited_url").contains(own.lower()).alias("own")).orderBy(F.desc("answers"), "url").limit(k)
+
+
+def top_gap(gap: DataFrame, k: int = 20) -> DataFrame:
+    """The k domains of a source gap that matter most: those that are core on the most prompts, then in the most absent answers."""
+    return gap.orderBy(F.desc("core_in"), F.desc("absent_answers"), "domain").limit(k)
+
+
+#: Search fee of each engine for 1 000 calls, in dollars.
+FEES = {"openai": 10.0, "perplexity": 2.5, "gemini": 14.0, "anthropic": 10.0}
+
+
+def costs(prompts: DataFrame, engines: dict[str, int], runs: int) -> DataFrame:
+    """engine, calls, fee of a survey. engines: searches a call may make."""
+    n = prompts.agg(F.count_distinct("prompt_id").alias("n"))
+    rows = F.array(*(F.struct(F.lit(e).alias("engine"), (F.col("n") * runs).alias("calls"), (F.col("n") * runs * uses * FEES[e] / 1000.0).alias("fee")) for e, uses in engines.items()))
+    return n.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def prompt_family(text: Column, competitors: list[str]) -> Column:
+    """Family of a prompt by its words; null where none fits."""
+    low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    named = has(*(c.lower() for c in competitors)) if competitors else F.lit(False)
+    objection = low.rlike(r"[^a-z](avis|fiable|arnaque|cher|lent|secure|reliable|scam)[^a-z]")
+    return (
+        F.when(objection, "objection").when(has("alternative", "remplacer", "migrer", "replace ", "migrate"), "replacement")
+        .when(F.trim(low).rlike("^(est-ce qu|does |do |can |is )") | has(" gère-t-"), "qualification")
+        .when(named | low.rlike(" vs[. ]") | has("différence entre"), "named-comparison")
+        .when(has("comment ", "how to", "guide "), "implementation")
+        .when(has("quel ", "quelle ", "meilleur", "best ", "which ", "top "), "category-discovery")
+    )
+
+
+def volume_weight(impressions: Column, median: Column, recurring: Column, rank: Column) -> Column:
+    """3 above the export's median impressions or among the ten most recurring, 2 for three times or more, 1 below."""
+    return F.when((impressions > median) | (rank <= 10), 3).when(recurring >= 3, 2).when(recurring >= 1, 1)
+
+
+#: Kinds of gaps of an entity, with priority and severity.
+ENTITY_GAPS = {"confusion": (1, "high"), "wrong facts": (2, "high"), "vague": (3, "medium"), "outdated": (4, "medium"), "no answer": (1, "high")}
+
+
+def gap_priority(kind: Column) -> Column:
+    """Struct of priority and severity of an entity gap."""
+    known = F.create_map(*(x for k, (p, s) in ENTITY_GAPS.items() for x in (F.lit(k), F.struct(F.lit(p).alias("priority"), F.lit(s).alias("severity")))))
+    return F.try_element_at(known, kind)
+
+
+def priorities(families: DataFrame, k: int = 12) -> DataFrame:
+    """The k families most worth an effort: prompts * weight * (1 - rate) / effort. families: family, prompts, weight, rate, effort."""
+    score = F.try_divide(F.col("prompts") * F.col("weight") * (1 - F.col("rate")), F.col("effort"))
+    return families.withColumn("priority", score).orderBy(F.desc("priority"), "family").limit(k)

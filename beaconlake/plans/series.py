@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import portfolio as P
 from ..operators import series as S
 from . import adapters as A
 from .surveys import rounded
@@ -54,13 +55,39 @@ def ser_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.weekly(by_type(spark, sf_dir)).withColumn("v", F.round("v", 4))
 
 
-@query("WITH b AS (SELECT user_id, sum(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' AND user_id % 3 > 0 GROUP BY 1), a AS (SELECT user_id, sum(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND user_id % 4 > 0 GROUP BY 1) SELECT user_id, round(coalesce(b.v, 0), 4) AS before, round(coalesce(a.v, 0), 4) AS after, round(coalesce(a.v, 0) - coalesce(b.v, 0), 4) AS change FROM b FULL JOIN a USING (user_id)")
+_MOVERS = "WITH b AS (SELECT user_id, sum(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), a AS (SELECT user_id, sum(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1), m AS (SELECT user_id, round(coalesce(b.v, 0), 4) AS before, round(coalesce(a.v, 0), 4) AS after, round(coalesce(a.v, 0) - coalesce(b.v, 0), 4) AS change FROM b FULL JOIN a USING (user_id))"
+
+
+@query(_MOVERS + " SELECT * FROM m")
 def ser_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.load(spark, sf_dir, "events").withColumn("v", F.col("value"))
-    out = S.movers(e.where("ts < timestamp_ntz'2024-01-16' and user_id % 3 > 0"), e.where("ts >= timestamp_ntz'2024-01-16' and user_id % 4 > 0"), "user_id")
+    out = S.movers(e.where("ts < timestamp_ntz'2024-01-16'"), e.where("ts >= timestamp_ntz'2024-01-16'"), "user_id")
     return out.withColumns({c: F.round(c, 4) for c in ("before", "after", "change")})
 
 
+@query(_MOVERS + " SELECT * FROM (SELECT *, row_number() OVER (ORDER BY change, user_id) AS rank, 'down' AS direction FROM m UNION ALL SELECT *, row_number() OVER (ORDER BY change DESC, user_id), 'up' FROM m) WHERE rank <= 10")
+def ser_top_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.top_movers(ser_movers(spark, sf_dir), "user_id", 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(DAILY + " SELECT count(*) FILTER (t.d IS NULL OR c.d IS NULL) AS gaps FROM (SELECT d FROM s WHERE series_id = 'R') t FULL JOIN (SELECT d FROM s WHERE series_id = 'N') c ON t.d = c.d")
+def ser_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = daily(spark, sf_dir)
+    return S.gaps(s.where("series_id = 'R'"), s.where("series_id = 'N'"))
+
+
+@query(TYPES + ", x AS (SELECT *, CASE WHEN d < DATE '2024-01-16' THEN 0 WHEN d >= DATE '2024-01-16' + 2 THEN 1 END AS side FROM s) SELECT series_id, count(*) FILTER (side = 0) AS days_before, count(*) FILTER (side = 1) AS days_after, round(sum(v) FILTER (side = 0), 4) AS total_before, round(sum(v) FILTER (side = 1), 4) AS total_after, round(avg(v) FILTER (side = 0), 4) AS mean_before, round(avg(v) FILTER (side = 1), 4) AS mean_after, min(d) FILTER (side = 0) AS start, max(d) FILTER (side = 1) AS end FROM x GROUP BY 1")
+def ser_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.describe(by_type(spark, sf_dir), "2024-01-16", 2).drop("pct_change")
+    return out.withColumns({c: F.round(c, 4) for c in ("total_before", "total_after", "mean_before", "mean_after")})
+
+
+@query(TYPES + " SELECT series_id, count(*) AS days FROM s WHERE d BETWEEN DATE '2024-01-03' AND DATE '2024-01-10' GROUP BY 1")
+def ser_window_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of the window before 11 to 18 January."""
+    return S.between(by_type(spark, sf_dir), *S.window_before("2024-01-11", "2024-01-18")).groupBy("series_id").agg(F.count("*").alias("days"))
+
+
 @query(DAILY + """, x AS (SELECT *, v - avg(v) OVER (PARTITION BY series_id) AS x FROM s),
 p AS (SELECT series_id, d, count(*) OVER a AS n1, sum(x) OVER a AS s1, sum(x * x) OVER a AS q1, count(*) OVER w AS n, sum(x) OVER w AS s, sum(x * x) OVER w AS q FROM x WINDOW w AS (PARTITION BY series_id), a AS (PARTITION BY series_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT series_id, d, round(abs(s1 / n1 - (s - s1) / (n - n1)) / sqrt((q1 - s1 * s1 / n1) / (n1 - 1) / n1 + ((q - q1) - (s - s1) ** 2 / (n - n1)) / (n - n1 - 1) / (n - n1)), 9) AS stat FROM p WHERE n1 >= 7 AND n - n1 >= 7)
@@ -93,7 +120,7 @@ def ser_impact_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ser_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = by_type(spark, sf_dir)
-    return S.permutation_p(s.where("series_id = 'purchase'"), s.where("series_id = 'view'"), "2024-01-16", rounds=2000)
+    return S.permutation_p(s.where("series_id = 'purchase'"), s.where("series_id = 'view'"), "2024-01-16")
 
 
 _SITES = "WITH o AS (SELECT n_name AS site, o_totalprice AS v, CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 1 ELSE 0 END AS now FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey), t AS (SELECT site, round(sum(v) FILTER (now = 0), 2) AS before, round(sum(v) FILTER (now = 1), 2) AS after FROM o GROUP BY site), p AS (SELECT *, round((after - before) * 100 / before, 1) AS pct FROM t)"
@@ -106,20 +133,34 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("pct", F.round(F.try_divide((F.col("after") - F.col("before")) * 100, F.col("before")), 1))
 
 
-@query(_SITES + " SELECT site, before, after, pct, CASE WHEN pct IS NULL THEN 'none' WHEN pct >= 10 THEN 'good' WHEN pct <= -15 THEN 'bad' WHEN pct <= -5 THEN 'warn' ELSE 'flat' END AS tone FROM p")
+_TONED = _SITES + ", y AS (SELECT n_name AS site, before, after, pct, CASE WHEN pct IS NULL THEN 'none' WHEN pct >= 10 THEN 'good' WHEN pct <= -15 THEN 'bad' WHEN pct <= -5 THEN 'warn' ELSE 'flat' END AS tone FROM (SELECT n_name FROM nation UNION ALL SELECT 'nowhere') LEFT JOIN p ON site = n_name)"
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation as a site, and one without data."""
+    sites = A.load(spark, sf_dir, "nation").select(F.col("n_name").alias("site")).unionByName(spark.createDataFrame([("nowhere",)], "site string"))
+    return P.changes(sites, _sites(spark, sf_dir).drop("pct"))
+
+
+@query(_TONED + " SELECT * FROM y")
 def port_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tone = F.when(F.col("pct").isNull(), "none").when(F.col("pct") >= 10, "good").when(F.col("pct") <= -15, "bad").when(F.col("pct") <= -5, "warn").otherwise("flat")
-    return _sites(spark, sf_dir).withColumn("tone", tone)
+    return _changed(spark, sf_dir)
 
 
-@query(_SITES + " SELECT count(*) AS sites, count(*) FILTER (pct > 0) AS up, count(*) FILTER (pct < 0) AS down, round(sum(after), 2) AS after, round(sum(before), 2) AS before FROM p")
+@query(_TONED + " SELECT count(*) AS sites, count(*) FILTER (pct > 0) AS up, count(*) FILTER (pct < 0) AS down, count(*) FILTER (after IS NULL) AS no_data, round(sum(after), 2) AS after, round(sum(before), 2) AS before FROM y")
 def port_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sites(spark, sf_dir).agg(F.count("*").alias("sites"), F.count_if(F.col("pct") > 0).alias("up"), F.count_if(F.col("pct") < 0).alias("down"), F.round(F.sum("after"), 2).alias("after"), F.round(F.sum("before"), 2).alias("before"))
+    return P.rollup(_changed(spark, sf_dir))
+
+
+@query(_TONED + ", n AS (SELECT n_name AS site, count(*) AS actions FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus <> 'O' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' GROUP BY 1) SELECT site, pct, CASE WHEN pct <= -15 THEN 'high' ELSE 'medium' END AS severity, coalesce(actions, 0) AS actions FROM (SELECT * FROM y WHERE pct <= -5 ORDER BY pct, site LIMIT 3) LEFT JOIN n USING (site)")
+def port_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.findings(_changed(spark, sf_dir), port_actions(spark, sf_dir))
 
 
 @query("SELECT o_orderkey AS action_id, n_name AS site, CAST(o_orderdate AS DATE) AS d, o_orderstatus = 'O' AS planned FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE (o_orderstatus <> 'O' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-03-31') OR (o_orderstatus = 'O' AND CAST(o_orderdate AS DATE) >= DATE '1996-01-01')")
 def port_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = A.load(spark, sf_dir, "orders").join(A.load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(A.load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = o.select(F.col("o_orderkey").alias("action_id"), F.col("n_name").alias("site"), F.to_date("o_orderdate").alias("d"), (F.col("o_orderstatus") == "O").alias("planned"))
-    start, end = F.lit("1996-01-01").cast("date"), F.lit("1996-03-31").cast("date")
-    return rows.where((~F.col("planned") & F.col("d").between(start, end)) | (F.col("planned") & (F.col("d") >= start)))
+    name = F.concat(F.lower(F.substring("n_name", 1, 1)), F.substring("n_name", 2, 100), F.lit(" !"))  # as an agency may write it
+    rows = o.select(F.col("o_orderkey").alias("action_id"), name.alias("site"), F.to_date("o_orderdate").alias("d"), (F.col("o_orderstatus") == "O").alias("planned"))
+    sites = A.load(spark, sf_dir, "nation").select(F.col("n_name").alias("site"), F.array("n_name", F.lit("")).alias("names"))
+    return P.actions(rows, sites, "1996-01-01", "1996-03-31")

@@ -88,21 +88,20 @@ def vis_source_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.source_gap(observations(spark, sf_dir), urls(), OWN)
 
 
-@query(OBS + " SELECT prompt_id FROM o WHERE engine = 'purchase' GROUP BY prompt_id HAVING NOT bool_or(cited AND event_id % 5 = 0)")
+@query(OBS + " SELECT prompt_id FROM o GROUP BY prompt_id HAVING NOT bool_or(cited AND event_id % 29 = 0)")
 def vis_never_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.never_cited(observations(spark, sf_dir).where("engine = 'purchase'").withColumn("cited", F.col("cited") & (F.col("event_id") % 5 == 0)))
+    """Where only every 29th of the answers that cite counts: else every prompt of the large tables is cited."""
+    return S.never_cited(observations(spark, sf_dir).withColumn("cited", F.col("cited") & (F.col("event_id") % 29 == 0)))
 
 
 @query(OBS + " SELECT position, count(*) AS answers FROM o WHERE cited GROUP BY position")
 def vis_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(spark, sf_dir).where("cited").groupBy("position").agg(F.count("*").alias("answers"))
+    return S.mix(observations(spark, sf_dir), "position")
 
 
 @query(OBS + " SELECT u AS url, string_agg(DISTINCT prompt_id, ',' ORDER BY prompt_id) AS prompts FROM (SELECT prompt_id, unnest(string_split(sources, ' ')) AS u FROM o) WHERE contains(u, '://www.me.com/') GROUP BY u")
 def vis_own_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.web import host_of
-
-    return observations(spark, sf_dir).select("prompt_id", F.explode(urls()).alias("url")).where(host_of(F.col("url")) == OWN).groupBy("url").agg(F.array_join(F.array_sort(F.collect_set("prompt_id")), ",").alias("prompts"))
+    return S.own_pages(observations(spark, sf_dir), urls(), OWN).withColumn("prompts", F.array_join("prompts", ","))
 
 
 @query(OBS + ", r AS (SELECT family, count(*) AS n, avg(CASE WHEN cited THEN 1.0 ELSE 0.0 END) AS rate FROM o GROUP BY family), m AS (SELECT quantile_cont(n, 0.5) AS mn, quantile_cont(rate, 0.5) AS mr FROM r) SELECT family, n, round(rate, 6) AS rate, CASE WHEN n >= mn THEN 'large' ELSE 'small' END || '-' || CASE WHEN rate >= mr THEN 'present' ELSE 'absent' END AS quadrant FROM r, m")
@@ -114,13 +113,46 @@ def plan_quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = observations(spark, sf_dir).groupBy("family").agg(F.count_distinct("prompt_id").alias("prompts"), F.avg(F.col("cited").cast("double")).alias("rate"))
     n = F.substring("family", 2, 10).cast("long")
-    return rounded(r.select("family", "prompts", "rate", (F.col("prompts") * (1 + n % 3) * (1 - F.col("rate")) / (1 + n % 2)).alias("priority")), "rate", "priority")
+    return rounded(S.priorities(r.withColumns({"weight": 1 + n % 3, "effort": 1 + n % 2})).drop("weight", "effort"), "rate", "priority")
 
 
-@query("SELECT conv_id, turn, CASE WHEN i > 0 THEN 'the' ELSE '' END || CASE WHEN i > 0 AND j > 0 THEN ',' ELSE '' END || CASE WHEN j > 0 THEN 'of' ELSE '' END AS unordered, CASE WHEN i > 0 AND (j = 0 OR i < j) THEN 'first' WHEN i > 0 THEN 'passing' ELSE 'none' END AS position FROM (SELECT conv_id, turn, strpos(t, ' the ') AS i, strpos(t, ' of ') AS j FROM (SELECT conv_id, turn, ' ' || lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g')) || ' ' AS t FROM conversations WHERE role = 'assistant'))")
+@query("SELECT conv_id, turn, CASE WHEN i > 0 AND j > 0 THEN CASE WHEN i < j THEN 'the,of' ELSE 'of,the' END WHEN i > 0 THEN 'the' WHEN j > 0 THEN 'of' ELSE '' END AS brands, CASE WHEN i > 0 AND (j = 0 OR i < j) THEN 'first' WHEN i > 0 THEN 'passing' ELSE 'none' END AS position FROM (SELECT conv_id, turn, strpos(t, ' the ') AS i, strpos(t, ' of ') AS j FROM (SELECT conv_id, turn, ' ' || lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g')) || ' ' AS t FROM conversations WHERE role = 'assistant'))")
 def answer_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = A.load(spark, sf_dir, "conversations").where("role = 'assistant'")
     clean = F.concat(F.lit(" "), F.regexp_replace("text", "[^A-Za-z]", " "), F.lit(" "))
-    out = S.answer_brands(c, clean, ["the", "of"])
-    both = F.array_join(F.reverse(F.array_sort("brands")), ",")
-    return out.select("conv_id", "turn", both.alias("unordered"), "position")
+    return S.answer_brands(c, clean, ["the", "of"]).select("conv_id", "turn", F.array_join("brands", ",").alias("brands"), "position")
+
+
+@query(OBS + " SELECT count(*) AS answers, count(DISTINCT prompt_id) AS prompts, count(DISTINCT family) AS families, count(DISTINCT engine) AS engines FROM o")
+def vis_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.overview(observations(spark, sf_dir))
+
+
+@query(OBS + ", u AS (SELECT split_part(sources, ' ', 1 + event_id % 2) AS url FROM o WHERE cited) SELECT url, count(*) AS answers, contains(url, 'site1') AS own FROM u GROUP BY url ORDER BY answers DESC, url LIMIT 10")
+def vis_cited_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = observations(spark, sf_dir)
+    return S.cited_urls(o.withColumn("cited_url", F.get(urls(), (F.col("event_id") % 2).cast("int"))), "Site1")
+
+
+@query("WITH g AS (" + SQL["vis_source_gap"] + ") SELECT * FROM g ORDER BY core_in DESC, absent_answers DESC, domain LIMIT 3")
+def vis_top_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.top_gap(vis_source_gap(spark, sf_dir), 3)
+
+
+@query(OBS + ", n AS (SELECT count(DISTINCT prompt_id) AS n FROM o) SELECT e AS engine, n * 5 AS calls, round(n * 5 * f / 1000, 4) AS fee FROM n, (VALUES ('openai', 10.0), ('perplexity', 2.5), ('gemini', 14.0), ('anthropic', 30.0)) x(e, f)")
+def vis_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.costs(observations(spark, sf_dir), {"openai": 1, "perplexity": 1, "gemini": 1, "anthropic": 3}, 5).withColumn("fee", F.round("fee", 4))
+
+
+@query(OBS + ", w AS (SELECT family, count(*) FILTER (wave = 1 AND family <> 'f2') AS n1, count(*) FILTER (wave = 1 AND family <> 'f2' AND cited) AS k1, count(*) FILTER (wave = 2) AS n2, count(*) FILTER (wave = 2 AND cited) AS k2 FROM o GROUP BY 1) SELECT family, n1, k1, n2, k2, round(k2 / n2 - CASE WHEN n1 > 0 THEN k1 / n1 ELSE 0 END, 6) AS diff FROM w")
+def vis_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a family that the first wave doesn't have."""
+    o = observations(spark, sf_dir).where("not (wave = 1 and family = 'f2')")
+    return rounded(S.compare(o, "family", both=False).select("family", "n1", "k1", "n2", "k2", "diff"), "diff")
+
+
+@query("SELECT CASE event_id % 7 WHEN 0 THEN 'objection' WHEN 1 THEN 'replacement' WHEN 2 THEN 'qualification' WHEN 3 THEN 'named-comparison' WHEN 4 THEN 'implementation' WHEN 5 THEN 'category-discovery' END AS family, count(*) AS prompts FROM events GROUP BY 1")
+def vis_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = ["Est-ce que Acme est fiable ?", "Alternative à Acme pour {}", "Does Acme support {}", "Acme ou Zeta pour {}", "How to use {} each day", "Quel outil pour {}", "{}"]
+    text = F.replace(F.get(F.array(*map(F.lit, texts)), (F.col("event_id") % 7).cast("int")), F.lit("{}"), F.col("event_type"))
+    return A.load(spark, sf_dir, "events").select(S.prompt_family(text, ["Acme"]).alias("family")).groupBy("family").agg(F.count("*").alias("prompts"))
