@@ -146,12 +146,18 @@ class Reader:
         return found
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_bytes: int = 1 << 16, file_bytes: int = 1 << 28) -> DataFrame:
-    """Writes the shards under path; returns a row for each file: shard, file, entries, ids, least and most (ids)."""
+def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_bytes: int = 1 << 16, file_bytes: int = 1 << 28, combine: bool = False) -> DataFrame:
+    """Writes the shards under path; returns a row for each file: shard, file, entries, ids, least and most (ids).
+
+    combine: rows equal in id and text go through the shuffle and the tokenizer once, with their number, and are written as often, next to each other; for inputs with many copies."""
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("seq"))
+    if combine:
+        rows = rows.groupBy("doc_id", "text").agg(F.min("seq").alias("seq"), F.count("*").alias("copies"))
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
     ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("seq")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("seq"))
     end = np.array([end_id], "<u4").tobytes()
 
@@ -168,9 +174,10 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
 
         low = high = None
         for b in batches:
-            keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i in range(0, len(texts), 256):
-                for doc_id, ids in zip(keys[i : i + 256], enc.encode(texts[i : i + 256]), strict=True):
+            for i in range(0, b.num_rows, 256):  # few texts as Python strings at a time
+                keys, texts, copies = (b.column(c).slice(i, 256).to_pylist() for c in ("doc_id", "text", "copies"))
+                each = ((k, ids) for k, ids, m in zip(keys, enc.encode(texts), copies, strict=True) for _ in range(m))
+                for doc_id, ids in each:
                     if out is not None and out.at >= file_bytes:
                         close()
                         out = None
@@ -208,7 +215,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(read, "doc_id long, start long, ids binary")
 
 
-def token_digests(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
+def token_digests(spark: SparkSession, docs: DataFrame, vocabulary: str, combine: bool = False) -> DataFrame:
     """Writes the shards to the shared folder and returns what the files hold: doc_id, start, n_tokens, ids_crc32."""
-    stored = read_shards(write_shards(docs, new_path(spark, "shards"), vocabulary))
+    stored = read_shards(write_shards(docs, new_path(spark, "shards"), vocabulary, combine=combine))
     return stored.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
