@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 
-LONGEST, MOST = 64, 1 << 20
+LONGEST, MOST = 64, 1 << 18
 
 
 def vocabulary(name: str) -> str:
