@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import files, logs, redirects, series, sites, surveys
+from .plans import files, logs, passages, redirects, series, sites, surveys
 
-FAMILIES = [logs, surveys, series, redirects, sites, files]
+FAMILIES = [logs, surveys, series, redirects, sites, files, passages]
 
 
 def queries() -> dict:
