@@ -460,3 +460,11 @@ def test_sorted_string_tables_round_trip(spark):
     assert all(len(r.blocks) > 1 for r in readers[:2])
     found = lambda x: sum(len(r.get(x)) for r in readers)
     assert (found(None), found(7), found(-300), found(-299)) == (1, 2 + sum(i * 7 - 300 == 7 for i in range(1000)), 1, 0)
+
+
+def test_token_files_of_copies_combined_are_the_same(spark):
+    rows = [(3, "a b c"), (None, "x"), (3, "a b c"), (1, None), (1, ""), (3, "a b c"), (2, "long " * 5000), (2, "long " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    v = vocabulary("word_bpe_49k.json")
+    found = [sorted(map(tuple, sstable.token_digests(spark, df, v, combine=c).collect()), key=str) for c in (False, True)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
