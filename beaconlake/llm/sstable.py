@@ -146,10 +146,11 @@ class Reader:
         return found
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_bytes: int = 1 << 16, file_bytes: int = 1 << 28, combine: bool = False) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_bytes: int = 1 << 16, file_bytes: int = 1 << 28, combine: bool = False, kept_chunks: int = 1 << 20) -> DataFrame:
     """Writes the shards under path; returns a row for each file: shard, file, entries, ids, least and most (ids).
 
-    combine: rows equal in id and text go through the shuffle and the tokenizer once, with their number, and are written as often, next to each other; for inputs with many copies."""
+    combine: rows equal in id and text go through the shuffle and the tokenizer once, with their number, and are written as often, next to each other; for inputs with many copies.
+    kept_chunks: encoded chunks that a worker keeps (about 200 bytes each): fewer take less memory and more time."""
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -165,7 +166,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
         context = TaskContext.get()
         fs, base = file_system(path)
         fs.create_dir(base, recursive=True)
-        enc, part, done, out, names = encoder(WordEncoder, vocabulary), context.partitionId(), [], None, None
+        enc, part, done, out, names = encoder(WordEncoder, vocabulary, kept_chunks), context.partitionId(), [], None, None
 
         def close():
             out.close()
@@ -215,7 +216,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(read, "doc_id long, start long, ids binary")
 
 
-def token_digests(spark: SparkSession, docs: DataFrame, vocabulary: str, combine: bool = False) -> DataFrame:
+def token_digests(spark: SparkSession, docs: DataFrame, vocabulary: str, combine: bool = False, kept_chunks: int = 1 << 20) -> DataFrame:
     """Writes the shards to the shared folder and returns what the files hold: doc_id, start, n_tokens, ids_crc32."""
-    stored = read_shards(write_shards(docs, new_path(spark, "shards"), vocabulary, combine=combine))
+    stored = read_shards(write_shards(docs, new_path(spark, "shards"), vocabulary, combine=combine, kept_chunks=kept_chunks))
     return stored.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -12,7 +12,8 @@ from itertools import chain
 
 import numpy as np
 
-LONGEST, MOST = 64, 1 << 18
+#: Characters of a chunk that is kept, chunks encoded by one call.
+LONGEST, AT_ONCE = 64, 1 << 10
 
 
 def vocabulary(name: str) -> str:
@@ -29,19 +30,21 @@ def _load(path: str):
 
 
 class WordEncoder:
-    """For a tokenizer that drops white space: ids of a text as little-endian 32-bit bytes."""
+    """For a tokenizer that drops white space: ids of a text as little-endian 32-bit bytes. most: chunks that are kept, about 200 bytes each."""
 
-    def __init__(self, path: str):
-        self.tokenizer, self.known = _load(path), {"": b""}
+    def __init__(self, path: str, most: int = 1 << 20):
+        self.tokenizer, self.known, self.most = _load(path), {"": b""}, most
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        if len(known) > MOST:
+        if len(known) > self.most:
             known = self.known = {"": b""}
         new = list({c for cs in split for c in cs if c not in known})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[c] = np.array(e.ids, "<u4").tobytes()
         out = [b"".join([known[c] for c in cs]) for cs in split]
         for c in new:
             if len(c) > LONGEST:
@@ -67,7 +70,7 @@ class SpanEncoder:
 _encoders: dict = {}
 
 
-def encoder(kind: type, path: str):
-    if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path)
-    return _encoders[kind, path]
+def encoder(kind: type, path: str, *options):
+    if (kind, path, *options) not in _encoders:
+        _encoders[kind, path, *options] = kind(path, *options)
+    return _encoders[kind, path, *options]
