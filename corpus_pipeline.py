@@ -72,7 +72,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the sorted string tables of token ids hold, by document in ascending order; the copies that mixing made are encoded once."""
-    return token_digests(spark, docs, vocabulary("word_bpe_49k.json"), combine=True)
+    return token_digests(spark, docs, vocabulary("word_bpe_49k.json"), combine=True, kept_chunks=1 << 18)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_files", token_files)]
