@@ -239,14 +239,14 @@ def sign(maps, k: int, percent: int):
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) of all ids in links; component is the smallest id reachable. Labels spread to neighbours and jump along labels; every round is a checkpoint."""
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a))).distinct().checkpoint()
-    labels = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")).checkpoint()
+    """(id, component) of all ids in links; component is the smallest id reachable. Labels spread to neighbours and jump along labels; every round is written."""
+    both = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a))).distinct(), "both")
+    labels = written(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     while True:
         near = both.join(labels, both.v == labels.id).groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         at = labels.select(F.col("id").alias("to"), F.col("component").alias("beyond"))
-        new = step.join(at, "to", "left").select("id", F.least("to", F.coalesce("beyond", "to")).alias("component"), "was").checkpoint()
+        new = written(step.join(at, "to", "left").select("id", F.least("to", F.coalesce("beyond", "to")).alias("component"), "was"), "labels")
         moved = new.where("component <> was").limit(1).count()
         labels = new.drop("was")
         if not moved:

@@ -223,7 +223,7 @@ UNION ALL SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITIO
 """
 
 
-_BY_NAME = [op1_hypergeometric_sharding, op2_ngram_jaccard_join, op3_host_quality, op4_license_rules, op5_dom_marginals, op6_suffix_automaton, op7_nearest_toxic, op8_offset_token_counts, op9_sorted_string_tables, op10_soft_mixing, op11_word_id_resampling, op13_word_divergence]
+_BY_NAME = [op1_hypergeometric_sharding, op2_ngram_jaccard_join, op3_host_quality, op4_license_rules, op5_dom_marginals, op6_suffix_automaton, op7_nearest_toxic, op8_offset_token_counts, op9_sorted_string_tables, op10_soft_mixing, op11_word_id_resampling, op12_chosen_paths, op13_word_divergence]
 
 
 def queries() -> dict:
