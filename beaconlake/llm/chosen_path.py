@@ -39,6 +39,8 @@ from .common import free_name, ship, written
 from .ngram_join import components, grouped, mixed, shingle_sets, sketch
 
 COORDS, BRANCHES, LOST = 64, 2, 1e-9
+#: Coordinates that a path may use and still branch.
+DEPTH = COORDS - BRANCHES
 _rng = np.random.default_rng(20240)
 _ADD, _MUL = _rng.integers(0, 2**64, COORDS, np.uint64), _rng.integers(0, 2**64, COORDS, np.uint64) | np.uint64(1)
 SIGNED = "doc_id long, low long, high long, n long, sketch array<long>, sig binary"
@@ -231,7 +233,7 @@ def paths(live: DataFrame, data: DataFrame, percent: int, small: int, few: int)
         by = live.groupBy("node", "component").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("n_components"))
         by = by.where("n_components > 1").select("node", "size", (F.col("size") - F.col("top.c")).alias("minor"), F.col("top.component").alias("main"))
         rows = written(live.join(by, "node"), "nodes")
-        done = (F.col("minor") <= few) | (F.bit_count("used") > COORDS - BRANCHES)
+        done = (F.col("minor") <= few) | (F.bit_count("used") > DEPTH)
         exhaustive = rows.where(F.col("size") <= small).select(F.col("node").alias("key"), "rep", "component", F.lit(3).cast("long").alias("side"))
         exhaustive = exhaustive.unionByName(_blocks(rows.where((F.col("size") > small) & done), small))
         keyed = exhaustive.join(data, "rep").repartition(parts, "key").sortWithinPartitions("key")
