@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import web
 from ..operators import logs
-from ..sources.logs import parse_combined, parse_delimited, parse_json
+from ..sinks import packed_files
+from ..sources.logs import parse_combined, parse_delimited, parse_json, parse_logs
+from ..sources.packed import packed_lines
+from ..storage import scratch
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -55,6 +58,48 @@ def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir).where("parsed").select("event_id", "ip", F.col("ts"), "method", "url", "status", "bytes", "agent", F.round("rt_ms", 3).alias("rt_ms"))
 
 
+@query(
+    f"""SELECT ip, ts, method, url, CAST(status AS INTEGER) AS status, bytes, agent, CAST(rt AS DOUBLE) AS rt_ms, count(*) AS lines
+FROM ({A.sql(A.HIT, 'events')}) WHERE NOT broken GROUP BY ALL"""
+)
+def log_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log_parse over gzip, bzip2, xz and plain files whose names say nothing, read in ranges of 16 kB."""
+    lines, path = A.log_lines(spark, sf_dir), scratch(spark, "packed")
+    for i, packing in enumerate(("gzip", "bzip2", "xz", "plain")):
+        packed_files(lines.where(F.pmod("event_id", F.lit(4)) == i), path, packing, member_bytes=20_000).write.format("noop").mode("overwrite").save()
+    found = parse_combined(packed_lines(spark, path, block_bytes=1 << 14)).where("parsed")
+    fields = ["ip", "ts", "method", "url", "status", "bytes", "agent", F.round("rt_ms", 3).alias("rt_ms")]
+    return found.select(*fields).groupBy("ip", "ts", "method", "url", "status", "bytes", "agent", "rt_ms").agg(F.count("*").alias("lines"))
+
+
+#: The dialects of log_dialects: what an event is written as, by its number modulo 4, and the packing.
+_DIALECTS = {
+    0: ("bzip2", ",", "Date,Adresse IP,Chemin,Navigateur,Statut,Taille", ["ts", "ip", "url", "agent", "status", "bytes"]),
+    1: ("xz", "\t", "visitor_ip\tUser Agent\tmethod\turl\ttime\tduration", ["ip", "agent", "method", "url", "ts", "rt"]),
+    2: ("gzip", "|", '"page"|"code"|"ua"|"timestamp"|"x"|"remote_addr"', ["url", "status", "agent", "ts", "rt", "ip"]),
+}
+
+
+@query(
+    f"""SELECT format, ip, ts, url, status, bytes, agent, count(*) AS lines FROM (
+SELECT CASE event_id % 4 WHEN 3 THEN 'json' ELSE 'csv' END AS format, ip, ts, url, agent,
+  CAST(CASE event_id % 4 WHEN 1 THEN 0 ELSE status END AS INTEGER) AS status, CASE WHEN event_id % 4 IN (1, 2) THEN 0 ELSE bytes END AS bytes
+FROM ({A.sql(A.HIT, 'events')})) GROUP BY ALL"""
+)
+def log_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of files in three delimited dialects and of JSON lines, packed differently; each file's own header says what its columns are."""
+    h = A.derived(A.load(spark, sf_dir, "events"), A.HIT).withColumn("dialect", F.pmod("event_id", F.lit(4)))
+    path = scratch(spark, "dialects")
+    text = {c: F.col(c).cast("string") for c in ("ip", "url", "agent", "status", "bytes", "rt", "method")} | {"ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")}
+    for i, (packing, sep, header, fields) in _DIALECTS.items():
+        rows = h.where(F.col("dialect") == i).select(F.concat_ws(sep, *(text[f] for f in fields)).alias("line"))
+        packed_files(rows, path, packing, header=header).write.format("noop").mode("overwrite").save()
+    record = F.to_json(F.struct("ip", text["ts"].alias("time"), F.col("url").alias("path"), "status", "bytes", "agent"))
+    packed_files(h.where("dialect = 3").select(record.alias("line")), path, "plain").write.format("noop").mode("overwrite").save()
+    found = parse_logs(packed_lines(spark, path)).where("parsed")
+    return found.groupBy("format", "ip", "ts", "url", "status", "bytes", "agent").agg(F.count("*").alias("lines"))
+
+
 @query(f"SELECT count(*) AS lines, count(*) FILTER (broken) AS malformed, round(count(*) FILTER (broken) / count(*), 6) AS ratio, count(*) FILTER (broken) / count(*) > 0.2 AS refuse FROM ({A.sql(A.HIT, 'events')})")
 def log_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.malformed(parsed(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))

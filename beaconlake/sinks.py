@@ -6,10 +6,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import web as W
+from .sources.packed import file_system
 
 FORMATS = ["redirection", "yoast", "rankmath", "seopress", "generic", "htaccess", "nginx"]
 #: Header lines, as the importers of each format expect them.
@@ -130,3 +133,44 @@ def json_report(sections: dict[str, DataFrame]) -> DataFrame:
 def write_lines(lines: DataFrame, path: str) -> None:
     """The lines as text in their order: one file of one partition, which is what the readers of such files take."""
     lines.orderBy("at").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def packed_files(lines: DataFrame, path: str, packing: str, header: str | None = None, member_bytes: int = 4 << 20, line: str = "line") -> DataFrame:
+    """(file, lines) of the files written: one for each partition that has rows, without extension, under a header line if there is one.
+
+    packing: plain, gzip, bzip2 or xz. gzip begins a member every ``member_bytes`` of text, so that ranges of it can be
+    read apart. A task writes under a name of its own and renames at the end, so a repeated task replaces its file."""
+    if packing not in ("plain", "gzip", "bzip2", "xz"):
+        raise ValueError(f"no such packing: {packing}")
+
+    def write(batches):
+        import bz2
+        import lzma
+        import zlib
+
+        make = {"plain": None, "gzip": lambda: zlib.compressobj(6, zlib.DEFLATED, 31), "bzip2": bz2.BZ2Compressor, "xz": lzma.LZMACompressor}[packing]
+        context = TaskContext.get()
+        fs, base = file_system(path)
+        name = f"{base}/{packing}-{context.partitionId():06d}"
+        draft, sink, packer, size, n = f"{base}/_{packing}-{context.partitionId():06d}-{context.taskAttemptId()}", None, None, 0, 0
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.column(0).slice(i, 4096).to_pylist()
+                if sink is None:
+                    fs.create_dir(base, recursive=True)
+                    sink, packer = fs.open_output_stream(draft), make and make()
+                    part[:0] = [] if header is None else [header]
+                    n -= header is not None
+                data = "".join(f"{x or ''}\n" for x in part).encode("utf-8", "surrogatepass")
+                n, size = n + len(part), size + len(data)
+                sink.write(packer.compress(data) if packer else data)
+                if packing == "gzip" and size >= member_bytes:
+                    sink.write(packer.flush())
+                    packer, size = make(), 0
+        if sink is not None:
+            sink.write(packer.flush() if packer else b"")
+            sink.close()
+            fs.move(draft, name)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "lines"])
+
+    return lines.select(line).mapInArrow(write, "file string, lines long")

@@ -74,18 +74,6 @@ def decoded(content: bytes) -> str:
     return content.decode("latin-1")
 
 
-def packed_lines(files: DataFrame) -> DataFrame:
-    """(file, line) of log files in any of the packings, a file a task at a time; for codecs that Spark doesn't read by name."""
-
-    def lines(batches):
-        for b in batches:
-            for file, content in zip(b.file, b.content, strict=True):
-                text = unpacked(bytes(content)).decode("utf-8", "replace").splitlines()
-                yield pd.DataFrame({"file": [file] * len(text), "line": text})
-
-    return files.mapInPandas(lines, "file string, line string")
-
-
 def texts(files: DataFrame) -> DataFrame:
     """(file, text) of the files."""
 

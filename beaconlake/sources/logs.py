@@ -22,10 +22,17 @@ ALIASES = {
     "rt": ["request_time", "response_time", "duration", "time_taken", "rt", "upstream_response_time"],
 }
 
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a file, a folder or a pattern (plain, gzip or bzip2), with their file."""
-    return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+#: Names of the columns in the header line of a delimited log; the leftmost column that has one of them counts.
+HEADERS = {
+    "ip": ["ip", "client_ip", "clientip", "remote_addr", "remote_host", "host_ip", "adresse_ip", "visitor_ip"],
+    "agent": ["user_agent", "useragent", "ua", "agent", "http_user_agent", "navigateur"],
+    "url": ["url", "uri", "path", "request", "request_uri", "page", "chemin"],
+    "status": ["status", "code", "status_code", "http_code", "response_code", "statut"],
+    "ts": ["date", "time", "datetime", "timestamp", "time_local", "date_heure"],
+    "bytes": ["bytes", "size", "bytes_sent", "taille"],
+    "rt": ["response_time", "request_time", "duration", "time_taken", "temps"],
+}
+SEPARATORS = ["\t", ";", ",", "|"]
 
 
 def apache_time(text: Column) -> Column:
@@ -115,6 +122,65 @@ def parse_delimited(lines: DataFrame, header: str, line: str = "line") -> DataFr
     return found.drop("raw_ip_").withColumn("parsed", F.col("ip").isNotNull() & F.col("ts").isNotNull() & F.col("url").isNotNull())
 
 
+def split_fields(line: Column, sep: Column) -> Column:
+    """The fields of a delimited line, naively: quotes around a field go, quotes mean nothing else."""
+    return F.transform(F.split(line, F.concat(F.lit(r"\Q"), sep, F.lit(r"\E"))), lambda x: F.regexp_replace(F.trim(x), '^"+|"+$', ""))
+
+
+def header_of(first: Column) -> Column:
+    """What a file's first line says about its columns: struct (n, order, sep, at), at a map of field to place; null where it is no header.
+
+    Every separator is tried; it needs an address, an agent and a URL, and the one that names most fields wins."""
+
+    def read(order: int, sep: str) -> Column:
+        names = F.transform(split_fields(first, F.lit(sep)), lambda x: F.replace(F.lower(x), F.lit(" "), F.lit("_")))
+
+        def place(names: Column, known: list[str]) -> Column:
+            return F.array_min(F.transform(names, lambda x, i: F.when(x.isin(known), i)))
+
+        at = F.map_filter(F.create_map(*(x for f, known in HEADERS.items() for x in (F.lit(f), place(names, known)))), lambda f, i: i.isNotNull())
+        good = (F.size(names) >= 3) & at["ip"].isNotNull() & at["agent"].isNotNull() & at["url"].isNotNull()
+        return F.when(good, F.struct(F.size(at).alias("n"), F.lit(-order).alias("order"), F.lit(sep).alias("sep"), F.map_entries(at).alias("at")))
+
+    best = F.array_max(F.array(*(read(i, sep) for i, sep in enumerate(SEPARATORS))))
+    return F.when(best.isNotNull(), F.struct(best["sep"].alias("sep"), F.map_from_entries(best["at"]).alias("at")))
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """(file, head) of the files of (file, start, at, line) whose first line is the header of a delimited log."""
+    first = lines.where((F.col("start") == 0) & (F.col("at") == 0) & ~F.ltrim("line").startswith("{") & ~F.col("line").rlike(r"\[\d{1,2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}"))
+    return first.select("file", header_of(F.col("line")).alias("head")).where("head is not null")
+
+
+def parse_headed(lines: DataFrame, line: str = "line", head: str = "head") -> DataFrame:
+    """Rows of delimited logs, each by its own file's header (see header_of)."""
+    fields = F.col("fields_")
+    get = lambda f: F.get(fields, F.col(head)["at"][f])
+    digits = lambda f, kind: F.coalesce(F.when(get(f).rlike(r"^\d+$"), get(f).try_cast(kind)), F.lit(0).cast(kind))
+    found = lines.select("*", once("fields_", split_fields(F.col(line), F.col(head)["sep"])))
+    found = found.withColumn("raw_ip_", get("ip"))
+    found = found.withColumns({"ip": first_address("raw_ip_"), "ts": any_time(get("ts")), "method": F.lit(""), "url": get("url"), "status": digits("status", "int"), "bytes": digits("bytes", "long"), "agent": get("agent"), "rt_ms": duration_ms(get("rt"))})
+    good = F.col("ip").isNotNull() & F.col("ts").isNotNull() & F.col("url").isNotNull() & F.col("agent").isNotNull()
+    return found.drop("raw_ip_", "fields_").withColumn("parsed", good)
+
+
+def parse_logs(lines: DataFrame) -> DataFrame:
+    """Log records of files of any format, as packed_lines gives them: format (json, csv or combined, told line by line and, for csv, by the file's header) and the fields.
+
+    Headers are found in a pass of their own and joined back by file; then each line goes through the one parser that it
+    needs, in one pass. Blank lines and header lines are no records."""
+    heads = file_headers(lines)
+    rows = lines.where(F.trim("line") != "").join(heads, "file", "left")
+    rows = rows.where(F.col("head").isNull() | (F.col("start") > 0) | (F.col("at") > 0))
+    kind = F.when(F.ltrim("line").startswith("{"), "json").when(F.col("head").isNotNull(), "csv").otherwise("combined")
+    rows = rows.withColumn("format", kind)
+    for name, parse in (("json", parse_json), ("csv", parse_headed), ("combined", parse_combined)):
+        own = parse(rows.withColumn("own_", F.when(F.col("format") == name, F.col("line"))), "own_")
+        rows = own.select(*rows.columns, F.struct(*FIELDS, "parsed").alias(f"{name}_"))
+    record = F.when(F.col("format") == "json", F.col("json_")).when(F.col("format") == "csv", F.col("csv_")).otherwise(F.col("combined_"))
+    return rows.select("file", "start", "at", "line", "format", record.alias("r")).select("file", "start", "at", "line", "format", "r.*")
+
+
 def read_blocks(ranges: DataFrame, name: str = "provider") -> DataFrame:
     """(ranges, lo, hi) from rows of (name, cidr); what is no block is left out."""
     return ranges.select(F.col(name).alias("ranges"), block_bounds("cidr").alias("b")).where("b is not null").select("ranges", "b.lo", "b.hi").distinct()

@@ -1,23 +1,45 @@
-"""Cuts of long plans: a table written to the folder of spark.checkpoint.dir, which survives lost executors."""
+"""Scratch tables in the folder of spark.checkpoint.dir: cuts of long plans that survive lost executors and go when the application ends."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, computed now and read from the checkpoint folder from here on. Where no folder is set: one of our own in local mode, an error on a cluster."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset: one of our own in local mode, an error on a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        sc = spark.sparkContext
+        path = getattr(sc, "_beaconlake_folder", None)
         if path is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            path = tempfile.mkdtemp(prefix="beaconlake-")
+            path = sc._beaconlake_folder = tempfile.mkdtemp(prefix="beaconlake-")
             atexit.register(shutil.rmtree, path, True)
-        sc.setCheckpointDir(path)
-    return df.checkpoint()
+    return path.rstrip("/")
+
+
+def _delete(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):  # already gone, or the JVM is
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/beaconlake-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """The rows, computed now and read from the shared folder from here on."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
