@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import files, logs, passages, redirects, series, sites, surveys
+from .plans import files, logs, passages, redirects, series, sites, surveys, trees
 
-FAMILIES = [logs, surveys, series, redirects, sites, files, passages]
+FAMILIES = [logs, surveys, series, redirects, sites, files, passages, trees]
 
 
 def queries() -> dict:

@@ -11,7 +11,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.logs import harvest_ranges, read_blocks, spread
+from ..sources.logs import read_blocks, spread
+from ..sources.variants import provider_ranges
 
 AGENTS = [
     "Mozilla/5.0 (compatible; GPTBot/1.2; +https://openai.com/gptbot)",
@@ -93,9 +94,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cidr(spark: SparkSession) -> DataFrame:
-    """The blocks as vendors publish them (JSON of prefixes), read again."""
-    by: dict[str, list[dict]] = {}
+    """The blocks as vendors publish them (JSON of prefixes by provider), read again."""
+    by: dict[str, dict] = {"_generated": {}}
     for name, net, bits in CIDR:
-        by.setdefault(name, []).append({"ipv4Prefix": f"{net}/{bits}"})
-    rows = [(name, json.dumps({"prefixes": prefixes})) for name, prefixes in by.items()]
-    return read_blocks(harvest_ranges(spark.createDataFrame(rows, "provider string, json string")))
+        by.setdefault(name, {"prefixes": []})["prefixes"].append({"ipv4Prefix": f"{net}/{bits}"})
+    return read_blocks(provider_ranges(spark.createDataFrame([(json.dumps(by),)], "json string")), "provider")

@@ -185,21 +185,16 @@ def map_rows(files: DataFrame) -> DataFrame:
     )
 
 
-def rewrite_rules(files: DataFrame) -> list[tuple[str, str]]:
-    """(expression, replacement) of lines ``expression => replacement`` (a short list, in order); other lines but comments are an error."""
-    lines = texts(files).select("file", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line")).select("file", "at", F.trim("line").alias("line")).where("line <> '' and not startswith(line, '#')").orderBy("file", "at")
-    found = [r.line.partition("=>") for r in lines.collect()]
-    if bad := [a for a, sep, _ in found if not sep]:
-        raise ValueError(f"expected 'expression => replacement', got {bad[0]!r}")
-    return [(a.strip(), b.strip()) for a, _, b in found]
-
-
-def sitemap(files: DataFrame) -> DataFrame:
-    """(file, url) of sitemaps; an index, which only lists other sitemaps, is an error."""
-    t = texts(files)
-    t = t.withColumn("text", F.when(F.substring("text", 1, 4000).contains("<sitemapindex"), F.raise_error(F.concat(F.lit("a sitemap index, give its sitemaps: "), "file"))).otherwise(F.col("text")))
-    found = t.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), 1)).alias("url"))
-    return found.select("file", unescaped(F.col("url")).alias("url"))
+def rewrite_rules(files: DataFrame) -> DataFrame:
+    """(at, expression, replacement) of lines ``expression => replacement``, in the order of files and lines; a line without => that is no comment is an error."""
+    lines = texts(files).select("file", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line")).select("file", "line_no", F.trim("line").alias("line")).where("line <> '' and not startswith(line, '#')")
+    wrong = F.raise_error(F.format_string("%s line %d: expected 'expression => replacement'", "file", F.col("line_no") + 1))
+    cut = F.instr("line", "=>")
+    return lines.select(
+        F.struct("file", "line_no").alias("at"),
+        F.when(cut == 0, wrong).otherwise(F.trim(F.substring_index("line", "=>", 1))).alias("expression"),
+        F.trim(F.substr("line", cut + 2)).alias("replacement"),
+    )
 
 
 def unescaped(x: Column) -> Column:

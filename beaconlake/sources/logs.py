@@ -184,17 +184,3 @@ def parse_logs(lines: DataFrame) -> DataFrame:
 def read_blocks(ranges: DataFrame, name: str = "provider") -> DataFrame:
     """(ranges, lo, hi) from rows of (name, cidr); what is no block is left out."""
     return ranges.select(F.col(name).alias("ranges"), block_bounds("cidr").alias("b")).where("b is not null").select("ranges", "b.lo", "b.hi").distinct()
-
-
-def harvest_ranges(payload: DataFrame, column: str = "json", provider: str = "provider") -> DataFrame:
-    """(provider, cidr) of every string that looks like a block, anywhere in a vendor's JSON."""
-    found = F.regexp_extract_all(column, F.lit(r'"((?:\d{1,3}(?:\.\d{1,3}){3}|[0-9a-fA-F:]*:[0-9a-fA-F:]+)/\d{1,3})"'), 1)
-    return payload.select(provider, F.explode(F.array_distinct(found)).alias("cidr"))
-
-
-def sitemap_urls(files: DataFrame, column: str = "value") -> DataFrame:
-    """URLs of a sitemap's loc elements, or of bare lines."""
-    loc = F.regexp_extract_all(column, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1)
-    bare = F.when(F.trim(column).rlike(r"^https?://\S+$"), F.array(F.trim(column))).otherwise(F.array().cast("array<string>"))
-    url = F.explode(F.when(F.size(loc) > 0, loc).otherwise(bare))
-    return files.select(url.alias("url")).select(F.regexp_replace("url", "&amp;", "&").alias("url"))

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from beaconlake.functions import net, stats, text, web
 from beaconlake.operators import logs
-from beaconlake.sources.logs import harvest_ranges, parse_combined, read_blocks, sitemap_urls
+from beaconlake.sources.logs import parse_combined, read_blocks
+from beaconlake.sources.sitemaps import listed
+from beaconlake.sources.variants import harvest_ranges
 
 BOT = "Mozilla/5.0 (compatible; GPTBot/1.2)"
 LINES = [
@@ -75,5 +77,5 @@ def test_functions(spark):
 def test_ranges_and_sitemaps(spark):
     payload = spark.createDataFrame([("p", '{"prefixes": [{"ipv4Prefix": "10.0.0.0/8"}, {"ipv6Prefix": "2001:db8::/32"}]}')], "provider string, json string")
     assert sorted(r.cidr for r in harvest_ranges(payload).collect()) == ["10.0.0.0/8", "2001:db8::/32"]
-    files = spark.createDataFrame([("<urlset><url><loc>https://a.com/x?a=1&amp;b=2</loc></url></urlset>",), ("https://a.com/y",)], "value string")
-    assert sorted(r.url for r in sitemap_urls(files).collect()) == ["https://a.com/x?a=1&b=2", "https://a.com/y"]
+    files = spark.createDataFrame([("s", "<urlset><url><loc>https://a.com/x?a=1&amp;b=2</loc></url></urlset>"), ("t", "https://a.com/y\nno\n")], "url string, text string")
+    assert sorted((r.sitemap, r.loc) for r in listed(files).collect()) == [("s", "https://a.com/x?a=1&b=2"), ("t", "https://a.com/y")]
