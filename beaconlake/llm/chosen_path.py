@@ -11,9 +11,9 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
 3. Nodes of the first level are compared with one centre each, the member which shares most nodes with others. Verified links
    make components, and only nodes of several components go on, where only pairs of different components are compared: a group
    of n near copies costs about n comparisons.
-4. Nodes of at most ``small`` members are compared exhaustively. So are larger ones in which all but ``few`` members are of one
-   component, and those whose path has used up the coordinates: members outside that component meet all others, in blocks.
-   The rest branch again, all nodes of a level at once.
+4. Nodes of at most ``small`` members are compared exhaustively. So are larger ones in which the members outside the main
+   component times all members are ``pairs`` at most, and those whose path has used up the coordinates: members outside
+   that component meet all others, in blocks of ``small`` by ``small``. The rest branch again, all nodes of a level at once.
 5. Candidates that sizes, parities (a lower bound of the difference) and minwise values (more than LOST of linked pairs agree in
    that many) let through are verified on their full sets, which are computed again from the texts of those that are needed.
 
@@ -225,7 +225,7 @@ def _blocks(rows: DataFrame, block: int) -> DataFrame:
     return first.unionByName(second).withColumn("key", F.xxhash64("node", "i", "j")).select("key", "rep", "component", "side")
 
 
-def paths(live: DataFrame, data: DataFrame, percent: int, small: int, few: int) -> DataFrame:
+def paths(live: DataFrame, data: DataFrame, percent: int, small: int, most: int) -> DataFrame:
     """Candidates of all nodes. live: node, used, rep, component of nodes with several components; data: rep, n, sketch, sig."""
     parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, least = None, fewest_equal(percent)
@@ -233,7 +233,7 @@ def paths(live: DataFrame, data: DataFrame, percent: int, small: int, few: int)
         by = live.groupBy("node", "component").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("n_components"))
         by = by.where("n_components > 1").select("node", "size", (F.col("size") - F.col("top.c")).alias("minor"), F.col("top.component").alias("main"))
         rows = written(live.join(by, "node"), "nodes")
-        done = (F.col("minor") <= few) | (F.bit_count("used") > DEPTH)
+        done = (F.col("minor") * F.col("size") <= most) | (F.bit_count("used") > DEPTH)
         exhaustive = rows.where(F.col("size") <= small).select(F.col("node").alias("key"), "rep", "component", F.lit(3).cast("long").alias("side"))
         exhaustive = exhaustive.unionByName(_blocks(rows.where((F.col("size") > small) & done), small))
         keyed = exhaustive.join(data, "rep").repartition(parts, "key").sortWithinPartitions("key")
@@ -246,7 +246,7 @@ def paths(live: DataFrame, data: DataFrame, percent: int, small: int, few: int)
         live = more.join(data.select("rep", "sig"), "rep").select("node", "used", "rep", "sig").mapInArrow(branch(), "node long, used long, rep long").join(parents, "rep")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85, recall: float = 0.999999, small: int = 512, few: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85, recall: float = 0.999999, small: int = 512, pairs: int = 1 << 24) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verified(met.join(one, "a").join(two, "b").where(_near(percent)).select("a", "b"), reps, docs, k, percent)
     part = components(links).withColumnRenamed("id", "rep")
     live = members.select("node", "used", "rep").join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = paths(live, reps.select("rep", "n", "sketch", "sig"), percent, small, few)
+    rest = paths(live, reps.select("rep", "n", "sketch", "sig"), percent, small, pairs)
     links = written(links.union(verified(rest.select("a", "b"), reps, docs, k, percent)), "links")
     part = components(links).withColumnRenamed("id", "rep")
     named = reps.select("rep", "low", "high", "least").join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -105,11 +105,11 @@ def linked(rows, percent, k):
     return Counter((doc_id, len(sets[i]), min(least[top(i)], default=None)) for i, (doc_id, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("small", "few", "depth"), [(512, 64, 62), (8, 3, 2)])
-def test_chosen_paths_are_all_pairs(spark, messy, generated, monkeypatch, small, few, depth):
+@pytest.mark.parametrize(("small", "pairs", "depth"), [(512, 1 << 24, 62), (8, 60, 2)])
+def test_chosen_paths_are_all_pairs(spark, messy, generated, monkeypatch, small, pairs, depth):
     """Also where nodes branch to the end of their coordinates and large ones are compared in blocks."""
     monkeypatch.setattr(chosen_path, "DEPTH", depth)
-    f = lambda d: chosen_path.near_duplicates(d, small=small, few=few)
+    f = lambda d: chosen_path.near_duplicates(d, small=small, pairs=pairs)
     got = f(spark.createDataFrame(generated, "doc_id long, text string")).collect()
     want = linked(generated, 85, 3)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
