@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import files, logs, passages, redirects, series, sites, surveys, trees
+from .plans import files, logs, passages, redirects, reports, series, sites, surveys, trees
 
-FAMILIES = [logs, surveys, series, redirects, sites, files, passages, trees]
+FAMILIES = [logs, surveys, series, redirects, sites, files, passages, trees, reports]
 
 
 def queries() -> dict:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import random
+from array import array
 from datetime import date, timedelta
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..storage import stored
 
 
 def trim(series: DataFrame, n: int) -> DataFrame:
@@ -91,37 +95,82 @@ def describe(series: DataFrame, action: str, lag: int = 0) -> DataFrame:
 
 
 def difference(treated: DataFrame, control: DataFrame, action: str, lag: int = 0) -> DataFrame:
-    """Difference in differences over the days that both series have: a row. The control is scaled to the treated mean before the action."""
-    both = split(treated.select("d", F.col("v").alias("t")).join(control.select("d", F.col("v").alias("c")), "d"), action, lag)
+    """Difference in differences over the treated days: a row. A day that the control lacks counts as 0; the control is scaled to the treated mean before the action, by the means of its own days."""
+    filled = control.select("d", F.col("v").alias("c"))
+    both = split(treated.select("d", F.col("v").alias("t")).join(filled, "d", "left").fillna(0.0, ["c"]), action, lag)
     side = lambda c, i, f: f(F.when(F.col("side") == i, F.col(c)))
-    m = both.agg(*(side(c, i, F.avg).alias(f"{c}{i}") for c in "tc" for i in (0, 1)), F.count_if(F.col("side") == 0).alias("days_before"), F.count_if(F.col("side") == 1).alias("days_after"), side("t", 0, F.sum).alias("total_before"), side("t", 1, F.sum).alias("total_after"))
+    m = both.agg(*(side(c, i, F.avg).alias(f"{n}{i}") for c, n in (("t", "t"), ("c", "f")) for i in (0, 1)), F.count_if(F.col("side") == 0).alias("days_before"), F.count_if(F.col("side") == 1).alias("days_after"), side("t", 0, F.sum).alias("total_before"), side("t", 1, F.sum).alias("total_after"))
+    own = split(control, action, lag).agg(*(side("v", i, F.avg).alias(f"c{i}") for i in (0, 1)))
+    m = m.crossJoin(own)  # one row each
     tp, cp = stats.pct_change(F.col("t1"), F.col("t0")), stats.pct_change(F.col("c1"), F.col("c0"))
     scale = F.coalesce(F.try_divide("t0", "c0"), F.lit(1.0))
-    return m.withColumns({"treated_pct": tp, "control_pct": cp, "points": F.round(tp - cp, 1), "per_day": (F.col("t1") - scale * F.col("c1")) - (F.col("t0") - scale * F.col("c0"))})
+    return m.withColumns({"treated_pct": tp, "control_pct": cp, "points": F.round(tp - cp, 1), "per_day": (F.col("t1") - scale * F.col("f1")) - (F.col("t0") - scale * F.col("f0"))})
 
 
-def permutation_p(treated: DataFrame, control: DataFrame, action: str, lag: int = 0, rounds: int = 5000, seed: int = 20260101) -> DataFrame:
-    """p of the mean difference of treated minus scaled control between the sides, by seeded shuffles. A series is a few hundred days: one group by series_id."""
+def shuffle_states(sizes: DataFrame, rounds: int, block: int, seed: int) -> DataFrame:
+    """(n, block, first, rounds, order, state): of the seeded shuffles of a list of n, what a task needs to go on from each ``block`` rounds on.
+
+    sizes: n, distinct. A shuffle's draws depend on n alone, so the states of one n serve every series of that length; what
+    the shuffles do to the list before a block is its order."""
+
+    def states(batches):
+        for b in batches:
+            for n in b.column("n").to_pylist():
+                rng, order, rows = random.Random(seed), list(range(n)), []
+                for first in range(0, rounds, block):
+                    rows.append((n, first // block, min(block, rounds - first), array("i", order).tobytes(), array("L", rng.getstate()[1]).tobytes()))
+                    for _ in range(min(block, rounds - first)):
+                        rng.shuffle(order)
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["n", "block", "rounds", "order", "state"])
+
+    return sizes.select(F.col("n").cast("long")).mapInArrow(states, "n long, block long, rounds long, order binary, state binary")
+
+
+def permutation_p(treated: DataFrame, control: DataFrame, action: str, lag: int = 0, rounds: int = 5000, seed: int = 20260101, block: int = 250) -> DataFrame:
+    """(series_id, p): for each treated series the p of the difference between the sides' means of treated minus scaled control, by seeded shuffles: (hits + 1) / (rounds + 1). Null where a side has fewer than two days.
+
+    The rounds are dealt out in blocks, each of which goes on where the one before ends (see shuffle_states), so the hits are
+    those of one loop over all rounds. Tasks get (series, block) ordered by length and block, and shuffle the places of a length
+    once for all series that have it. A series (some hundred days) is one row."""
     c = control.select("d", F.col("v").alias("c"))
-    rows = split(treated.join(c, "d"), action, lag).where("side is not null")
-
-    def shuffled(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("d")
-        before = pdf[pdf.side == 0]
-        scale = before.v.mean() / before.c.mean() if len(before) and before.c.mean() else 1.0
-        v = (pdf.v - scale * pdf.c).tolist()
-        k = len(before)
-        n = len(v) - k
-        if not k or not n:
-            return pd.DataFrame({"series_id": pdf.series_id[:1], "p": [None]})
-        seen = abs(sum(v[k:]) / n - sum(v[:k]) / k)
-        rng, hits = random.Random(seed), 0
-        for _ in range(rounds):
-            rng.shuffle(v)
-            hits += abs(sum(v[k:]) / n - sum(v[:k]) / k) >= seen
-        return pd.DataFrame({"series_id": pdf.series_id[:1], "p": [round((hits + 1) / (rounds + 1), 4)]})
-
-    return rows.groupBy("series_id").applyInPandas(shuffled, "series_id string, p double")
+    rows = split(treated.join(c, "d", "left").fillna(0.0, ["c"]), action, lag).where("side is not null")
+    own = split(control, action, lag).agg(F.avg(F.when(F.col("side") == 0, F.col("v"))).alias("control_mean"))
+    means = rows.groupBy("series_id").agg(F.avg(F.when(F.col("side") == 0, F.col("v"))).alias("mean")).crossJoin(own)  # one row
+    scale = F.when(F.coalesce(F.col("control_mean"), F.lit(0.0)) != 0, F.col("mean") / F.col("control_mean")).otherwise(1.0)
+    lists = rows.join(means, "series_id").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("d", "side", (F.col("v") - scale * F.col("c")).alias("x")))).alias("x"))
+    lists = lists.select("series_id", F.col("x.x").alias("x"), F.size(F.filter("x", lambda r: r["side"] == 0)).cast("long").alias("before"), F.size("x").cast("long").alias("n"))
+    enough = (F.col("before") >= 2) & (F.col("n") - F.col("before") >= 2)
+    good = stored(lists.where(enough), "lists")
+    dealt = good.join(stored(shuffle_states(good.select("n").distinct(), rounds, block, seed), "states"), "n")
+    parts = int(treated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "n", "block", F.pmod(F.xxhash64("series_id"), F.lit(8))).sortWithinPartitions("n", "block")
+
+    def hits(batches):
+        key, places = None, None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if key != (r["n"], r["block"]):
+                    key, rng, order = (r["n"], r["block"]), random.Random(), array("i", r["order"]).tolist()
+                    rng.setstate((3, tuple(array("L", r["state"])), None))
+                    places = np.empty((r["rounds"], r["n"]), np.int32)
+                    for i in range(r["rounds"]):
+                        rng.shuffle(order)
+                        places[i] = order
+                x, k = np.array(r["x"]), r["before"]
+                apart = lambda v, k=k: abs(math.fsum(v[k:]) / (len(v) - k) - math.fsum(v[:k]) / k)
+                seen = apart(x) - 1e-12
+                shuffled = x[places]
+                rough = np.abs(shuffled[:, k:].mean(axis=1) - shuffled[:, :k].mean(axis=1))
+                close = np.abs(rough - seen) <= 1e-9 * (1 + np.abs(x).max())  # decided by exact sums
+                out.append((r["series_id"], int((rough[~close] >= seen).sum()) + sum(apart(v) >= seen for v in shuffled[close])))
+            ids, n = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(n, pa.int64())], ["series_id", "hits"])
+
+    counted = dealt.select("series_id", "n", "block", "rounds", "order", "state", "x", "before").mapInArrow(hits, "series_id string, hits long")
+    p = counted.groupBy("series_id").agg(F.round((F.sum("hits") + 1) / (rounds + 1), 4).alias("p"))
+    return p.unionByName(lists.where(~enough).select("series_id", F.lit(None).cast("double").alias("p")))
 
 
 def conclude(did: DataFrame, p: str, points: DataFrame, action: str, min_days: int = 28, noisy: float = 200) -> DataFrame:

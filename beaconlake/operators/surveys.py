@@ -8,24 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, web
+from ..storage import stored
 
 
-def rates(obs: DataFrame) -> DataFrame:
-    """Answers, those that cite the brand, rate and interval: overall, by engine and by family, in one pass."""
-    sets = obs.groupingSets([["engine"], ["family"], []], "engine", "family").agg(F.count("*").alias("n"), F.count_if("cited").alias("k"), F.grouping("engine").alias("ge"), F.grouping("family").alias("gf"))
-    low, high = stats.wilson(F.col("k"), F.col("n"))
+#: What an answer of a survey is known by.
+ANSWER_KEY = ["prompt_id", "engine", "run"]
+
+
+def rates(obs: DataFrame, n: Column | None = None, k: Column | None = None) -> DataFrame:
+    """Answers, those that cite the brand, rate and interval: overall, by engine and by family, in one pass.
+
+    n, k: what a row counts for, where rows carry counts of their own (as trackers do); else a row is an answer."""
+    rows = obs.withColumns({"n_": F.lit(1) if n is None else n, "k_": F.col("cited").cast("int") if k is None else k})
+    sets = rows.groupingSets([["engine"], ["family"], []], "engine", "family").agg(F.coalesce(F.sum("n_"), F.lit(0)).alias("n"), F.coalesce(F.sum("k_"), F.lit(0)).alias("k"), F.grouping("engine").alias("ge"), F.grouping("family").alias("gf"))
     kind = F.when(F.col("ge") == 0, "engine").when(F.col("gf") == 0, "family").otherwise("overall")
-    return sets.select(kind.alias("kind"), F.coalesce("engine", "family", F.lit("all")).alias("name"), "n", "k", F.try_divide("k", "n").alias("rate"), low.alias("low"), high.alias("high"))
+    return with_interval(sets.select(kind.alias("kind"), F.coalesce("engine", "family", F.lit("all")).alias("name"), "n", "k"))
+
+
+def with_interval(counts: DataFrame) -> DataFrame:
+    """The rows of n and k with rate, low and high."""
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    return counts.withColumns({"rate": F.try_divide("k", "n"), "low": low, "high": high})
 
 
 def compare(obs: DataFrame, by: str, wave: str = "wave", both: bool = True) -> DataFrame:
-    """Two waves by a column: shares, difference with its interval, z, noise floor, signal. both: only values that both waves have, else a wave without one counts as 0 of 0."""
+    """Two waves by a column: shares, difference with its interval, z and its p, noise floor, signal. both: only values that both waves have, else a wave without one counts as 0 of 0."""
     w = obs.groupBy(by).agg(*(F.count_if(F.col(wave) == i).alias(f"n{i}") for i in (1, 2)), *(F.count_if((F.col(wave) == i) & F.col("cited")).alias(f"k{i}") for i in (1, 2)))
     w = w.where("n1 > 0 and n2 > 0") if both else w
     k1, n1, k2, n2 = (F.col(c) for c in ("k1", "n1", "k2", "n2"))
     low, high = stats.newcombe(k1, n1, k2, n2)
     share = lambda k, n: F.coalesce(F.try_divide(k, n), F.lit(0.0))
-    return w.select(by, "n1", "k1", "n2", "k2", (share(k2, n2) - share(k1, n1)).alias("diff"), low.alias("low"), high.alias("high"), ((low > 0) | (high < 0)).alias("signal"), stats.pooled_z(k1, n1, k2, n2).alias("z"), stats.noise_floor(n1, n2).alias("floor"))
+    return w.select(by, "n1", "k1", "n2", "k2", (share(k2, n2) - share(k1, n1)).alias("diff"), low.alias("low"), high.alias("high"), ((low > 0) | (high < 0)).alias("signal"), stats.pooled_z(k1, n1, k2, n2).alias("z"), stats.normal_p(stats.pooled_z(k1, n1, k2, n2)).alias("p"), stats.noise_floor(n1, n2).alias("floor"))
 
 
 def repetitions(obs: DataFrame) -> DataFrame:
@@ -156,3 +169,27 @@ def priorities(families: DataFrame, k: int = 12) -> DataFrame:
     """The k families most worth an effort: prompts * weight * (1 - rate) / effort. families: family, prompts, weight, rate, effort."""
     score = F.try_divide(F.col("prompts") * F.col("weight") * (1 - F.col("rate")), F.col("effort"))
     return families.withColumn("priority", score).orderBy(F.desc("priority"), "family").limit(k)
+
+
+def unanswered(plan: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """The rows of a survey's plan (prompt_id, engine, run and more) that no kept answer is for."""
+    return plan if kept is None else plan.join(kept.select(*ANSWER_KEY).distinct(), ANSWER_KEY, "left_anti")
+
+
+def keep_answers(answers: DataFrame, path: str) -> int:
+    """Adds answers to the store under path, by engine, and says how many were new; those that it has, by prompt, engine and run, are left as they are.
+
+    Of answers that come twice one is kept. What a broken write leaves is no part of the store, so the same call completes it."""
+    kept = kept_answers(answers.sparkSession, path)
+    new = stored(unanswered(answers.dropDuplicates(ANSWER_KEY), kept), "answers")
+    n = new.count()
+    if n:
+        new.repartition("engine", F.pmod(F.xxhash64("prompt_id"), F.lit(16))).write.mode("append").partitionBy("engine").parquet(path)
+    return n
+
+
+def kept_answers(spark: SparkSession, path: str) -> DataFrame | None:
+    """The answers of the store; None before there are any."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/engine=*"))
+    return spark.read.option("basePath", path).parquet(path) if found else None

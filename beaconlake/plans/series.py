@@ -101,9 +101,11 @@ def _did(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.difference(s.where("series_id = 'R'"), s.where("series_id = 'N'"), ACTION, 3)
 
 
-_DID = DAILY + f""", b AS (SELECT t.d, t.v AS t, c.v AS c, CASE WHEN t.d < DATE '{ACTION}' THEN 0 WHEN t.d >= DATE '{ACTION}' + 3 THEN 1 END AS side FROM s t JOIN s c ON t.d = c.d WHERE t.series_id = 'R' AND c.series_id = 'N'),
-m AS (SELECT avg(t) FILTER (side = 0) AS t0, avg(t) FILTER (side = 1) AS t1, avg(c) FILTER (side = 0) AS c0, avg(c) FILTER (side = 1) AS c1, count(*) FILTER (side = 0) AS days_before, count(*) FILTER (side = 1) AS days_after, sum(t) FILTER (side = 0) AS total_before, sum(t) FILTER (side = 1) AS total_after FROM b),
-p AS (SELECT *, round((t1 - t0) * 100 / t0, 1) AS treated_pct, round((c1 - c0) * 100 / c0, 1) AS control_pct, (t1 - t0 / c0 * c1) - (t0 - t0 / c0 * c0) AS per_day FROM m)"""
+_DID = DAILY + f""", x AS (SELECT *, CASE WHEN d < DATE '{ACTION}' THEN 0 WHEN d >= DATE '{ACTION}' + 3 THEN 1 END AS side FROM s), c AS (SELECT * FROM x WHERE series_id = 'N'),
+b AS (SELECT t.d, t.side, t.v AS t, coalesce(c.v, 0) AS f FROM x t LEFT JOIN c ON t.d = c.d WHERE t.series_id = 'R'),
+o AS (SELECT avg(v) FILTER (side = 0) AS c0, avg(v) FILTER (side = 1) AS c1 FROM c),
+m AS (SELECT avg(t) FILTER (side = 0) AS t0, avg(t) FILTER (side = 1) AS t1, avg(f) FILTER (side = 0) AS f0, avg(f) FILTER (side = 1) AS f1, count(*) FILTER (side = 0) AS days_before, count(*) FILTER (side = 1) AS days_after, sum(t) FILTER (side = 0) AS total_before, sum(t) FILTER (side = 1) AS total_after FROM b),
+p AS (SELECT *, round((t1 - t0) * 100 / t0, 1) AS treated_pct, round((c1 - c0) * 100 / c0, 1) AS control_pct, (t1 - t0 / c0 * f1) - (t0 - t0 / c0 * f0) AS per_day FROM m, o)"""
 
 
 @query(_DID + " SELECT days_before, days_after, treated_pct, control_pct, round(treated_pct - control_pct, 1) AS points, round(per_day, 4) AS per_day FROM p")
@@ -119,8 +121,10 @@ def ser_impact_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ser_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = by_type(spark, sf_dir)
-    return S.permutation_p(s.where("series_id = 'purchase'"), s.where("series_id = 'view'"), "2024-01-16")
+    """p of each user's daily values against all views: a series for each of up to a thousand users and more, of different lengths."""
+    e = A.load(spark, sf_dir, "events")
+    users = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("series_id"), F.to_date("ts").alias("d")).agg(F.sum("value").alias("v"))
+    return S.permutation_p(users, by_type(spark, sf_dir).where("series_id = 'view'"), "2024-01-16")
 
 
 _SITES = "WITH o AS (SELECT n_name AS site, o_totalprice AS v, CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 1 ELSE 0 END AS now FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey), t AS (SELECT site, round(sum(v) FILTER (now = 0), 2) AS before, round(sum(v) FILTER (now = 1), 2) AS after FROM o GROUP BY site), p AS (SELECT *, round((after - before) * 100 / before, 1) AS pct FROM t)"

@@ -53,17 +53,19 @@ def _compare_sql(by: str) -> str:
 a AS (SELECT * FROM w WHERE n1 > 0 AND n2 > 0), b AS (SELECT {by}, 1 AS i, n1 AS n, k1 AS k FROM a UNION ALL SELECT {by}, 2, n2, k2 FROM a), c AS (SELECT {by}, i, {_LOW} AS l, {_HIGH} AS h FROM b),
 x AS (SELECT a.*, k1 / n1 AS p1, k2 / n2 AS p2, c1.l AS l1, c1.h AS h1, c2.l AS l2, c2.h AS h2 FROM a JOIN c c1 ON c1.{by} = a.{by} AND c1.i = 1 JOIN c c2 ON c2.{by} = a.{by} AND c2.i = 2),
 y AS (SELECT *, p2 - p1 - sqrt((p2 - l2) ** 2 + (h1 - p1) ** 2) AS low, p2 - p1 + sqrt((h2 - p2) ** 2 + (p1 - l1) ** 2) AS high, (k1 + k2) / (n1 + n2) AS p FROM x)
-SELECT {by}, n1, k1, n2, k2, round(p2 - p1, 6) AS diff, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS signal, round((p2 - p1) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)), 6) AS z, round(least(1, {Z} * sqrt(0.25 * (1 / n1 + 1 / n2))), 6) AS floor FROM y"""
+SELECT {by}, n1, k1, n2, k2, round(p2 - p1, 6) AS diff, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS signal, round(z, 6) AS z, round(least(1, {Z} * sqrt(0.25 * (1 / n1 + 1 / n2))), 6) AS floor,
+round(1 - abs(z) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 2 * exp(-0.5 * (z * i / 2000) * (z * i / 2000)) / sqrt(2 * pi()))), 9) AS p
+FROM (SELECT *, (p2 - p1) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)) AS z FROM y)"""
 
 
 @query(_compare_sql("family"))
 def vis_compare_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.compare(observations(spark, sf_dir), "family"), "diff", "low", "high", "z", "floor")
+    return rounded(S.compare(observations(spark, sf_dir), "family"), "diff", "low", "high", "z", "floor").withColumn("p", F.round("p", 9))
 
 
 @query(_compare_sql("engine"))
 def vis_compare_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.compare(observations(spark, sf_dir), "engine"), "diff", "low", "high", "z", "floor")
+    return rounded(S.compare(observations(spark, sf_dir), "engine"), "diff", "low", "high", "z", "floor").withColumn("p", F.round("p", 9))
 
 
 @query(OBS + ", p AS (SELECT count(*) AS n FROM o GROUP BY prompt_id, engine) SELECT count(*) AS pairs, min(n) AS least, max(n) AS most, list_sort(list(n))[count(*) // 2 + 1] AS median FROM p")

@@ -121,20 +121,6 @@ def series_lines(series: DataFrame) -> DataFrame:
     return series.sparkSession.createDataFrame([("date,value",)], "line string").select(F.struct(F.lit(0).alias("part"), F.lit("").alias("d")).alias("at"), "line").unionByName(body)
 
 
-def json_report(sections: dict[str, DataFrame]) -> DataFrame:
-    """One row: a JSON document with the rows of each section as an array (for results of report size)."""
-    whole = None
-    for name, df in sections.items():
-        one = df.agg(F.sort_array(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).alias(name))
-        whole = one if whole is None else whole.crossJoin(one)  # one row each
-    return whole.select(F.to_json(F.struct(*(F.col(n) for n in sections))).alias("json"))
-
-
-def write_lines(lines: DataFrame, path: str) -> None:
-    """The lines as text in their order: one file of one partition, which is what the readers of such files take."""
-    lines.orderBy("at").select("line").coalesce(1).write.mode("overwrite").text(path)
-
-
 def packed_files(lines: DataFrame, path: str, packing: str, header: str | None = None, member_bytes: int = 4 << 20, line: str = "line") -> DataFrame:
     """(file, lines) of the files written: one for each partition that has rows, without extension, under a header line if there is one.
 

@@ -70,3 +70,41 @@ def parsed(answers: DataFrame) -> DataFrame:
     blocks = F.col("d.content")
     anthropic = one("anthropic", F.array_join(F.transform(_of(blocks, "text"), lambda b: F.coalesce(b["text"], F.lit(""))), ""), _flat(F.transform(_of(blocks, "text"), lambda b: _urls(b["citations"]))), _flat(F.transform(_of(blocks, "web_search_tool_result"), lambda b: _urls(b["content"]))), F.size(_of(blocks, "server_tool_use")) > 0)
     return openai.unionByName(perplexity).unionByName(gemini).unionByName(anthropic)
+
+
+_SNAPSHOT = (
+    "struct<questions:array<struct<question:string,theme:string,provider:string,cited:boolean,competitors_cited:array<string>,cited_urls:array<string>>>,"
+    "visibility:struct<answers_measured:long,answers_with_mention:long>,by_provider:array<struct<slug:string,answers_measured:long,answers_with_mention:long>>>"
+)
+
+
+def tracker_snapshots(files: DataFrame, text: str = "text") -> DataFrame:
+    """The other columns and snap: snapshots of a tracker, which sums its runs up. Words may stand before the JSON; the snapshot is its ``snapshot`` or the whole. A file without JSON, or of a site without a key, is an error."""
+    from .exports import json_after_prefix
+
+    keep = [c for c in files.columns if c != text]
+    found = files.select(*keep, json_after_prefix(F.col(text)).alias("v"))
+    state = F.try_variant_get("v", "$.state", "string")
+    wrong = F.when(F.col("v").isNull(), "a file is no snapshot").when(state == "no_key", "the tracker has no key for this site: nothing was measured")
+    checked = F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(F.to_json("v"))
+    whole = F.from_json(checked, f"struct<snapshot:{_SNAPSHOT}>")["snapshot"]
+    return found.select(*keep, F.coalesce(whole, F.from_json(F.to_json("v"), _SNAPSHOT)).alias("snap"))
+
+
+def tracker_answers(snapshots: DataFrame, brand: str) -> DataFrame:
+    """Observations of the snapshots' questions, one a question and engine: prompt_id, prompt, family, engine, cited, brands, sources. What they count for is in tracker_counts."""
+    keep = [c for c in snapshots.columns if c != "snap"]
+    q = snapshots.select(*keep, F.explode("snap.questions").alias("q"))
+    text, cited = F.coalesce("q.question", F.lit("")), F.coalesce("q.cited", F.lit(False))
+    none = F.array().cast("array<string>")
+    named = F.coalesce("q.competitors_cited", none)
+    return q.select(*keep, F.substring(text, 1, 60).alias("prompt_id"), text.alias("prompt"), F.coalesce("q.theme", F.lit("")).alias("family"), F.lower(F.coalesce("q.provider", F.lit(""))).alias("engine"), cited.alias("cited"), F.when(cited, F.concat(F.array(F.lit(brand)), named)).otherwise(named).alias("brands"), F.coalesce("q.cited_urls", none).alias("sources"))
+
+
+def tracker_counts(snapshots: DataFrame) -> DataFrame:
+    """The other columns with kind (overall, engine), name, n and k: the tracker's own counts of answers and of those that cite the brand; where none was measured there is no row."""
+    keep = [c for c in snapshots.columns if c != "snap"]
+    one = lambda kind, name, c: F.struct(F.lit(kind).alias("kind"), name.alias("name"), c["answers_measured"].alias("n"), F.coalesce(c["answers_with_mention"], F.lit(0)).cast("long").alias("k"))
+    engines = F.transform(F.coalesce("snap.by_provider", F.array().cast("array<struct<slug:string,answers_measured:long,answers_with_mention:long>>")), lambda p: one("engine", F.lower(F.coalesce(p["slug"], F.lit(""))), p))
+    rows = snapshots.select(*keep, F.explode(F.concat(F.array(one("overall", F.lit("all"), F.col("snap.visibility"))), engines)).alias("r"))
+    return rows.select(*keep, "r.*").where("n > 0")

@@ -15,5 +15,3 @@ def test_sql(spark, name):
 
 def test_without_sql(spark):
     assert set(catalogue.queries()) - set(SQL) == {"ser_permutation", "pas_scores"}
-    (row,) = catalogue.queries()["ser_permutation"](spark, oracle.DATA).collect()
-    assert 0 < row.p <= 1
