@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, web
@@ -179,17 +180,19 @@ def unanswered(plan: DataFrame, kept: DataFrame | None) -> DataFrame:
 def keep_answers(answers: DataFrame, path: str) -> int:
     """Adds answers to the store under path, by engine, and says how many were new; those that it has, by prompt, engine and run, are left as they are.
 
-    Of answers that come twice one is kept. What a broken write leaves is no part of the store, so the same call completes it."""
+    Of answers that come twice one is kept. A call writes a batch of its own, which counts when it is whole, so what a broken
+    one leaves is no part of the store and the same call completes it."""
     kept = kept_answers(answers.sparkSession, path)
     new = stored(unanswered(answers.dropDuplicates(ANSWER_KEY), kept), "answers")
     n = new.count()
     if n:
-        new.repartition("engine", F.pmod(F.xxhash64("prompt_id"), F.lit(16))).write.mode("append").partitionBy("engine").parquet(path)
+        new.repartition("engine", F.pmod(F.xxhash64("prompt_id"), F.lit(16))).write.partitionBy("engine").parquet(f"{path}/batch={uuid4().hex}")
     return n
 
 
 def kept_answers(spark: SparkSession, path: str) -> DataFrame | None:
-    """The answers of the store; None before there are any."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/engine=*"))
-    return spark.read.option("basePath", path).parquet(path) if found else None
+    """The answers of the store's whole batches; None before there are any."""
+    ends = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = ends.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(ends)
+    batches = [x.getPath().getParent().toString() for x in found or ()]
+    return spark.read.option("basePath", path).parquet(*batches).drop("batch") if batches else None
