@@ -2,9 +2,9 @@
 
 Rules of a document: the base rule (too few words, or too many words inside repeated windows) and three soft rules
 (symbols, repeated lines, mean word length). The share of a host's documents that fail any rule is shrunk towards an
-empirical beta prior, fitted to all hosts by the method of moments, so a host with a handful of documents isn't judged by them
-alone. A host is strict if its rate is above the mean of all hosts with a probability of ``sure`` or more, by its posterior
-(in the normal approximation). On a strict host a document must pass every rule; elsewhere soft failures are forgiven. A
+empirical beta prior, fitted to all hosts by moments that weigh hosts by their documents (see host_rates), so a host with a
+handful of documents isn't judged by them alone. A host of ``least`` documents or more is strict if its rate is above the mean
+with a probability of ``sure`` or more, by its posterior (in the normal approximation). On a strict host a document must pass every rule; elsewhere soft failures are forgiven. A
 document that fails the base rule is never kept, one that passes all rules always is.
 
 Null and empty texts have no words (and fail the base rule). Very long texts are measured whole. Equal rows are judged
@@ -67,19 +67,32 @@ def base_features(text: Column) -> list[Column]:
     ]
 
 
-def host_rates(rows: DataFrame, host: str, failed: Column, sure: float) -> DataFrame:
-    """host, rate (shrunk by the empirical beta prior) and strict. rows: anything with a host and a failure."""
+def host_rates(rows: DataFrame, host: str, failed: Column, sure: float, least: int, most: float = 1000.0) -> DataFrame:
+    """host, rate (shrunk by the empirical beta prior) and strict. rows: anything with a host and a failure.
+
+    The prior's strength is 1 / r - 1, at most ``most`` and 1 at least, for the correlation r of the failures within a host by
+    the analysis of variance: what hosts differ more than their own documents' scatter explains, hosts weighted by their
+    documents. A host of one document tells nothing of its scatter and adds none, so small hosts don't pass for different
+    ones; where nothing tells scatter and difference apart, all are shrunk with ``most``. No host of fewer than ``least``
+    documents is strict."""
     hosts = written(rows.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(failed).alias("k")), "hosts")
-    rate = F.col("k") / F.col("n")
-    m = hosts.agg(F.avg(rate).alias("mean"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("var"), F.avg(rate * (1 - rate) / F.col("n")).alias("noise")).first()
-    mean, between = m["mean"] or 0.0, max((m["var"] or 0.0) - (m["noise"] or 0.0), 0.0)
-    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1000.0) if between > 0 else 1000.0
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    m = hosts.agg(F.count("*").alias("m"), F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(n * n).alias("nn"), F.sum(k * k / n).alias("kk")).first()
+    mean = m["k"] / m["n"] if m["m"] else 0.0
+    strength = most
+    if m["m"] > 1 and m["n"] > m["m"]:
+        between = (m["kk"] - m["k"] ** 2 / m["n"]) / (m["m"] - 1)
+        within = (m["k"] - m["kk"]) / (m["n"] - m["m"])
+        size = (m["n"] - m["nn"] / m["n"]) / (m["m"] - 1)
+        if between > within:
+            strength = min(max((size * within) / (between - within), 1.0), most)
     shrunk = hosts.withColumn("rate", (F.col("k") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(strength + 1)))
-    return shrunk.select("host", "rate", (F.col("rate") - F.lit(mean) > F.lit(NormalDist().inv_cdf(sure)) * spread).alias("strict"))
+    strict = (F.col("n") >= least) & (F.col("rate") - F.lit(mean) > F.lit(NormalDist().inv_cdf(sure)) * spread)
+    return shrunk.select("host", "rate", strict.alias("strict"))
 
 
-def host_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", carry: list[str] | None = None, sure: float = 0.6) -> DataFrame:
+def host_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", carry: list[str] | None = None, sure: float = 0.6, least: int = 5) -> DataFrame:
     """The columns in ``carry`` (all if None) with the base features, n_failed (rules), base_failed, host_rate, host_strict and kept."""
     kept_columns = docs.columns if carry is None else carry
     # Features are fields of one struct, so no column of the input can clash with them; let() keeps the optimiser from
@@ -98,13 +111,13 @@ def host_quality(docs: DataFrame, text_col: str = "text", host_col: str = "sourc
     failed = sum((r.cast("int") for r in soft), base.cast("int"))
     rows = rows.select(*made.columns, host, *(f[c].alias(own[c]) for c in BASE), failed.alias(own["n_failed"]), base.alias(own["base_failed"]))
     rows = written(rows, "quality")
-    rates = host_rates(rows.select(host, own["n_failed"]), host, F.col(own["n_failed"]) > 0, sure)
+    rates = host_rates(rows.select(host, own["n_failed"]), host, F.col(own["n_failed"]) > 0, sure, least)
     rates = rates.select(F.col("host").alias(host), F.col("rate").alias(own["host_rate"]), F.col("strict").alias(own["host_strict"]))
     kept = ~F.col(own["base_failed"]) & (~F.col(own["host_strict"]) | (F.col(own["n_failed"]) == 0))
     return rows.join(rates, host).drop(host).withColumn(own["kept"], kept)
 
 
-def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", sure: float = 0.6) -> DataFrame:
+def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", sure: float = 0.6, least: int = 5) -> DataFrame:
     """The documents the rules keep, same columns."""
     flag = free_name(docs, "kept")
-    return host_quality(docs, text_col, host_col, sure=sure).where(F.col(flag)).select(*docs.columns)
+    return host_quality(docs, text_col, host_col, sure=sure, least=least).where(F.col(flag)).select(*docs.columns)

@@ -61,10 +61,12 @@ f AS (SELECT w.doc_id, host, len(w)::BIGINT AS n_words, list_sum(list_transform(
 b AS (SELECT * REPLACE (coalesce(word_chars, 0) AS word_chars), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 k AS (SELECT *, base_failed::INT + (n_symbols * 100 > n_words * 10)::INT + (n_dup_lines * 100 > n_lines * 30)::INT + (word_chars * 2 < n_words * 5 OR word_chars > n_words * 12)::INT AS n_failed FROM b),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (n_failed > 0) AS k FROM k GROUP BY 1),
-m AS (SELECT avg(k / n) AS mean, greatest(coalesce(var_samp(k / n), 0) - avg(k / n * (1 - k / n) / n), 0) AS v FROM h),
-s AS (SELECT mean, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 1), 1000) ELSE 1000 END AS strength FROM m),
+m AS (SELECT sum(k) / sum(n) AS mean, count(*) AS m, sum(n)::DOUBLE AS nn,
+    sum(n * (k / n - (SELECT sum(k) / sum(n) FROM h)) ** 2) / nullif(count(*) - 1, 0) AS between_hosts, sum(k * (1 - k / n)) / nullif(sum(n) - count(*), 0) AS within_hosts,
+    (sum(n) - sum(n * n)::DOUBLE / sum(n)) / nullif(count(*) - 1, 0) AS size FROM h),
+s AS (SELECT mean, CASE WHEN between_hosts > within_hosts THEN least(greatest(size * within_hosts / (between_hosts - within_hosts), 1), 1000) ELSE 1000 END AS strength FROM m),
 r AS (SELECT host, n, (k + mean * strength) / (n + strength) AS rate, mean, strength FROM h, s),
-j AS (SELECT host, rate, rate - mean > 0.2533471031357998 * sqrt(rate * (1 - rate) / (n + strength + 1)) AS strict FROM r)
+j AS (SELECT host, rate, n >= 5 AND rate - mean > 0.2533471031357998 * sqrt(rate * (1 - rate) / (n + strength + 1)) AS strict FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (NOT strict OR n_failed = 0) AS kept, n_failed, round(rate, 6) AS host_rate, strict AS host_strict
 FROM k JOIN j USING (host)
 """

@@ -29,7 +29,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import alnum_words, free_name, ship, written
@@ -180,15 +180,18 @@ def rising(votes: list[float], truth: list[int], weight: list[float]) -> tuple[l
 
 
 def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_examples: int, max_bytes: int) -> DataFrame:
-    """doc_id, text, toxic of the examples: labelled documents whose crc32 of the id, mod 5, isn't 0, in the order of a hash of their id up to both bounds."""
+    """doc_id, text, toxic of the examples: labelled documents whose crc32 of the id, mod 5, isn't 0, in the order of a hash of their id up to both bounds; a text that doesn't fit any more is passed over, not those after it."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     some = written(texts.join(F.broadcast(known), "doc_id"), "examples")  # at most max_examples ids are broadcast
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    in_order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # of max_examples numbers
-    sizes = some.groupBy("doc_id").agg(F.sum(size).alias("size"))
-    chosen = sizes.withColumn("upto", F.sum("size").over(in_order)).where(F.col("upto") <= max_bytes)
+    chosen, held = [], 0
+    for r in some.groupBy("doc_id").agg(F.sum(size).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # max_examples numbers
+        if held + r["size"] <= max_bytes:
+            chosen.append((r["doc_id"],))
+            held += r["size"]
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long")
     return some.join(F.broadcast(chosen.select("doc_id")), "doc_id")
 
 

@@ -468,3 +468,30 @@ def test_token_files_of_copies_combined_are_the_same(spark):
     v = vocabulary("word_bpe_49k.json")
     found = [sorted(map(tuple, sstable.token_digests(spark, df, v, combine=c).collect()), key=str) for c in (False, True)]
     assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
+def test_small_hosts_are_judged_by_the_prior(spark):
+    """20 large hosts that differ, and 400 of one document: those keep their soft failures; alone they are all shrunk fully."""
+    words = "plain words of a text that is long enough to pass the base rule of twenty words by far and never repeats itself at all"
+    good, soft = words, words + " # * $ %"
+    large = [(f"large{h}", i % 100 < (50 if h < 4 else 5)) for h in range(20) for i in range(100)]
+    small = [(f"small{h}", h % 10 == 0) for h in range(400)]
+    for hosts, strict in ((large + small, {f"large{h}" for h in range(4)}), (small, set())):
+        rows = spark.createDataFrame([(i, soft if bad else good, h) for i, (h, bad) in enumerate(hosts)], "doc_id long, text string, source string")
+        found = quality.host_quality(rows).collect()
+        assert {r.source for r in found if r.host_strict} == strict
+        mine = [r for r in found if r.source.startswith("small") and r.n_failed]
+        assert len(mine) == 40 and all(r.kept for r in mine)
+        assert all(r.host_rate < (0.5 if strict else 0.11) for r in mine)  # a failure of its only document shrunk towards the mean
+
+
+def test_one_large_text_is_passed_over(spark):
+    """A labelled text above the byte bound isn't an example; all others are, whatever their order."""
+    rows = [(i, f"word{i % 7} some common text " + ("vile" if i % 2 else "kind")) for i in range(1, 60)] + [(60 + i, "huge " * 500) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    found = toxicity.examples(docs, known, "doc_id", "text", 4000, 2400)
+    ids = {r.doc_id for r in found.collect()}
+    assert ids == {i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5}
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, docs, known, max_bytes=2400).collect()}
+    assert scored[7] > 0.5 > scored[8]
