@@ -34,6 +34,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ship, written
+from .common import free_name, owned, release, ship, written
 
 ORDERS, STEPS = 3, 4
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -49,7 +50,7 @@ _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -239,17 +240,25 @@ def sign(maps, k: int, percent: int):
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) of all ids in links; component is the smallest id reachable. Labels spread to neighbours and jump along labels; every round is written."""
-    both = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a))).distinct(), "both")
-    labels = written(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    """(id, component) of all ids in links; component is the smallest id reachable. Labels spread to neighbours and jump along labels; every round is written, and the one before it deleted."""
+    spark, run, k = links.sparkSession, uuid4().hex, 0
+    with owned(f"{run} both"):
+        both = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a))).distinct(), "both")
+    with owned(f"{run} 0"):
+        labels = written(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     while True:
         near = both.join(labels, both.v == labels.id).groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         at = labels.select(F.col("id").alias("to"), F.col("component").alias("beyond"))
-        new = written(step.join(at, "to", "left").select("id", F.least("to", F.coalesce("beyond", "to")).alias("component"), "was"), "labels")
+        with owned(f"{run} {k + 1}"):
+            new = written(step.join(at, "to", "left").select("id", F.least("to", F.coalesce("beyond", "to")).alias("component"), "was"), "labels")
+        release(spark, f"{run} {k}")
         moved = new.where("component <> was").limit(1).count()
-        labels = new.drop("was")
+        labels, k = new.drop("was"), k + 1
         if not moved:
+            labels = written(labels, "components")
+            for name in ("both", k):
+                release(spark, f"{run} {name}")
             return labels
 
 
@@ -310,14 +319,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = reps.select("rep", F.struct("own", "rep", "n", "s", "sketch").alias("x"), F.explode("pa").alias("token"))
     centre = tokens.groupBy("token").agg(F.count("*").alias("in"), F.min("x").alias("c")).where("in > 1").select("token", "c")
     shared = tokens.join(centre, "token").select("token", "rep", "x", F.col("c.rep").alias("a"), ((F.col("rep") != F.col("c.rep")) & _fits("x", "c", percent)).alias("near"))
-    shared = written(shared, "shared")
+    run = uuid4().hex  # tables that are deleted as soon as nothing reads them
+    with owned(f"{run} shared"):
+        shared = written(shared, "shared")
     tried = written(shared.where("near").select("a", F.col("rep").alias("b")).distinct(), "tried")
     links = written(_linked(tried, reps, percent), "links")
     part = components(links)
     # What is left: pairs of different components that share a token. One of them isn't in its centre's component.
     own = shared.select("token", "rep", "x", "a").join(part.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     main = part.select(F.col("id").alias("a"), F.col("component").alias("main"))
-    own = written(own.join(main, "a", "left").withColumn("main", F.coalesce("main", "a")).drop("a"), "own")
+    with owned(f"{run} own"):
+        own = written(own.join(main, "a", "left").withColumn("main", F.coalesce("main", "a")).drop("a"), "own")
+    release(spark, f"{run} shared")
     # A pair shares min(s) tokens at most, and the tokens that nobody shares with either are all in the union.
     alone = F.col("x.n") - F.col("x.s")
     fewest = own.groupBy("token").agg(F.min(F.struct(alone.alias("u"), F.col("rep").alias("rep"))).alias("f"), F.count_if(F.col("component") != F.col("main")).alias("minor")).where("minor > 0")
@@ -326,6 +339,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = F.when(F.col("rep") == F.col("f.rep"), F.col("u2")).otherwise(F.col("f.u"))
     own = own.join(room, "token").where((alone + least) * percent <= F.col("x.s") * (100 - percent)).drop("f", "u2")
     own = written(own, "left")
+    release(spark, f"{run} own")
     rest = _split(own.where("component <> main"), own, reps, percent, hot)
     seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(rest.join(seen, ["a", "b"], "left_anti"), "rest")

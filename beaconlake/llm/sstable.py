@@ -26,6 +26,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
@@ -146,6 +147,18 @@ class Reader:
         return found
 
 
+def _parts(texts: pa.Array, rows: int = 256, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts: up to so many, and of about so many bytes unless one alone is longer."""
+    sizes, first, held = pc.binary_length(texts).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and (i - first == rows or held + n > size):
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if sizes:
+        yield first, len(sizes) - first
+
+
 def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_bytes: int = 1 << 16, file_bytes: int = 1 << 28, combine: bool = False, kept_chunks: int = 1 << 20) -> DataFrame:
     """Writes the shards under path; returns a row for each file: shard, file, entries, ids, least and most (ids).
 
@@ -175,8 +188,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
 
         low = high = None
         for b in batches:
-            for i in range(0, b.num_rows, 256):  # few texts as Python strings at a time
-                keys, texts, copies = (b.column(c).slice(i, 256).to_pylist() for c in ("doc_id", "text", "copies"))
+            for i, n in _parts(b.column("text")):  # few texts, and bytes of them, as Python strings at a time
+                keys, texts, copies = (b.column(c).slice(i, n).to_pylist() for c in ("doc_id", "text", "copies"))
                 each = ((k, ids) for k, ids, m in zip(keys, enc.encode(texts), copies, strict=True) for _ in range(m))
                 for doc_id, ids in each:
                     if out is not None and out.at >= file_bytes:
