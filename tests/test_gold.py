@@ -216,3 +216,69 @@ def test_findings_and_their_lines_are_ordered(spark):
     numbers = spark.range(500).select(F.col("id"), (-F.col("id")).alias("v"), F.lit(None).cast("string").alias("none"))
     lines = findings.report_lines([("n", numbers, ["v"]), ("m", numbers.limit(1), ["v"])]).orderBy("section", "at").collect()
     assert [json.loads(r.json)["id"] for r in lines[:500]] == list(range(499, -1, -1)) and (lines[500].name, json.loads(lines[500].json)["none"]) == ("m", None)
+
+
+ROBOTS = """Disallow: /early
+Content-Signal: ai-train=no
+User-agent: Googlebot
+User-agent: OAI-SearchBot
+User-agent: PerplexityBot
+User-agent: ChatGPT-User
+User-agent: Google-Extended
+Disallow: /
+
+User-agent: *
+Disallow: /private
+"""
+LLMS = """intro before the title
+# Shop
+# Again
+- [Secret](https://shop.example/private/x): closed to those who may come
+- [Elsewhere](https://other.example/a)
+- [Cart](/checkout/)
+- [Twice](/t)
+* [Twice](/t)
+- [no link] (x)
+- [](empty)
+"""
+
+
+def test_every_check_of_access_fires(spark):
+    hosts = spark.createDataFrame([("shop.example", ROBOTS), ("calm.example", "User-agent: *\nDisallow:\n")], "host string, text string")
+    paths = hosts.select("host").crossJoin(spark.createDataFrame([("/",), ("/a",), ("/private/x",), *((x,) for x in access._SHOP)], "path string"))
+    rules = access.robots_rules(hosts)
+    llms = spark.createDataFrame([("shop.example", LLMS)], "host string, text string")
+    found = access.audit(access.access(paths, rules, access.TOKENS), rules, hosts, llms, shop=True)
+    of = lambda host: {r.type: (r.severity, r["count"]) for r in found.where(F.col("host") == host).collect()}
+    shop, calm = of("shop.example"), of("calm.example")
+    high = {t for t, (s, _) in shop.items() if s == "high"}
+    assert high == {"search_engine_blocked", "chatgpt_search_blocked", "llms_offhost", "llms_contradiction"}
+    assert {"answer_engine_blocked", "search_paths_refused", "user_fetcher_rule", "google_extended_scope", "transactional_open", "rules_outside_group", "content_signal", "llms_format", "llms_transactional", "llms_duplicates"} <= set(shop)
+    assert (shop["llms_contradiction"][1], shop["llms_offhost"][1], shop["rules_outside_group"][1], shop["llms_transactional"][1], shop["llms_duplicates"][1]) == (1, 1, 1, 1, 1)
+    assert set(calm) == {"transactional_open", "llms_absent"}
+    long = spark.createDataFrame([("calm.example", "# T\n> s\n## P\n" + "".join(f"- [p{i}](/p{i})\n" for i in range(61)))], "host string, text string")
+    again = access.audit(access.access(paths, rules, access.TOKENS), rules, hosts, long)
+    assert [r["count"] for r in again.where("type = 'llms_too_long' and host = 'calm.example'").collect()] == [61]
+
+
+def test_links_of_llms_files(spark):
+    lines = access.llms_lines(spark.createDataFrame([("a", LLMS + "- [A](/x): note: more\n + [B](/y) tail\n- [C]( /z)\n* [D](/d):\n")], "host string, text string"))
+    links = [(r.title, r.url, r.note) for r in lines.where("kind = 'link'").orderBy("pos").collect()]
+    assert links[:2] == [("Secret", "https://shop.example/private/x", "closed to those who may come"), ("Elsewhere", "https://other.example/a", "")]
+    assert links[5:] == [("A", "/x", "note: more"), ("D", "/d", "")]
+
+
+def test_every_issue_between_snapshots(spark):
+    columns = "url string, title string, description string, robots string, canonical string, h1 string, schema_types array<string>, hreflang array<string>, noindex boolean, status int, og_title string, plugins array<string>"
+    row = lambda url, **x: tuple({"url": url, "title": "T", "description": "D", "robots": "", "canonical": f"https://a.com/{url}", "h1": "H", "schema_types": ["Article"], "hreflang": ["fr"], "noindex": False, "status": 200, "og_title": "O", "plugins": ["yoast"], **x}.values())
+    changes = {
+        "became_noindex": ({}, {"noindex": True}, "high"), "became_index": ({"noindex": True}, {}, "medium"), "canonical_lost": ({}, {"canonical": ""}, "high"), "canonical_changed": ({}, {"canonical": "https://a.com/else"}, "medium"),
+        "description_lost": ({}, {"description": ""}, "high"), "description_changed": ({}, {"description": "E"}, "low"), "title_lost": ({}, {"title": ""}, "medium"), "title_changed": ({}, {"title": "U"}, "low"), "h1_changed": ({}, {"h1": "I"}, "low"),
+        "schema_lost": ({}, {"schema_types": []}, "medium"), "hreflang_lost": ({}, {"hreflang": []}, "high"), "open_graph_lost": ({}, {"og_title": ""}, "low"), "two_plugins": ({}, {"plugins": ["yoast", "rankmath"]}, "high"), "status_changed": ({}, {"status": 404, "title": ""}, "high"),
+    }
+    before = spark.createDataFrame([row(k, **b) for k, (b, _, _) in changes.items()] + [row("same"), row("not_in_after"), row("far")], columns)
+    after = spark.createDataFrame([row(k, **a) for k, (_, a, _) in changes.items()] + [row("same"), row("far", canonical="https://b.com/far"), row("new")], columns)
+    issues = pages.diff(before, after)
+    assert got(issues, "url", "issue", "severity") == sorted([*((k, k, s) for k, (_, _, s) in changes.items()), ("not_in_after", "not_in_after", "medium"), ("far", "canonical_changed", "high")], key=repr)
+    (s,) = pages.summary(before, after, issues).collect()
+    assert (s.pages, s.identical) == (17, 1)
