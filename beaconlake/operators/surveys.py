@@ -172,6 +172,12 @@ def priorities(families: DataFrame, k: int = 12) -> DataFrame:
     return families.withColumn("priority", score).orderBy(F.desc("priority"), "family").limit(k)
 
 
+def survey_plan(prompts: DataFrame, engines: list[str], runs: int) -> DataFrame:
+    """The prompts for each engine and run (1, 2, ...)."""
+    each = F.explode(F.array(*map(F.lit, engines))).alias("engine")
+    return prompts.select("*", each).select("*", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+
+
 def unanswered(plan: DataFrame, kept: DataFrame | None) -> DataFrame:
     """The rows of a survey's plan (prompt_id, engine, run and more) that no kept answer is for."""
     return plan if kept is None else plan.join(kept.select(*ANSWER_KEY).distinct(), ANSWER_KEY, "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import findings as N
 from ..operators import surveys as S
-from ..sources import answers
+from ..sources import answers, exports
 from ..storage import scratch
 from . import adapters as A
 from . import files, series, sites, surveys
@@ -97,3 +97,24 @@ def vis_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (o.where("run % 3 = 0"), o, o):
         S.keep_answers(part, path)
     return S.kept_answers(spark, path)
+
+
+_ENGINES = ["purchase", "signup", "view"]
+
+
+@query(
+    surveys.OBS
+    + f""", p AS (SELECT DISTINCT prompt_id FROM o),
+plans AS (SELECT prompt_id, engine, run FROM (SELECT prompt_id, unnest({_ENGINES}) AS engine FROM p), (SELECT unnest([1, 2, 3]) AS run)),
+kept AS (SELECT DISTINCT prompt_id, engine, CAST(event_id % 5 AS INTEGER) AS run FROM o WHERE wave = 1)
+SELECT prompt_id, 'Which is "best", ' || prompt_id || '?' AS prompt, 'core' AS family, engine, run FROM plans ANTI JOIN kept USING (prompt_id, engine, run)"""
+)
+def vis_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a survey of three engines and runs still has to ask: its frozen prompts, read from their file, without those that the store has."""
+    o = surveys.observations(spark, sf_dir)
+    asked = F.concat(F.lit('Which is "best", '), "prompt_id", F.lit("?"))
+    line = F.concat_ws(",", "prompt_id", F.concat(F.lit('"'), F.replace(asked, F.lit('"'), F.lit('""')), F.lit('"')), F.lit("core"))
+    frozen = files.as_files(o.select("prompt_id").distinct().withColumns({"line": line, "f": F.lit("prompts")}), "f", "Prompt_ID,Prompt,Family", F.col("line"))
+    path = scratch(spark, "answers")
+    S.keep_answers(o.where("wave = 1").select("prompt_id", "engine", (F.col("event_id") % 5).cast("int").alias("run"), "cited"), path)
+    return S.unanswered(S.survey_plan(exports.prompts(frozen), _ENGINES, 3), S.kept_answers(spark, path))

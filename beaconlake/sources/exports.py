@@ -296,3 +296,21 @@ def key_pages(files: DataFrame) -> DataFrame:
     """(at, url, title) of lines ``url | title`` (the title may be absent), in order."""
     lines = texts(files).select(F.posexplode(F.split("text", r"\r?\n")).alias("at", "line")).where("trim(line) <> '' and not startswith(trim(line), '#')")
     return lines.select("at", F.trim(F.substring_index("line", "|", 1)).alias("url"), F.trim(F.when(F.col("line").contains("|"), F.regexp_replace("line", r"^[^|]*\|", "")).otherwise("")).alias("title"))
+
+
+def brand(files: DataFrame) -> DataFrame:
+    """(file, name, aliases, domains) of brand files, JSON objects; one without a name is an error."""
+    kind = "struct<name:string,aliases:array<string>,domains:array<string>>"
+    t = texts(files).select("file", F.from_json("text", kind).alias("b"))
+    name = F.when(F.coalesce("b.name", F.lit("")) == "", F.raise_error(F.concat("file", F.lit(": a brand needs a name")))).otherwise(F.col("b.name"))
+    none = F.array().cast("array<string>")
+    return t.select("file", name.alias("name"), F.coalesce("b.aliases", none).alias("aliases"), F.coalesce("b.domains", none).alias("domains"))
+
+
+def prompts(files: DataFrame) -> DataFrame:
+    """prompt_id, prompt, family of a survey's frozen prompts; a file without the columns prompt_id and prompt is an error."""
+    rows = cells(files)
+    missing = ~(F.array_contains("names", "promptid") & F.array_contains("names", "prompt"))
+    checked = F.when(missing, F.raise_error(F.concat("file", F.lit(" needs the columns prompt_id and prompt")))).otherwise(field(["promptid"]))
+    rows = rows.where(missing | (F.col("row_no") > 0))
+    return rows.select(checked.alias("prompt_id"), field(["prompt"]).alias("prompt"), F.coalesce(field(["family"]), F.lit("")).alias("family"))

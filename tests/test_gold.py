@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconlake import sinks
-from beaconlake.operators import access, findings, migration, pages, redirects, surveys
+from beaconlake.operators import access, findings, migration, pages, passages, redirects, surveys
 from beaconlake.sources import answers, exports, sitemaps, variants
 
 
@@ -282,3 +282,19 @@ def test_every_issue_between_snapshots(spark):
     assert got(issues, "url", "issue", "severity") == sorted([*((k, k, s) for k, (_, _, s) in changes.items()), ("not_in_after", "not_in_after", "medium"), ("far", "canonical_changed", "high")], key=repr)
     (s,) = pages.summary(before, after, issues).collect()
     assert (s.pages, s.identical) == (17, 1)
+
+
+def test_brands_and_prompts_need_their_fields(spark):
+    assert got(exports.brand(files(spark, b='{"name": "Me", "domains": ["me.com"]}'))) == [("b", "Me", [], ["me.com"])]
+    with pytest.raises(Exception, match="b: a brand needs a name"):
+        exports.brand(files(spark, b='{"domains": []}')).collect()
+    assert got(exports.prompts(files(spark, p="prompt_id,prompt\np1,One?\np2,Two?\n"))) == [("p1", "One?", ""), ("p2", "Two?", "")]
+    with pytest.raises(Exception, match="p needs the columns"):
+        exports.prompts(files(spark, p="id,prompt\n1,x\n")).collect()
+    plan = surveys.survey_plan(exports.prompts(files(spark, p="prompt_id,prompt\np1,One?\n")), ["x", "y"], 2)
+    assert got(plan, "prompt_id", "engine", "run") == [("p1", "x", 1), ("p1", "x", 2), ("p1", "y", 1), ("p1", "y", 2)]
+
+
+def test_pages_that_are_too_little_stop(spark):
+    rows = spark.createDataFrame([("a", 100), ("a", 50), ("b", 100), ("b", 49), ("c", 900)], "page string, words long")
+    assert got(passages.stopped(rows, "page")) == [("b", 2, 149), ("c", 1, 900)]
