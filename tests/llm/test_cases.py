@@ -495,3 +495,29 @@ def test_one_large_text_is_passed_over(spark):
     assert ids == {i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5}
     scored = {r.doc_id: r.score for r in toxicity.score(docs, docs, known, max_bytes=2400).collect()}
     assert scored[7] > 0.5 > scored[8]
+
+
+def test_chunks_are_encoded_as_whole_texts_are():
+    """Odd white space, special tokens and combining marks: the ids of the chunks are those of the library for the whole text."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from beaconlake.llm.tokens import WordEncoder
+
+    path, rng = vocabulary("word_bpe_49k.json"), random.Random(8)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x85", "\xa0", " ", " ", "　", "﻿", "<|endoftext|>", "</s>", "<unk>", "é", "é", "ﬁ", "ß", "İ", "你好", "abc", "Don't", "12.5%", "__", "🙂", "‍", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000)]
+    whole = Tokenizer.from_file(path)
+    for some in (texts, texts[::-1]):  # the second time from what is kept
+        for t, ids in zip(some, WordEncoder(path, 200).encode(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_parts_of_a_batch_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (10, 10, 90, 200, 1, 1, 0, 100)]
+    parts = list(sstable._parts(pa.array(texts), rows=3, size=100))
+    assert [i for first, n in parts for i in range(first, first + n)] == list(range(8))
+    assert parts == [(0, 2), (2, 1), (3, 1), (4, 3), (7, 1)] and list(sstable._parts(pa.array([], pa.string()))) == []
