@@ -1,7 +1,7 @@
 """Files of other tools: delimited exports with headers in several languages, URL inventories, maps, logs of actions.
 
 A file is a row (file, content as bytes), as ``read_files`` gives it; files are decoded and cut into rows in tasks, one
-file at a time. Headers are compared folded (no accents, signs or case)."""
+file at a time, and given on some thousand rows at a time. Headers are compared folded (no accents, signs or case)."""
 
 from __future__ import annotations
 
@@ -90,6 +90,7 @@ def cells(files: DataFrame) -> DataFrame:
     def cut(batches):
         import csv
         import io
+        import itertools
         import re
         import unicodedata
 
@@ -103,9 +104,13 @@ def cells(files: DataFrame) -> DataFrame:
                 if not lines:
                     continue
                 sep = max(",;\t|", key=lines[0].count)
-                rows = list(csv.reader(io.StringIO("".join(lines), newline=""), delimiter=sep))
-                names = [folded(x) for x in rows[0]]
-                yield pd.DataFrame({"file": [file] * len(rows), "row_no": range(len(rows)), "names": [names] * len(rows), "values": rows})
+                rows = csv.reader(io.StringIO("".join(lines), newline=""), delimiter=sep)
+                first = next(rows)
+                names, at = [folded(x) for x in first], 0
+                rows = itertools.chain([first], rows)
+                while part := list(itertools.islice(rows, 4096)):
+                    yield pd.DataFrame({"file": [file] * len(part), "row_no": range(at, at + len(part)), "names": [names] * len(part), "values": part})
+                    at += len(part)
 
     return files.mapInPandas(cut, "file string, row_no long, names array<string>, values array<string>")
 
