@@ -125,8 +125,9 @@ UNION SELECT '/all/item-' || o_orderkey || '.html' FROM orders WHERE o_orderkey
 
 @query(
     f"""WITH rules AS ({_RULES.format(numbers='range(1000) r(i)')}), old AS ({_OLD}), new AS ({_NEW}),
-met AS (SELECT id, rules.at AS k, expression, regexp_replace(path, expression, replace(replacement, '$', chr(92)), 'gi') AS target FROM old JOIN rules
-  ON (rules.at >= 1000 OR starts_with(path, '/shop/cat' || rules.at || '/')) AND regexp_matches(path, expression, 'i'))
+cand AS MATERIALIZED (SELECT id, path, rules.at AS k, expression, replacement FROM old JOIN rules ON rules.at = CAST(regexp_extract(path, '/cat([0-9]+)/', 1) AS INTEGER) AND rules.at < 1000
+  UNION ALL SELECT id, path, rules.at, expression, replacement FROM old, rules WHERE rules.at >= 1000),
+met AS (SELECT id, k, expression, regexp_replace(path, expression, replace(replacement, '$', chr(92)), 'gi') AS target FROM cand WHERE regexp_matches(path, expression, 'i'))
 SELECT id, target, expression AS rule FROM met JOIN new ON target = path QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1"""
 )
 def red_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
