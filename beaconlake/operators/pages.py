@@ -45,10 +45,10 @@ SEVERITY = {
 }
 
 
-def diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """url, issue, severity for each way in which a page of ``before`` differs in ``after``; snapshots with one row a URL. status, og_title and plugins are compared where both have them."""
+def diff(before: DataFrame, after: DataFrame, key: str = "url") -> DataFrame:
+    """key, url, issue, severity for each way in which a page of ``before`` differs in ``after``; snapshots with one row a ``key`` (two pages may have one URL). status, og_title and plugins are compared where both have them."""
     extra = [c for c in ("status", "og_title", "plugins") if c in before.columns and c in after.columns]
-    a = after.select("url", F.lit(True).alias("there"), *(F.col(c).alias(f"{c}_2") for c in [*FIELDS, "noindex", *extra]))
+    a = after.select(key, F.lit(True).alias("there"), *(F.col(c).alias(f"{c}_2") for c in [*FIELDS, "noindex", *extra]))
     changed = lambda c: (F.col(c) != "") & (F.col(f"{c}_2") != "") & (F.col(c) != F.col(f"{c}_2"))
     lost = lambda c: (F.col(c) != "") & (F.col(f"{c}_2") == "")
     moved = W.host_path(F.col("canonical")) != W.host_path(F.col("canonical_2"))
@@ -70,14 +70,15 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     one = lambda name, severity=None: F.struct(F.lit(name).alias("issue"), (F.lit(SEVERITY[name]) if severity is None else severity).alias("severity"))
     found = F.array_compact(F.array(*(F.when(c, one(n, far if n == "canonical_changed" else None)) for n, c in checks.items())))
     broken = (F.col("status") == 200) & (F.coalesce("status_2", F.lit(0)) != 200) if "status" in extra else F.lit(False)
-    rows = before.join(a, "url", "left")
+    rows = before.join(a, key, "left")
     issues = F.when(F.col("there").isNull(), F.array(one("not_in_after"))).when(broken, F.array(one("status_changed"))).otherwise(found)
-    return rows.select("url", F.explode(issues).alias("i")).select("url", "i.issue", "i.severity")
+    named = list(dict.fromkeys([key, "url"]))
+    return rows.select(*named, F.explode(issues).alias("i")).select(*named, "i.issue", "i.severity")
 
 
-def summary(before: DataFrame, after: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row: pages, identical (in both, without an issue), and issues by severity."""
-    same = before.select("url").join(after.select("url"), "url", "left_semi").join(issues.select("url").distinct(), "url", "left_anti")
+def summary(before: DataFrame, after: DataFrame, issues: DataFrame, key: str = "url") -> DataFrame:
+    """One row: pages, identical (in both, without an issue), and issues by severity. key: the one that the issues were found by."""
+    same = before.select(key).join(after.select(key), key, "left_semi").join(issues.select(key), key, "left_anti")
     counts = issues.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")))
     return counts.withColumns({"pages": before.agg(F.count("*")).scalar(), "identical": same.agg(F.count("*")).scalar()})
 

@@ -80,14 +80,14 @@ _ISSUES = "SELECT url, i AS issue, CASE i WHEN 'became_noindex' THEN 'high' WHEN
 @query(_ISSUES)
 def page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = A.load(spark, sf_dir, "pages")
-    return P.diff(P.snapshot(pages), P.snapshot(_changed(pages.where("page_id % 13 <> 0"))))
+    return P.diff(P.snapshot(pages), P.snapshot(_changed(pages.where("page_id % 13 <> 0"))), "page_id").drop("page_id")
 
 
 @query(f"WITH i AS ({_ISSUES}) SELECT count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM pages WHERE page_id % 7 > 0 AND page_id % 11 > 0 AND page_id % 13 > 0) AS identical FROM i")
 def page_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = A.load(spark, sf_dir, "pages")
     before, after = P.snapshot(pages), P.snapshot(_changed(pages.where("page_id % 13 <> 0")))
-    return P.summary(before, after, P.diff(before, after))
+    return P.summary(before, after, P.diff(before, after, "page_id"), "page_id")
 
 
 _CHANGE = "CASE page_id % 5 WHEN 0 THEN 'title' WHEN 1 THEN 'noindex' WHEN 2 THEN 'focus_keyword' WHEN 3 THEN 'canonical' ELSE 'title' END"
