@@ -1,9 +1,14 @@
 """What larger tables have and small ones don't: pages of one URL, classes of near copies, many folders."""
 
+import random
+from difflib import SequenceMatcher
+
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from beaconlake import catalogue
+from beaconlake.operators import passages, redirects
 
 SQL = catalogue.oracle_sql()
 
@@ -13,3 +18,76 @@ def test_pages_of_one_url(spark, tmp_path, name):
     rows = [(i, f"https://a.org/{i % 30}", f"<html><head><title>Page {i}</title></head></html>") for i in range(90)]
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).toPandas().to_parquet(tmp_path / "pages.parquet")
     oracle.same(spark, catalogue.queries()[name], SQL[name], str(tmp_path))
+
+
+def counting(spark, kind, f):
+    """A function for columns that counts its calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(*x):
+        calls.add(1)
+        return f(*x)
+
+    return F.udf(counted, kind), calls
+
+
+def test_close_slugs_of_one_family(spark, monkeypatch):
+    """Slugs that all have two words in common are compared with their like, not with each other."""
+    ratio, calls = counting(spark, "double", lambda a, b: SequenceMatcher(None, a, b).ratio())
+    monkeypatch.setattr(redirects.T, "seq_ratio", ratio)
+    n = 300
+    old = redirects.inventory(spark.createDataFrame([(f"/zone/close-match-number-h{i}",) for i in range(n)], "url string"))
+    new = redirects.inventory(spark.createDataFrame([(f"/zz/close-match-numbers-h{i}",) for i in range(n)], "url string"))
+    assert {(r.key, r.target) for r in redirects._close(old, new).collect()} == {(f"/zone/close-match-number-h{i}", f"/zz/close-match-numbers-h{i}") for i in range(n)}
+    assert calls.value <= 20 * n
+
+
+def test_close_slugs_against_every_pair(spark):
+    draw = random.Random(7)
+    words = ["red", "read", "shoe", "shoes", "price", "prices", "guide", "big", "bigger", "a", "sale"]
+
+    def slug():
+        return "".join(w + draw.choice("-_") for w in draw.choices(words, k=draw.randrange(1, 6)))[:-1]
+
+    olds, news = ({slug() for _ in range(150)} for _ in "ab")
+    inventory = lambda slugs, folder: redirects.inventory(spark.createDataFrame([(f"/{folder}/{x}",) for x in sorted(slugs)], "url string"))
+    tokens = lambda x: set(x.replace("_", "-").split("-"))
+    want = {}
+    for a in olds:
+        if len(tokens(a)) > 1:
+            near = [(-SequenceMatcher(None, a, b).ratio(), b) for b in news if len(tokens(a) & tokens(b)) >= len(tokens(a)) // 2]
+            want |= {f"/o/{a}": f"/n/{min(near)[1]}"} if near and min(near)[0] <= -redirects.CLOSE else {}
+    assert len(want) > 20
+    assert {r.key: r.target for r in redirects._close(inventory(olds, "o"), inventory(news, "n")).collect()} == want
+
+
+def test_repeated_passages_are_made_once(spark):
+    text, calls = counting(spark, "string", lambda k: " ".join(f"w{(k // 3) * 100 + j}" for j in range(40)) + f" x{k}")
+    n = 60
+    rows = spark.range(n).select("id", F.col("id").alias("k"), text("id").alias("fold_text"))
+    found = {r.k: r.other_page for r in passages.repeated(rows, "k").collect()}
+    assert found == {k: min(x for x in range(n) if x // 3 == k // 3 and x != k) for k in range(n)}
+    assert calls.value <= 2 * n
+
+
+def test_repeated_passages_against_every_pair(spark):
+    draw = random.Random(5)
+    texts = []
+    for _ in range(60):
+        w = draw.choice(texts).split() if texts and draw.random() < 0.7 else [f"v{draw.randrange(50)}" for _ in range(draw.randrange(1, 40))]
+        for _ in range(draw.randrange(3)):
+            w[draw.randrange(len(w))] = f"v{draw.randrange(50)}"
+        texts.append(" ".join(w))
+    rows = [(k // 2, k % 2 + 1, t) for k, t in enumerate(texts)]
+
+    def runs(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    want = {}
+    for page, i, t in rows:
+        near = [(p, j, round(len(runs(t) & runs(u)) / len(runs(t) | runs(u)), 2)) for p, j, u in rows if p != page and 2 * len(runs(t) & runs(u)) >= len(runs(t) | runs(u))]
+        want |= {(page, i): min(near)} if near else {}
+    assert 10 < len(want) < 60
+    found = passages.repeated(spark.createDataFrame(rows, "k int, id int, fold_text string"), "k").collect()
+    assert {(r.k, r.id): (r.other_page, r.other_id, r.overlap) for r in found} == want
