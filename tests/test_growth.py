@@ -91,3 +91,9 @@ def test_repeated_passages_against_every_pair(spark):
     assert 10 < len(want) < 60
     found = passages.repeated(spark.createDataFrame(rows, "k int, id int, fold_text string"), "k").collect()
     assert {(r.k, r.id): (r.other_page, r.other_id, r.overlap) for r in found} == want
+
+
+def test_scores_have_a_short_plan(spark):
+    """The driver keeps the text of a plan for each of its stages: measured passages are stored, not planned again at each use."""
+    found = catalogue.queries()["pas_scores"](spark, oracle.DATA)
+    assert len(found._jdf.queryExecution().toString()) < 300_000
