@@ -8,8 +8,9 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
    representative goes on to the child of each one's value. Two sets of similarity s share a child with probability s for
    each coordinate, so a pair at the threshold gets lost in a tree with a chance q that solves q = (1 - s + s q) ^ BRANCHES;
    as many trees are grown as bring the chance below 1 - ``recall``.
-3. Nodes of the first level are compared with one centre each: the member whose minwise values most others have, which of a
-   group of edited copies is the text that they were made from, or what is nearest to it. Verified links
+3. Nodes of the first level are compared with one centre each: the member whose minwise values and parities most others have,
+   which of a group of edited copies is the text that they were made from, or what is nearest to it. (A copy with one edit often
+   has all minwise values of its text, but never all parities; as a centre it would miss copies that only the text links.) Verified links
    make components, and only nodes of several components go on, where only pairs of different components are compared: a group
    of n near copies costs about n comparisons.
 4. Nodes of at most ``small`` members are compared exhaustively. So are larger ones in which the members outside the main
@@ -40,6 +41,8 @@ from .common import free_name, ship, written
 from .ngram_join import components, grouped, mixed, shingle_sets, sketch
 
 COORDS, BRANCHES, LOST = 64, 2, 1e-9
+#: Longs of a sketch.
+PARITIES = 8
 #: Members from which on a node's centre is chosen by all minwise values, and not only by those that lead to the first level.
 CROWD = 16
 #: Coordinates that a path may use and still branch.
@@ -261,8 +264,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     members = written(nodes.join(shared, "node"), "members")
     crowd = members.where(F.col("size") >= CROWD).select("rep").distinct()
-    places = F.explode(F.sequence(F.lit(0), F.lit(COORDS - 1)))
-    values = reps.join(crowd, "rep").select("rep", "sig", places.alias("i")).select("rep", "i", F.substring("sig", F.col("i") * 4 + 1, F.lit(4)).alias("value"))
+    places = F.explode(F.sequence(F.lit(0), F.lit(COORDS + PARITIES - 1)))
+    value = F.when(F.col("i") < COORDS, F.xxhash64(F.substring("sig", F.col("i") * 4 + 1, F.lit(4)))).otherwise(F.get("sketch", F.col("i") - COORDS))
+    values = reps.join(crowd, "rep").select("rep", "sig", "sketch", places.alias("i")).select("rep", "i", value.alias("value"))
     values = written(values, "values")
     common = values.groupBy("i", "value").agg(F.count("*").alias("n")).where("n > 1")
     typical = values.join(common, ["i", "value"]).groupBy("rep").agg(F.sum("n").alias("typical"))
