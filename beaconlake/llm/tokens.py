@@ -2,7 +2,8 @@
 
 ``SpanEncoder`` encodes a text as a whole, for the places of its tokens. ``WordEncoder`` only needs the ids of a tokenizer
 that drops white space and never joins characters across it, so the ids of a text are those of its chunks between white
-space, in order; each distinct chunk goes through the tokenizers library once in a worker. Long chunks aren't kept.
+space, in order; each distinct chunk goes through the tokenizers library once in a worker, many chunks in one call, as a text with
+a word between them that is a token of its own. Long chunks aren't kept.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Characters of a chunk that is kept, chunks encoded by one call.
-LONGEST, AT_ONCE = 64, 1 << 10
+#: Characters of a chunk that is kept, chunks encoded by one call, chunks of one text, and the word between them.
+LONGEST, AT_ONCE, JOINED, MARK = 64, 1 << 10, 1 << 6, "\u2605"
 
 
 def vocabulary(name: str) -> str:
@@ -34,6 +35,25 @@ class WordEncoder:
 
     def __init__(self, path: str, most: int = 1 << 20):
         self.tokenizer, self.known, self.most = _load(path), {"": b""}, most
+        mark = self._ids([MARK])[0]
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each of the chunks, which are encoded as texts of JOINED; one by one where a chunk has the mark itself."""
+        if self.mark is None:
+            return [x.tobytes() for x in self._ids(chunks)]
+        runs, out = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)], []
+        for run, ids in zip(runs, self._ids([f" {MARK} ".join(run) for run in runs]), strict=True):
+            at = np.flatnonzero(ids == self.mark).tolist()
+            if len(at) + 1 == len(run):
+                whole = ids.tobytes()
+                out += [whole[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in at)], [*at, len(ids)], strict=True)]
+            else:
+                out += [x.tobytes() for x in self._ids(run)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -43,8 +63,7 @@ class WordEncoder:
         new = list({c for cs in split for c in cs if c not in known})
         for i in range(0, len(new), AT_ONCE):
             some = new[i : i + AT_ONCE]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+            known.update(zip(some, self._each(some), strict=True))
         out = [b"".join([known[c] for c in cs]) for cs in split]
         for c in new:
             if len(c) > LONGEST:
