@@ -1,6 +1,6 @@
 """Encoding of whole texts with public tokenizers.
 
-``SpanEncoder`` encodes a text as a whole, for the places of its tokens. ``WordEncoder`` only needs the ids of a tokenizer
+``SpanEncoder`` encodes a text as a whole, for the places of its tokens, which follow from the tokens' bytes. ``WordEncoder`` only needs the ids of a tokenizer
 that drops white space and never joins characters across it, so the ids of a text are those of its chunks between white
 space, in order; each distinct chunk goes through the tokenizers library once in a worker, many chunks in one call, as a text with
 a word between them that is a token of its own. Long chunks aren't kept.
@@ -72,17 +72,45 @@ class WordEncoder:
 
 
 class SpanEncoder:
-    """First character of each token of a whole text, its end, and its id, as arrays."""
+    """First character of each token of a whole text, its end, and its id, as arrays.
+
+    Tokens of a byte-level vocabulary that drops, adds and changes nothing lie end to end, a byte for each character of a
+    token's name, so their places follow from the ids. Other tokenizers are asked for their offsets."""
 
     def __init__(self, path: str):
+        from tokenizers import pre_tokenizers
+
         self.tokenizer = _load(path)
+        t, added = self.tokenizer, self.tokenizer.get_added_tokens_decoder()
+        pre = t.pre_tokenizer
+        bytewise = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and t.normalizer is None and t.post_processor is None
+        plain = bytewise and t.truncation is None and t.padding is None and t.model.unk_token is None and not any(a.lstrip or a.rstrip for a in added.values())
+        self.sizes = None
+        if plain and set(pre_tokenizers.ByteLevel.alphabet()) <= t.get_vocab(False).keys():
+            names = t.get_vocab(False)
+            self.sizes = np.zeros(1 + max([*names.values(), *added]), np.int64)
+            for name, i in names.items():
+                self.sizes[i] = len(name)
+            for i, a in added.items():
+                self.sizes[i] = len(a.content.encode())
 
     def encode(self, text: str) -> np.ndarray:
         """[token, (id, first character, last character plus one)], of the text encoded once, as a whole."""
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        out = np.empty((len(e.ids), 3), np.int64)
-        out[:, 0] = e.ids
-        out[:, 1:] = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(out)).reshape(-1, 2)
+        if self.sizes is None:
+            e = self.tokenizer.encode(text, add_special_tokens=False)
+            out = np.empty((len(e.ids), 3), np.int64)
+            out[:, 0] = e.ids
+            out[:, 1:] = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(out)).reshape(-1, 2)
+            return out
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        out = np.empty((len(ids), 3), np.int64)
+        out[:, 0] = ids
+        size = self.sizes[out[:, 0]]
+        out[:, 2] = np.cumsum(size)
+        out[:, 1] = out[:, 2] - size
+        if not text.isascii():  # characters of the first and the last byte
+            of = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
+            out[:, 1], out[:, 2] = of[out[:, 1]], of[out[:, 2] - 1] + 1
         return out
 
 

@@ -20,3 +20,15 @@ def test_chunks_go_in_runs_and_have_their_own_ids(monkeypatch):
     got = [list(memoryview(x).cast("I")) for x in enc.encode(some)]
     assert got == want
     assert len(sent) < len({c for t in some for c in t.replace("\n", " ").split(" ")}) / 10
+
+
+def test_places_are_the_librarys_and_cost_no_offsets(monkeypatch):
+    enc, some = SpanEncoder(vocabulary("byte_bpe_50k.json")), texts()
+    want = [[(i, *o) for i, o in zip(e.ids, e.offsets, strict=True)] for e in enc.tokenizer.encode_batch(some, add_special_tokens=False)]
+    assert enc.sizes is not None
+    assert [list(map(tuple, enc.encode(t).tolist())) for t in some] == want
+
+
+def test_places_of_other_tokenizers_are_asked_for():
+    enc = SpanEncoder(vocabulary("word_bpe_49k.json"))
+    assert enc.sizes is None and enc.encode("Ab  cd")[:, 1:].tolist() == [[0, 2], [4, 6]]
