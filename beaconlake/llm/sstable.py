@@ -159,19 +159,33 @@ def _parts(texts: pa.Array, rows: int = 256, size: int = 1 << 20) -> Iterator[tu
         yield first, len(sizes) - first
 
 
+def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: doc_id, text and seq of the first of each run of equal ids and texts in a batch, and copies, their number."""
+    for b in batches:
+        new = np.ones(b.num_rows, bool)
+        for c in ("doc_id", "text"):
+            x, y = b.column(c).slice(1), b.column(c).slice(0, max(0, b.num_rows - 1))
+            alike = pc.fill_null(pc.equal(x, y), False)
+            if c == "doc_id":
+                alike = pc.or_(alike, pc.and_(pc.is_null(x), pc.is_null(y)))
+            same = alike if c == "doc_id" else pc.and_(same, alike)
+        if b.num_rows:
+            new[1:] = ~np.asarray(same)
+            at = np.flatnonzero(new)
+            out = b.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("doc_id", "text", "seq")), pa.array(np.diff(np.append(at, b.num_rows)), pa.int64())], ["doc_id", "text", "seq", "copies"])
+
+
 def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block_bytes: int = 1 << 16, file_bytes: int = 1 << 28, combine: bool = False, kept_chunks: int = 1 << 20) -> DataFrame:
     """Writes the shards under path; returns a row for each file: shard, file, entries, ids, least and most (ids).
 
-    combine: rows equal in id and text go through the shuffle and the tokenizer once, with their number, and are written as often, next to each other; for inputs with many copies.
+    combine: rows equal in id and text that follow each other go through the shuffle and the tokenizer once, with their number, and are written as often; for inputs with many copies.
     kept_chunks: encoded chunks that a worker keeps (about 200 bytes each): fewer take less memory and more time."""
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("seq"))
-    if combine:
-        rows = rows.groupBy("doc_id", "text").agg(F.min("seq").alias("seq"), F.count("*").alias("copies"))
-    else:
-        rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    rows = rows.mapInArrow(combined, "doc_id long, text string, seq long, copies long") if combine else rows.withColumn("copies", F.lit(1).cast("long"))
     ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("seq")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("seq"))
     end = np.array([end_id], "<u4").tobytes()
 

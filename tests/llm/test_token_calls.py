@@ -32,3 +32,14 @@ def test_places_are_the_librarys_and_cost_no_offsets(monkeypatch):
 def test_places_of_other_tokenizers_are_asked_for():
     enc = SpanEncoder(vocabulary("word_bpe_49k.json"))
     assert enc.sizes is None and enc.encode("Ab  cd")[:, 1:].tolist() == [[0, 2], [4, 6]]
+
+
+def test_copies_go_through_one_shuffle(spark, monkeypatch, tmp_path):
+    from beaconlake.llm import sstable
+
+    plans, written = [], sstable.written
+    monkeypatch.setattr(sstable, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    rows = [(i, f"text {i}") for i in range(300) for _ in range(1 + i % 9)] + [(None, "x"), (None, "x"), (299, None), (299, "")]
+    found = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path), vocabulary("word_bpe_49k.json"), combine=True)
+    assert sum(r.entries for r in found.collect()) == len(rows)
+    assert plans[0].count("Exchange ") == 1
