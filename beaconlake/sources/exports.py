@@ -5,6 +5,8 @@ file at a time, and given on some thousand rows at a time. Headers are compared
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,12 +86,32 @@ def texts(files: DataFrame) -> DataFrame:
     return files.select("file", text("content").alias("text"))
 
 
+def _pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """What str.splitlines cuts the text into, blank pieces left out, with about ``size`` characters in lines at a time."""
+    at, end = 0, "\n" if "\n" in text else "\r"
+    while at < len(text):
+        to = text.find(end, at + size) + 1 or len(text)
+        yield from (x for x in text[at:to].splitlines(keepends=True) if x.strip())
+        at = to
+
+
+def _lines(text: str) -> Iterator[str]:
+    """Lines of the text without its blank ones; only line feeds and carriage returns end a line."""
+    held = ""
+    for x in _pieces(text):
+        held += x
+        if x[-1] in "\r\n":
+            yield held
+            held = ""
+    if held:
+        yield held
+
+
 def cells(files: DataFrame) -> DataFrame:
     """(file, row_no, names, values): the rows of delimited files under their folded headers. The delimiter is the one that the first line has most."""
 
     def cut(batches):
         import csv
-        import io
         import itertools
         import re
         import unicodedata
@@ -100,11 +122,11 @@ def cells(files: DataFrame) -> DataFrame:
         for b in batches:
             for file, content in zip(b.file, b.content, strict=True):
                 text = decoded(bytes(content))
-                lines = [x for x in text.splitlines(keepends=True) if x.strip()]
-                if not lines:
+                head = next(_pieces(text), None)
+                if head is None:
                     continue
-                sep = max(",;\t|", key=lines[0].count)
-                rows = csv.reader(io.StringIO("".join(lines), newline=""), delimiter=sep)
+                sep = max(",;\t|", key=head.count)
+                rows = csv.reader(_lines(text), delimiter=sep)
                 first = next(rows)
                 names, at = [folded(x) for x in first], 0
                 rows = itertools.chain([first], rows)
