@@ -1,5 +1,7 @@
 """How texts go to the tokenizers library, and that ids and places are its own."""
 
+import random
+
 import pyarrow.parquet as pq
 
 from beaconlake.llm import tokens
@@ -43,3 +45,24 @@ def test_copies_go_through_one_shuffle(spark, monkeypatch, tmp_path):
     found = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path), vocabulary("word_bpe_49k.json"), combine=True)
     assert sum(r.entries for r in found.collect()) == len(rows)
     assert plans[0].count("Exchange ") == 1
+
+
+def test_pieces_go_to_the_library_once_and_ids_are_its_own(monkeypatch):
+    letters = list("abIsSTtd'’ 09\n\t .,%-<>|_éÉßİıſhHªŸŉ★中²½\xa0\x0b\x1c\x85　﻿…€K한하¨") + ["́", "̱", "​", "‍", "\U0001f600", "<|endoftext|>", "<|startoftext|>", "   "]
+    pick = random.Random(1)
+    some = texts() + ["".join(pick.choices(letters, k=pick.randrange(1, 30))) for _ in range(5000)] + [f"x{chr(c)} y{chr(c)}  Z'S {chr(c)} " for c in range(0x3100)]
+    for kind, name in ((WordEncoder, "word_bpe_49k.json"), (SpanEncoder, "byte_bpe_50k.json")):
+        enc = kind(vocabulary(name))
+        want = [e.ids for e in enc.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        assert [list(memoryview(x).cast("I")) for x in enc.ids(some)] == want
+    plain, sent = [t for t in texts() if t.isascii() and "<|" not in t], []
+    for kind, name in ((WordEncoder, "word_bpe_49k.json"), (SpanEncoder, "byte_bpe_50k.json")):
+        enc = kind(vocabulary(name))
+        each = enc._each
+        monkeypatch.setattr(enc, "_each", lambda x, each=each: sent.extend(x) or each(x))
+        enc.ids(plain)
+        once = len(sent)
+        assert not [x for x in sent if " " in x.lstrip(" ") and len(x) > 1 and x.strip()]  # words, not texts
+        enc.ids(plain)
+        assert len([x for x in sent[once:] if len(x) <= tokens.LONGEST]) == 0
+        sent.clear()
