@@ -1,6 +1,6 @@
 """Token counts of the sections of a text by offset mapping.
 
-A text is encoded once, whole. Its tokens are intervals of characters, in order, and so are its sections, so a merge (a
+The ids are those of the whole text, never of a section. Its tokens are intervals of characters, in order, and so are its sections, so a merge (a
 binary search of each token's place among the sections' starts) joins them. A token that crosses a boundary is allocated
 by an explicit rule:
 
@@ -13,7 +13,7 @@ sections sum to its tokens. A byte-level token without a character of its own (t
 its character is. ``field_counts`` does the same for the fields of a record: they are joined by a separator, encoded once,
 and each is a section (the separator belongs to the field that it ends).
 
-Null and empty texts have one section with no token; null fields are empty. Very long texts are encoded whole. Repeated
+Null and empty texts have one section with no token; null fields are empty. Very long texts are not cut. Repeated
 rows are counted alike. Extra columns stay; names that are taken get leading underscores. An empty table gives an empty
 result.
 """
@@ -32,6 +32,9 @@ from .tokens import SpanEncoder, encoder
 
 RULES = ("first", "last", "most")
 
+#: Rows whose texts go to the encoder together.
+TOGETHER = 32
+
 
 def line_starts(text: str) -> list[int]:
     """A section for each line; the line break belongs to the line that it ends."""
@@ -86,14 +89,15 @@ def _counted(docs: DataFrame, vocabulary: str, fields: list[str], sectioned: Cal
         enc = encoder(SpanEncoder, vocabulary)
         for b in batches:
             total, over, offsets, flat = [], [], [0], []
-            for values in zip(*(b.column(f).to_pylist() for f in fields), strict=True):
-                text, first = sectioned([v or "" for v in values])
-                starts = np.array(first, np.int64)
-                n, crossing = allocate(enc.encode(text)[:, 1:], starts, len(text), rule)
-                total.append(int(n.sum()))
-                over.append(crossing)
-                flat.append(np.stack([starts, np.diff(np.append(starts, len(text))), n]))
-                offsets.append(offsets[-1] + len(starts))
+            for at in range(0, b.num_rows, TOGETHER):
+                rows = [sectioned([v or "" for v in values]) for values in zip(*(b.column(f).slice(at, TOGETHER).to_pylist() for f in fields), strict=True)]
+                for (text, first), spans in zip(rows, enc.spans([text for text, _ in rows]), strict=True):
+                    starts = np.array(first, np.int64)
+                    n, crossing = allocate(spans[:, 1:], starts, len(text), rule)
+                    total.append(int(n.sum()))
+                    over.append(crossing)
+                    flat.append(np.stack([starts, np.diff(np.append(starts, len(text))), n]))
+                    offsets.append(offsets[-1] + len(starts))
             values = np.concatenate(flat, axis=1) if flat else np.empty((3, 0), np.int64)
             parts = pa.StructArray.from_arrays([pa.array(v.astype(np.int64)) for v in values], fields=list(kind.value_type))
             new = [pa.array(total, pa.int64()), pa.array(over, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)]
