@@ -9,7 +9,7 @@ from .. import dims
 from ..functions import web
 from ..operators import logs
 from ..sinks import packed_files
-from ..sources.logs import parse_combined, parse_delimited, parse_json, parse_logs
+from ..sources.logs import parse_combined, parse_delimited, parse_json, parse_logs, spread
 from ..sources.packed import packed_lines
 from ..storage import scratch
 from . import adapters as A
@@ -88,7 +88,7 @@ FROM ({A.sql(A.HIT, 'events')})) GROUP BY ALL"""
 )
 def log_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of files in three delimited dialects and of JSON lines, packed differently; each file's own header says what its columns are."""
-    h = A.derived(A.load(spark, sf_dir, "events"), A.HIT).withColumn("dialect", F.pmod("event_id", F.lit(4)))
+    h = A.derived(spread(A.load(spark, sf_dir, "events")), A.HIT).withColumn("dialect", F.pmod("event_id", F.lit(4)))
     path = scratch(spark, "dialects")
     text = {c: F.col(c).cast("string") for c in ("ip", "url", "agent", "status", "bytes", "rt", "method")} | {"ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")}
     for i, (packing, sep, header, fields) in _DIALECTS.items():

@@ -97,3 +97,13 @@ def test_scores_have_a_short_plan(spark):
     """The driver keeps the text of a plan for each of its stages: measured passages are stored, not planned again at each use."""
     found = catalogue.queries()["pas_scores"](spark, oracle.DATA)
     assert len(found._jdf.queryExecution().toString()) < 300_000
+
+
+def test_headers_are_read_from_first_lines_only(spark):
+    from beaconlake.sources.logs import file_headers
+
+    lines = spark.createDataFrame([("a", 0, 0, "ip\tua\turl"), ("a", 0, 1, "1.2.3.4\tx\t/")], "file string, start long, at long, line string")
+    found = file_headers(lines)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Filter") and "map_filter" in x]
+    assert [r.file for r in found.collect()] == ["a"]
