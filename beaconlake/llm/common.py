@@ -74,6 +74,18 @@ def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Tables written inside go to Python in Arrow batches of about so many bytes at most (a longer row is a batch). A task holds several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _written(spark: SparkSession) -> list[tuple[str | None, str]]:
     sc = spark.sparkContext
     if not hasattr(sc, "_beaconlake_written"):

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, ship, written
+from .common import new_path, ship, small_batches, written
 from .tokens import WordEncoder, encoder
 
 FOOTER, MAGIC = struct.Struct("<QQQQQQB7x8s"), b"BLSSTAB1"
@@ -220,7 +220,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
         columns = list(zip(*done, strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), *[pa.int64()] * 4), strict=True)], ["shard", "file", "entries", "ids", "least", "most"])
 
-    return written(ranged.mapInArrow(write, "shard string, file string, entries long, ids long, least long, most long"), "manifest")
+    with small_batches(spark):
+        return written(ranged.mapInArrow(write, "shard string, file string, entries long, ids long, least long, most long"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

@@ -66,3 +66,24 @@ def test_pieces_go_to_the_library_once_and_ids_are_its_own(monkeypatch):
         enc.ids(plain)
         assert len([x for x in sent[once:] if len(x) <= tokens.LONGEST]) == 0
         sent.clear()
+
+
+def test_batches_of_long_texts_are_small(spark, monkeypatch, tmp_path):
+    from beaconlake.llm import sstable
+
+    plain = sstable.combined
+
+    def small(batches):
+        def checked():
+            for b in batches:
+                assert b.nbytes < 8 << 20
+                yield b
+
+        return plain(checked())
+
+    monkeypatch.setattr(sstable, "combined", small)
+    rows = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "repeat('ab ', 300000) AS text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = sstable.write_shards(rows, str(tmp_path), vocabulary("word_bpe_49k.json"), combine=True)
+    assert sum(r.entries for r in found.collect()) == 40
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
