@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _owner: ContextVar[str | None] = ContextVar("owner of the scratch tables", default=None)
@@ -86,6 +90,36 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: What modules keep in a Python worker from one task to the next, by name: what empties it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back(*but: str) -> None:
+    """For tasks that begin a step: empties what other steps keep in this worker (all of KEPT but those named), and gives freed memory back to the system.
+
+    Spark uses its workers again, and a worker holds what its largest task took; they share an executor's memory."""
+    for name, empty in KEPT.items():
+        if name not in but:
+            empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def parts(texts: pa.Array, rows: int = 256, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts: up to so many, and of about so many bytes unless one alone is longer."""
+    sizes, first, held = pc.binary_length(texts).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        n = n or 0
+        if i > first and (i - first == rows or held + n > size):
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if sizes:
+        yield first, len(sizes) - first
+
+
 def _written(spark: SparkSession) -> list[tuple[str | None, str]]:
     sc = spark.sparkContext
     if not hasattr(sc, "_beaconlake_written"):

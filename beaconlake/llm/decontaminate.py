@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import alnum_bytes, alnum_words, free_name, ship, written
+from .common import alnum_bytes, alnum_words, free_name, give_back, parts, ship, written
 
 
 class Automaton:
@@ -281,13 +281,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             cols[chars_col] = pa.array(new, b.schema.field(chars_col).type)
         return cols
 
-    items, parts = parts_of(benchmark, item_id, item_text, max_words)
-    if parts > 1:
-        return _in_rounds(docs, items, parts, text_col, window, max_coverage, changed)
-    held = docs.sparkSession.sparkContext.broadcast(next(automata(items, parts, window)))
+    items, n_parts = parts_of(benchmark, item_id, item_text, max_words)
+    if n_parts > 1:
+        return _in_rounds(docs, items, n_parts, text_col, window, max_coverage, changed)
+    held = docs.sparkSession.sparkContext.broadcast(next(automata(items, n_parts, window)))
 
     def clean(batches):
-        for b in batches:
+        give_back()
+        for b in (x.slice(i, n) for x in batches for i, n in parts(x.column(text_col))):  # few texts as Python strings at a time
             was = b.column(text_col).to_pylist()
             now = [without(t, held.value, max_coverage) for t in was]
             cols = changed(b, now)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, owned, release, ship, written
+from .common import KEPT, free_name, owned, release, ship, written
 
 ORDERS, STEPS = 3, 4
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -57,6 +57,7 @@ class _WordHash(dict):
 
 
 _hash = _WordHash()
+KEPT["word hashes"] = _hash.clear
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -5,7 +5,8 @@ key before (prefix compression). After the blocks come a sparse index (first key
 Bloom filter of the keys and a footer of fixed size. A reader finds a document by the Bloom filter, a binary search in the
 index and one block.
 
-    block   zlib of entries: shared u8, rest u8, value bytes u32, key rest, value (ids, little-endian u32)
+    block   zlib of entries: shared u8, rest u8, value bytes u32, key rest, value (ids, little-endian u32);
+            of an entry with the key and value of the one before it in its block, value bytes is 2^32 - 1 and nothing follows
     index   entries: key length u8, key, offset u64, size u32
     bloom   bits, k hashes of xxh3_128
     footer  "<QQQQQQB7x8s": index at, bloom at, footer at, entries, ids, Bloom bits, hashes, magic
@@ -22,6 +23,7 @@ import bisect
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 from urllib.parse import urlparse
 
 import numpy as np
@@ -33,11 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, ship, small_batches, written
+from .common import give_back, new_path, ship, small_batches, written
+from .common import parts as _parts
 from .tokens import WordEncoder, encoder
 
 FOOTER, MAGIC = struct.Struct("<QQQQQQB7x8s"), b"BLSSTAB1"
 _ENTRY, _INDEX = struct.Struct("<BBI"), struct.Struct("<QI")
+#: Value bytes of an entry that is the same as the one before.
+_SAME = (1 << 32) - 1
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -65,9 +70,22 @@ class Writer:
         self.keys: list[bytes] = []
         self.index: list[bytes] = []
         self.block: list[bytes] = []
-        self.size, self.n, self.ids, self.last, self.first = 0, 0, 0, b"", b""
+        self.size, self.n, self.ids, self.last, self.first, self.value = 0, 0, 0, b"", b"", b""
 
     def add(self, key: bytes, value: bytes) -> None:
+        if self.block and key == self.last and value == self.value:
+            self.block.append(_ENTRY.pack(len(key), 0, _SAME))
+        else:
+            self._new(key, value)
+        self.size += len(value) + 8  # as read again, so that a block of copies is no larger for who reads it
+        self.n, self.ids = self.n + 1, self.ids + len(value) // 4
+        if key != self.last or not self.keys:
+            self.keys.append(key)
+        self.last, self.value = key, value
+        if self.size >= self.block_bytes:
+            self.flush()
+
+    def _new(self, key: bytes, value: bytes) -> None:
         shared = 0
         if self.block:
             while shared < len(key) and shared < len(self.last) and key[shared] == self.last[shared]:
@@ -75,13 +93,6 @@ class Writer:
         else:
             self.first = key
         self.block += [_ENTRY.pack(shared, len(key) - shared, len(value)), key[shared:], value]
-        self.size += len(value) + 8
-        self.n, self.ids = self.n + 1, self.ids + len(value) // 4
-        if key != self.last or not self.keys:
-            self.keys.append(key)
-        self.last = key
-        if self.size >= self.block_bytes:
-            self.flush()
 
     def flush(self) -> None:
         if self.block:
@@ -121,14 +132,16 @@ class Reader:
 
     def block(self, k: int) -> Iterator[tuple[bytes, bytes]]:
         at, size = self.blocks[k]
-        raw, i, key = zlib.decompress(self.file.read_at(size, at)), 0, b""
+        raw, i, key, value = zlib.decompress(self.file.read_at(size, at)), 0, b"", b""
         while i < len(raw):
             shared, rest, n = _ENTRY.unpack_from(raw, i)
             i += _ENTRY.size
             key = key[:shared] + raw[i : i + rest]
             i += rest
-            yield key, raw[i : i + n]
-            i += n
+            if n != _SAME:
+                value = raw[i : i + n]
+                i += n
+            yield key, value
 
     def __iter__(self) -> Iterator[tuple[bytes, bytes]]:
         for k in range(len(self.blocks)):
@@ -147,20 +160,9 @@ class Reader:
         return found
 
 
-def _parts(texts: pa.Array, rows: int = 256, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """(first, number) of runs of texts: up to so many, and of about so many bytes unless one alone is longer."""
-    sizes, first, held = pc.binary_length(texts).to_pylist(), 0, 0
-    for i, n in enumerate(sizes):
-        if i > first and (i - first == rows or held + n > size):
-            yield first, i - first
-            first, held = i, 0
-        held += n
-    if sizes:
-        yield first, len(sizes) - first
-
-
 def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: doc_id, text and seq of the first of each run of equal ids and texts in a batch, and copies, their number."""
+    give_back()
     for b in batches:
         new = np.ones(b.num_rows, bool)
         for c in ("doc_id", "text"):
@@ -190,6 +192,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
+        give_back("encoders")
         context = TaskContext.get()
         fs, base = file_system(path)
         fs.create_dir(base, recursive=True)
@@ -204,7 +207,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
         for b in batches:
             for i, n in _parts(b.column("text")):  # few texts, and bytes of them, as Python strings at a time
                 keys, texts, copies = (b.column(c).slice(i, n).to_pylist() for c in ("doc_id", "text", "copies"))
-                each = ((k, ids) for k, ids, m in zip(keys, enc.encode(texts), copies, strict=True) for _ in range(m))
+                each = ((k, x) for k, ids, m in zip(keys, enc.encode(texts), copies, strict=True) for x in repeat(ids + end, m))
                 for doc_id, ids in each:
                     if out is not None and out.at >= file_bytes:
                         close()
@@ -213,7 +216,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
                         final = f"{base}/part-{part:06d}-{len(done):04d}.sst"
                         names = (f"{base}/_{part:06d}-{len(done):04d}-{context.taskAttemptId()}", final)
                         out, low = Writer(fs.open_output_stream(names[0]), block_bytes), doc_id
-                    out.add(key_of(doc_id), ids + end)
+                    out.add(key_of(doc_id), ids)
                     high = doc_id
         if out is not None:
             close()
@@ -231,6 +234,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     spread = files.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
 
     def read(batches):
+        give_back()
         for b in batches:
             for path, at in zip(b.column("file").to_pylist(), b.column("base").to_pylist(), strict=True):
                 reader = Reader(path)

@@ -18,6 +18,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import KEPT
+
 #: Characters of a piece that is kept, pieces encoded by one call, pieces of one text, and the word between them.
 LONGEST, AT_ONCE, JOINED, MARK = 64, 1 << 10, 1 << 6, "\u2605"
 
@@ -216,6 +218,7 @@ class SpanEncoder(_Pieces):
 
 
 _encoders: dict = {}
+KEPT["encoders"] = _encoders.clear
 
 
 def encoder(kind: type, path: str, *options):

@@ -87,3 +87,58 @@ def test_batches_of_long_texts_are_small(spark, monkeypatch, tmp_path):
     found = sstable.write_shards(rows, str(tmp_path), vocabulary("word_bpe_49k.json"), combine=True)
     assert sum(r.entries for r in found.collect()) == 40
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_copies_are_written_once_and_read_as_often(tmp_path):
+    from beaconlake.llm import sstable
+
+    draw, sizes = random.Random(3), []
+    rows = [(sstable.key_of(i), draw.randbytes(4000)) for i in range(20)]
+    for n in (1, 10):
+        path = f"{tmp_path}/{n}.sst"
+        out = sstable.Writer(open(path, "wb"), 1 << 16)
+        for key, value in rows:
+            for _ in range(n):
+                out.add(key, value)
+        out.add(rows[-1][0], b"")  # the same key, another value
+        out.close()
+        reader = sstable.Reader(path)
+        assert list(reader) == [r for r in rows for _ in range(n)] + [(rows[-1][0], b"")] and len(reader.get(3)) == n
+        assert all(sum(len(v) for _, v in reader.block(k)) < (1 << 16) + 4000 for k in range(len(reader.blocks)))
+        sizes.append((tmp_path / f"{n}.sst").stat().st_size)
+    assert sizes[1] < 1.7 * sizes[0]  # a block begins with its value in full
+
+
+def test_a_step_takes_over_no_memory_of_others():
+    from beaconlake.llm import ngram_join
+    from beaconlake.llm.common import give_back
+
+    ngram_join.shingle_sets([b"some words of a text"])
+    tokens.encoder(WordEncoder, vocabulary("word_bpe_49k.json"))
+    give_back("encoders")
+    assert not ngram_join._hash and tokens._encoders
+    give_back()
+    assert not tokens._encoders
+
+
+def test_decontamination_holds_few_texts_at_a_time(spark, monkeypatch):
+    from beaconlake.llm import decontaminate as D
+
+    def plain(text, sam, most):
+        return text
+
+    rows = spark.range(0, 64, 1, 1).selectExpr("id AS doc_id", "repeat('ab ', 100000) AS text")
+    items = spark.createDataFrame([("a", "nothing of it is there")], "item_id string, text string")
+    sizes = []
+
+    def mapped(self, f, kinds):
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": "ab " * 100_000} for i in range(64)])
+        sizes.extend(x.num_rows for x in f(iter([batch])))
+        return self
+
+    monkeypatch.setattr(D, "without", plain)
+    monkeypatch.setattr(type(rows), "mapInArrow", mapped)
+    D.decontaminate(rows, items)
+    assert sum(sizes) == 64 and max(sizes) <= 4
