@@ -1,6 +1,7 @@
 """What larger tables have and small ones don't: pages of one URL, classes of near copies, many folders."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
 import oracle
@@ -107,3 +108,25 @@ def test_headers_are_read_from_first_lines_only(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Filter") and "map_filter" in x]
     assert [r.file for r in found.collect()] == ["a"]
+
+
+def test_passages_are_cut_where_their_page_is(spark):
+    """A page's nodes are in one row: nothing is dealt out or sorted by page to cut it."""
+    plan = catalogue.queries()["pas_measures"](spark, oracle.DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+
+
+def test_white_space_is_squeezed_as_before(spark):
+    draw = random.Random(2)
+    rows = [("".join(draw.choices("ab \t\n  \u0085", k=draw.randrange(12))),) for _ in range(500)]
+    found = spark.createDataFrame(rows, "t string").select(passages._squeezed(F.col("t")).alias("a"), F.trim(F.regexp_replace("t", r"(?U)\s+", " ")).alias("b"))
+    assert found.where("a <> b").count() == 0
+
+
+def test_names_in_sentences_are_those_of_the_plain_way(spark):
+    draw, common = random.Random(4), set(passages.COMMON)
+    texts = ["".join(draw.choices(["Ab", "ab", "É", "él", "Øre", "ßa", "'", "-", "’", "The", "7", " ", " ", ",", "İ", "Paris"], k=draw.randrange(14))) for _ in range(800)]
+    word = re.compile(passages.T.WORD)
+    want = {t: sorted({w for w in word.findall(t)[1:] if w[0].isupper() and len(w) > 2 and w.lower() not in common}) for t in texts}
+    one = spark.createDataFrame([(t,) for t in want], "text string").selectExpr("text", "0 AS words", "'' AS heading", "array('') AS hrefs", "array('') AS flags", "0 AS link_words")
+    assert {r.text: r.proper_nouns for r in passages.measured(one).select("text", "proper_nouns").collect()} == want
