@@ -11,7 +11,7 @@ from ..operators import logs
 from ..sinks import packed_files
 from ..sources.logs import parse_combined, parse_delimited, parse_json, parse_logs, spread
 from ..sources.packed import packed_lines
-from ..storage import scratch
+from ..storage import scratch, stored
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -194,12 +194,15 @@ _PATHS = "crawled AS (SELECT DISTINCT CASE WHEN p <> '/' AND ends_with(p, '/') T
 _MATRIX = CTE + ", " + _PATHS + ", m AS (SELECT path, bool_or(a) AS crawled, bool_or(b) AS listed, bool_or(c) AS cited FROM (SELECT path, true AS a, false AS b, false AS c FROM crawled UNION ALL SELECT path, false, true, false FROM listed UNION ALL SELECT path, false, false, true FROM cited) GROUP BY path) "
 
 
-def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crawled = logs.ai_hits(verified(spark, sf_dir)).select(web.strip_query(F.col("url")).alias("path"))
+def _coverage(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
+    """URLs repeat, so paths are made of the distinct ones. hits: the verified hits, if they are there already."""
+    paths = lambda url: url.toDF("url").distinct().select(web.strip_query(F.col("url")).alias("path"))
     events = A.load(spark, sf_dir, "events")
-    listed = events.select(web.strip_query(F.format_string("https://www.example.com/%s/%d", "event_type", F.col("event_id") % 150)).alias("path"))
-    cited = events.where("event_id % 3 = 0").select(web.strip_query(F.format_string("https://example.com/%s/%d#top", "event_type", F.col("event_id") % 200)).alias("path"))
-    return logs.coverage(crawled, listed, cited)
+    numbers = lambda rows, n: rows.select("event_type", (F.col("event_id") % n).alias("n")).distinct()
+    crawled = logs.ai_hits(verified(spark, sf_dir) if hits is None else hits).select("url")
+    listed = numbers(events, 150).select(F.format_string("https://www.example.com/%s/%d", "event_type", "n"))
+    cited = numbers(events.where("event_id % 3 = 0"), 200).select(F.format_string("https://example.com/%s/%d#top", "event_type", "n"))
+    return logs.coverage(paths(crawled), paths(listed), paths(cited))
 
 
 @query(_MATRIX + "SELECT crawled, listed, cited, count(*) AS paths FROM m GROUP BY ALL")
@@ -243,7 +246,8 @@ UNION ALL SELECT 'real_time_fetches', fetches, CASE WHEN fetches > 0 THEN 'good'
 UNION ALL SELECT 'errors', round(errors, 6), CASE WHEN errors > 0.02 THEN 'bad' ELSE 'good' END FROM k
 UNION ALL SELECT 'sitemap_coverage', round(covered, 6), CASE WHEN covered < 0.4 THEN 'bad' ELSE 'good' END FROM cov""")
 def log_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.kpis(verified(spark, sf_dir), _coverage(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    hits = stored(verified(spark, sf_dir).select("url", "purpose", "verdict", "status"), "hits")  # lines are parsed once
+    return logs.kpis(hits, _coverage(spark, sf_dir, hits)).withColumn("value", F.round("value", 6))
 
 
 _P50 = "list_sort(list(CAST(rt AS DOUBLE)))[CAST(least(floor(0.5 * count(*)), count(*) - 1) AS BIGINT) + 1]"

@@ -130,3 +130,12 @@ def test_names_in_sentences_are_those_of_the_plain_way(spark):
     want = {t: sorted({w for w in word.findall(t)[1:] if w[0].isupper() and len(w) > 2 and w.lower() not in common}) for t in texts}
     one = spark.createDataFrame([(t,) for t in want], "text string").selectExpr("text", "0 AS words", "'' AS heading", "array('') AS hrefs", "array('') AS flags", "0 AS link_words")
     assert {r.text: r.proper_nouns for r in passages.measured(one).select("text", "proper_nouns").collect()} == want
+
+
+def test_kpis_parse_the_log_once(spark, monkeypatch):
+    from beaconlake.plans import logs
+
+    parse, calls = logs.parse_combined, []
+    monkeypatch.setattr(logs, "parse_combined", lambda lines: calls.append(1) or parse(lines))
+    oracle.same(spark, catalogue.queries()["log_kpis"], SQL["log_kpis"])
+    assert len(calls) == 1
