@@ -1,7 +1,10 @@
 """What larger tables have and small ones don't: pages of one URL, classes of near copies, many folders."""
 
+import glob
+import os
 import random
 import re
+import time
 from difflib import SequenceMatcher
 
 import oracle
@@ -9,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconlake import catalogue
+from beaconlake.functions import text
 from beaconlake.operators import passages, redirects
+from beaconlake.storage import shared_folder
 
 SQL = catalogue.oracle_sql()
 
@@ -94,6 +99,50 @@ def test_repeated_passages_against_every_pair(spark):
     assert {(r.k, r.id): (r.other_page, r.other_id, r.overlap) for r in found} == want
 
 
+def on_disk(spark):
+    """Bytes of scratch tables and of shuffle files."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [blocks.apply(i).getPath() for i in range(blocks.size())]
+    files = [f for f in files if os.path.basename(f).startswith("shuffle_")] + glob.glob(f"{shared_folder(spark).removeprefix('file://')}/beaconlake-*/part-*")
+    return sum(os.path.getsize(f) for f in files if os.path.exists(f))
+
+
+def test_repeated_passages_leave_little_on_disk(spark):
+    """Texts, hashes and shuffle files go as soon as nothing reads them."""
+    draw = random.Random(3)
+    rows = [(k, 1, " ".join(f"w{draw.randrange(10**6)}" for _ in range(300))) for k in range(600)]
+    rows += [(k + 600, 1, t + " more") for k, _, t in rows[:20]]
+    frame, before = spark.createDataFrame(rows, "k int, id int, fold_text string"), on_disk(spark)
+    found = passages.repeated(frame, "k")
+    for _ in range(50):  # Spark deletes shuffle files in the background
+        if (left := on_disk(spark) - before) < 200_000:
+            break
+        time.sleep(0.1)
+    assert left < 200_000 < sum(len(t) for _, _, t in rows) / 5
+    assert {r.k: r.other_page for r in found.collect()} == {a: b for k in range(20) for a, b in ((k, k + 600), (k + 600, k))}
+
+
+def test_shingles_of_a_slice(spark):
+    draw = random.Random(6)
+    texts = [None, "", " ", "a", "a b", "a  b", "a b c d", "a b c d e", " ".join("xy" * 40)]
+    texts += [" ".join(f"v{draw.randrange(6)}" for _ in range(draw.randrange(60))) for _ in range(200)]
+
+    def runs(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    slices = [[(r.k, r.n, r.g) for r in text.shingle_rows(rows, "t", 5, 3, at).collect()] for at in range(3)]
+    assert all(g % 2**64 % 3 == at for at, found in enumerate(slices) for _, _, g in found)
+    by = {}
+    for k, n, g in sum(slices, []):
+        assert n == len(runs(texts[k]))
+        by.setdefault(k, []).append(g)
+    assert {k: len(set(x)) for k, x in by.items()} == {k: len(runs(t)) for k, t in enumerate(texts) if runs(t)} == {k: len(x) for k, x in by.items()}
+    assert len({g for x in by.values() for g in x}) == len(set().union(*map(runs, texts)))
+    assert set(by[4]) == set(by[5])
+
+
 def test_scores_have_a_short_plan(spark):
     """The driver keeps the text of a plan for each of its stages: measured passages are stored, not planned again at each use."""
     found = catalogue.queries()["pas_scores"](spark, oracle.DATA)
