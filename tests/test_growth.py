@@ -107,6 +107,15 @@ def on_disk(spark):
     return sum(os.path.getsize(f) for f in files if os.path.exists(f))
 
 
+def left_on_disk(spark, before, wanted):
+    """Bytes that have come since, once they are few or Spark, which deletes shuffle files in the background, has had five seconds."""
+    for _ in range(50):
+        if (left := on_disk(spark) - before) < wanted:
+            break
+        time.sleep(0.1)
+    return left
+
+
 def test_repeated_passages_leave_little_on_disk(spark):
     """Texts, hashes and shuffle files go as soon as nothing reads them."""
     draw = random.Random(3)
@@ -114,14 +123,49 @@ def test_repeated_passages_leave_little_on_disk(spark):
     rows += [(k + 600, 1, t + " more") for k, _, t in rows[:20]]
     frame, before = spark.createDataFrame(rows, "k int, id int, fold_text string"), on_disk(spark)
     found = passages.repeated(frame, "k")
-    for _ in range(50):  # Spark deletes shuffle files in the background
-        if (left := on_disk(spark) - before) < 200_000:
-            break
-        time.sleep(0.1)
-    assert left < 200_000 < sum(len(t) for _, _, t in rows) / 5
+    assert left_on_disk(spark, before, 200_000) < 200_000 < sum(len(t) for _, _, t in rows) / 5
     assert {r.k: r.other_page for r in found.collect()} == {a: b for k in range(20) for a, b in ((k, k + 600), (k + 600, k))}
 
 
+def test_scores_leave_little_on_disk(spark):
+    before, most = on_disk(spark), os.path.getsize(f"{oracle.DATA}/documents.parquet") / 3
+    found = catalogue.queries()["pas_scores"](spark, oracle.DATA)
+    assert left_on_disk(spark, before, most) < most
+    assert found.count() > 0
+
+
+def test_competing_passages_against_every_pair(spark):
+    """The texts of a page are dealt out once, and all its pairs are compared."""
+    draw = random.Random(8)
+    words = [*(f"word{i}" for i in range(40)), "a", "of", "avec"]
+    rows = []
+    for k in range(80):
+        texts, heads = [], []
+        for i in range(draw.randrange(1, 7)):
+            texts.append(" ".join(draw.choices(draw.choice([words, words[:20], words[20:]]), k=draw.choice([0, 29, 30, 40, 60]))) if not texts or draw.random() < 0.6 else draw.choice(texts) + " more")
+            heads.append(draw.choice(["price of it", "prices of it", "what is it", "who made this", ""]))
+            rows.append((k, i + 1, draw.choice([1, 2, 3]), len(texts[-1].split()), heads[-1], texts[-1]))
+
+    def runs(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    want = {}
+    for k, i, level, n, h, t in rows:
+        for k2, j, level2, n2, h2, t2 in rows:
+            if k == k2 and i < j and min(level, level2) > 1 and min(n, n2) >= 30:
+                one, two = ({w for w in x.split() if len(w) >= 4 and w not in passages.COMMON} for x in (t, t2))
+                ratios = SequenceMatcher(None, h, h2).ratio(), len(runs(t) & runs(t2)) / len(runs(t) | runs(t2)), len(one & two) / min(len(one), len(two))
+                if triggers := [x for x, r, least in zip(("heading", "verbatim", "topic"), ratios, (0.75, 0.30, 0.60), strict=True) if r >= least]:
+                    want[k, i, j] = (*(round(r, 2) for r in ratios), triggers)
+    assert len(want) > 40 and {x for *_, found in want.values() for x in found} == {"heading", "verbatim", "topic"}
+    found = passages.competing(spark.createDataFrame(rows, "k int, id int, level int, words int, fold_heading string, fold_text string"), "k")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.k, r.a, r.b): (r.heading_ratio, r.body_ratio, r.topic_ratio, r.triggers) for r in found.collect()}
+    assert got.keys() == want.keys()
+    assert all(x[3] == want[p][3] and max(abs(a - b) for a, b in zip(x[:3], want[p][:3], strict=True)) < 0.011 for p, x in got.items())
+
+
 def test_shingles_of_a_slice(spark):
     draw = random.Random(6)
     texts = [None, "", " ", "a", "a b", "a  b", "a b c d", "a b c d e", " ".join("xy" * 40)]
